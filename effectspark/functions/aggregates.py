@@ -28,9 +28,18 @@ def distinct_values(value: Column, count_null: bool = False, approx: bool = Fals
     return out
 
 
-def shrunk(total: Column, n: Column, lambda_: float) -> Column:
-    """Group mean pulled towards 0 by ``lambda_`` extra rows; plain mean at 0."""
-    return F.try_divide(total, n + F.lit(float(lambda_)))
+def double_sql(value: float | None) -> str:
+    """A double as SQL text that reads back as the same double."""
+    return "CAST(NULL AS DOUBLE)" if value is None else f"double('{value!r}')"
+
+
+def shrunk_sql(total: str, n: str, lambda_: float) -> str:
+    """Group mean pulled towards 0 by ``lambda_`` extra rows; plain mean at 0.
+
+    SQL text, because a sweep builds hundreds of these and text costs the
+    driver one call each.
+    """
+    return f"try_divide({total}, {n} + {double_sql(float(lambda_))})"
 
 
 def rmse(actual: Column, predicted: Column) -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from effectspark.functions import aggregates as A
-from effectspark.operators.lookup import attach, same
+from effectspark.operators.lookup import attach
 from effectspark.sources.store import Stored, Workspace
 
 KEY_TYPES = (T.IntegralType, T.StringType)
@@ -78,8 +78,8 @@ class EffectTable:
     def payload(self, lambdas: Sequence[float]) -> list[str]:
         return ["n", "dev"] if self.shared_dev else [_b(i) for i in range(len(lambdas))]
 
-    def effect(self, i: int, lambda_: float) -> Column:
-        return A.shrunk(F.col("dev"), F.col("n"), lambda_) if self.shared_dev else F.col(_b(i))
+    def effect(self, i: int, lambda_: float) -> str:
+        return A.shrunk_sql("dev", "n", lambda_) if self.shared_dev else _b(i)
 
 
 @dataclass(frozen=True)
@@ -99,19 +99,20 @@ class EffectModel:
 
     def mean(self) -> Column:
         """The training mean, per value of ``by``: one number, or one per fold."""
+        return F.expr(self.mean_sql())
+
+    def mean_sql(self) -> str:
         if not self.by:
-            return F.lit(self.mu[None])
-        out = F.lit(None).cast("double")
-        for value, mu in self.mu.items():
-            out = F.when(F.col(self.by) == F.lit(value), F.lit(mu)).otherwise(out)
-        return out
+            return A.double_sql(self.mu[None])
+        cases = " ".join(f"WHEN {value} THEN {A.double_sql(mu)}" for value, mu in self.mu.items())
+        return f"CASE {self.by} {cases} END"
 
     def table(self, name: str, lambda_: float | None = None) -> DataFrame:
         """Key, ``b`` and ``n`` of one effect."""
         i = 0 if lambda_ is None else self.lambdas.index(lambda_)
         found = next(t for t in self.tables if t.spec.name == name)
         return found.stored.df.select(
-            *self.on, found.spec.key, found.effect(i, self.lambdas[i]).alias("b"), "n"
+            *self.on, found.spec.key, F.expr(found.effect(i, self.lambdas[i])).alias("b"), "n"
         )
 
     def long(self) -> DataFrame:
@@ -152,7 +153,8 @@ def fit(
     """Fit the effects in the given order on the rows that are not ``held`` out.
 
     ``frame`` is read several times; pass a stored table. ``by`` fits every
-    value of that column (a fold number: few values) on its own.
+    value of that column (a fold number: few values) on its own. Without specs
+    the model is the mean alone.
     """
     specs, lambdas = tuple(specs), tuple(float(x) for x in lambdas)
     _check(frame, specs, lambdas)
@@ -169,8 +171,8 @@ def fit(
 
 
 def _check(frame: DataFrame, specs: Sequence[EffectSpec], lambdas: Sequence[float]) -> None:
-    if not specs or not lambdas:
-        raise ValueError("at least one effect and one lambda are needed")
+    if not lambdas:
+        raise ValueError("at least one lambda is needed")
     if min(lambdas) < 0:
         raise ValueError("lambda must not be negative")
     for s in specs:
@@ -202,10 +204,13 @@ def _fit_next(
 
 
 def _shrunk_means(rest: DataFrame, key: str, model: EffectModel) -> DataFrame:
-    sums = [F.sum(_r(i)).alias(_r(i)) for i in range(len(model.lambdas))]
-    grouped = rest.groupBy(*model.on, key).agg(F.count(F.lit(1)).alias("n"), *sums)
-    effects = [A.shrunk(F.col(_r(i)), F.col("n"), x).alias(_b(i)) for i, x in enumerate(model.lambdas)]
-    return grouped.select(*model.on, key, "n", *effects)
+    grouped = rest.groupBy(*model.on, key).agg(F.count(F.lit(1)).alias("n"), *_sums(model))
+    effects = [f"{A.shrunk_sql(_r(i), 'n', x)} AS {_b(i)}" for i, x in enumerate(model.lambdas)]
+    return grouped.selectExpr(*model.on, key, "n", *effects)
+
+
+def _sums(model: EffectModel) -> list[Column]:
+    return [F.expr(f"sum({_r(i)}) AS {_r(i)}") for i in range(len(model.lambdas))]
 
 
 def _with(model: EffectModel, table: EffectTable) -> EffectModel:
@@ -218,27 +223,25 @@ def residuals(rows: DataFrame, model: EffectModel, keep: Sequence[str]) -> DataF
     Residuals are updated join by join, so a row is never wider than one
     effect's columns plus the residuals.
     """
-    lambdas = model.lambdas
-    needed = list(dict.fromkeys([*model.on, *keep, *(t.spec.key for t in model.tables)]))
-    out = rows.select(*needed, (F.col("rating") - model.mean()).alias("r"))
-    current = [F.col("r")] * len(lambdas)
+    count = len(model.lambdas)
+    needed = [*keep, *(t.spec.key for t in model.tables)]
+    out = rows.selectExpr(*_unique(model.on, needed), f"rating - {model.mean_sql()} AS r")
+    current = ["r"] * count
     for done, table in enumerate(model.tables, 1):
-        joined = model.attach(out, table)
-        later = [*keep, *(t.spec.key for t in model.tables[done:])]
-        needed = list(dict.fromkeys([*model.on, *later]))
-        out = joined.select(
-            *needed,
-            *[
-                (current[i] - F.coalesce(table.effect(i, x), F.lit(0.0))).alias(_r(i))
-                for i, x in enumerate(lambdas)
-            ],
-        )
-        current = [F.col(_r(i)) for i in range(len(lambdas))]
+        needed = [*keep, *(t.spec.key for t in model.tables[done:])]
+        effects = [table.effect(i, x) for i, x in enumerate(model.lambdas)]
+        rest = [f"{current[i]} - coalesce({effects[i]}, 0D) AS {_r(i)}" for i in range(count)]
+        out = model.attach(out, table).selectExpr(*_unique(model.on, needed), *rest)
+        current = [_r(i) for i in range(count)]
     if not model.tables:
-        out = out.select(*needed, *[c.alias(_r(i)) for i, c in enumerate(current)])
+        out = out.selectExpr(*_unique(model.on, keep), *[f"r AS {_r(i)}" for i in range(count)])
     return out
 
 
+def _unique(*names: Sequence[str]) -> list[str]:
+    return list(dict.fromkeys(n for group in names for n in group))
+
+
 def _fit_narrow(
     train: DataFrame, narrow: Sequence[EffectSpec], model: EffectModel, ws: Workspace
 ) -> EffectModel:
@@ -268,9 +271,8 @@ def _grouped_bits(m: int, *kept: int) -> int:
 def _value_sums(rest: DataFrame, keys: Sequence[str], model: EffectModel) -> DataFrame:
     """Long table (effect, by, value, n, r_*): residual sums per value of each key."""
     m, on = len(keys), model.on
-    sums = [F.sum(_r(i)).alias(_r(i)) for i in range(len(model.lambdas))]
     grouped = rest.groupingSets([[*on, k] for k in keys], *on, *keys).agg(
-        F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("n"), *sums
+        F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("n"), *_sums(model)
     )
     effect, value = F.lit(None).cast("int"), F.lit(None).cast("string")
     for i, k in enumerate(keys):
@@ -315,37 +317,26 @@ def _solve(
 ) -> DataFrame:
     """The k-th narrow effect from value sums, pair counts and the earlier effects."""
     on, count = model.on, len(model.lambdas)
-    own = sums.df.filter(F.col("effect") == k)
-    taken = [F.lit(0.0)] * count
+    own = sums.df.filter(F.col("effect") == k).drop("effect")
     if solved:
-        earlier = _earlier(solved, ws, on, count)
-        match = (F.col("earlier") == F.col("__effect")) & same(F.col("from_value"), F.col("__value"))
-        for c in on:
-            match = match & same(F.col(c), F.col(f"__{c}"))
-        explained = (
-            pairs.df.filter(F.col("later") == k)
-            .join(earlier, match)
-            .groupBy(*[F.col(c).alias(f"__by_{c}") for c in on], F.col("value").alias("__of"))
-            .agg(*[F.sum(F.col("pairs") * F.col(_b(i))).alias(f"p_{i}") for i in range(count)])
+        match = ["earlier = __effect", "from_value <=> __value", *[f"{c} <=> __{c}" for c in on]]
+        explained = pairs.df.filter(F.col("later") == k).join(
+            _earlier(solved, ws, on, count), F.expr(" AND ".join(match))
+        )
+        taken = [f"-pairs * {_b(i)} AS {_r(i)}" for i in range(count)]
+        own = (
+            own.unionByName(explained.selectExpr(*on, "value", "0L AS n", *taken))
+            .groupBy(*on, "value")
+            .agg(F.sum("n").alias("n"), *_sums(model))
         )
-        match = same(F.col("value"), F.col("__of"))
-        for c in on:
-            match = match & same(F.col(c), F.col(f"__by_{c}"))
-        own = own.join(explained, match, "left")
-        taken = [F.coalesce(F.col(f"p_{i}"), F.lit(0.0)) for i in range(count)]
-    effects = [
-        A.shrunk(F.col(_r(i)) - taken[i], F.col("n"), x).alias(_b(i)) for i, x in enumerate(model.lambdas)
-    ]
-    return own.select("effect", *on, "value", "n", *effects)
+    effects = [f"{A.shrunk_sql(_r(i), 'n', x)} AS {_b(i)}" for i, x in enumerate(model.lambdas)]
+    return own.selectExpr(f"{k} AS effect", *on, "value", "n", *effects)
 
 
 def _earlier(solved: Sequence[Stored], ws: Workspace, on: Sequence[str], count: int) -> DataFrame:
     """All solved effects as one table, broadcast if their measured size allows it."""
     df = ws.read([t.path for t in solved], solved[0].df.schema)
     table = replace(solved[0], df=df, rows=sum(t.rows for t in solved), bytes=sum(t.bytes for t in solved))
-    return ws.small(table).select(
-        F.col("effect").alias("__effect"),
-        *[F.col(c).alias(f"__{c}") for c in on],
-        F.col("value").alias("__value"),
-        *[_b(i) for i in range(count)],
+    return ws.small(table).selectExpr(
+        "effect AS __effect", *[f"{c} AS __{c}" for c in on], "value AS __value", *[_b(i) for i in range(count)]
     )

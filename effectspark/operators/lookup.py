@@ -58,15 +58,13 @@ def attach(
         "__salt", F.when(F.col("__is_hot"), spread).otherwise(F.lit(0))
     )
     joined = _join(salted, cold, on, extra=F.col("__salt") == F.col("__salt_t"))
-    picked = [
-        F.when(F.col("__is_hot"), F.col(_HOT.format(p))).otherwise(F.col(p)).alias(p) for p in payload
-    ]
-    return joined.select(*rows.columns, *picked)
+    picked = [f"CASE WHEN __is_hot THEN {_HOT.format(p)} ELSE {p} END AS {p}" for p in payload]
+    return joined.selectExpr(*rows.columns, *picked)
 
 
 def _side(table: DataFrame, on: Sequence[str], payload: Sequence[str], rename: str = "{}") -> DataFrame:
-    keys = [F.col(k).alias(_KEY.format(k)) for k in on]
-    return table.select(*keys, *[F.col(p).alias(rename.format(p)) for p in payload])
+    keys = [f"{k} AS {_KEY.format(k)}" for k in on]
+    return table.selectExpr(*keys, *[f"{p} AS {rename.format(p)}" for p in payload])
 
 
 def _join(rows: DataFrame, side: DataFrame, on: Sequence[str], extra: Column | None = None) -> DataFrame:

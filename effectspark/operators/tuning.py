@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from effectspark.functions.aggregates import double_sql
 from effectspark.operators import split
 from effectspark.operators.effects import EffectModel, EffectSpec, fit, residuals
 from effectspark.sources.store import Workspace
@@ -72,13 +73,12 @@ def cv_rmse_grid(
 def grid_rmse(rows: DataFrame, model: EffectModel) -> DataFrame:
     """Error of each lambda of the model per value of ``by``."""
     rest = residuals(rows, model, [])
-    errors = rest.groupBy(*model.on).agg(
-        *[F.sqrt(F.avg(F.col(f"r_{i}") * F.col(f"r_{i}"))).alias(f"e_{i}") for i in range(len(model.lambdas))]
+    count = len(model.lambdas)
+    errors = rest.groupBy(*model.on).agg(*[F.expr(f"sqrt(avg(r_{i} * r_{i})) AS e_{i}") for i in range(count)])
+    cells = ", ".join(
+        f"named_struct('lambda', {double_sql(x)}, 'rmse', e_{i})" for i, x in enumerate(model.lambdas)
     )
-    cells = [
-        F.struct(F.lit(x).alias("lambda"), F.col(f"e_{i}").alias("rmse")) for i, x in enumerate(model.lambdas)
-    ]
-    return errors.select(*model.on, F.inline(F.array(*cells)))
+    return errors.selectExpr(*model.on, f"inline(array({cells}))")
 
 
 def best_lambda(grid: DataFrame, by: str = "fold") -> DataFrame:
