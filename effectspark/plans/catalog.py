@@ -412,9 +412,8 @@ def stream_scores(run: Run) -> DataFrame:
 
 
 def stream_event_profile(run: Run) -> DataFrame:
-    path = f"{run.dir}/events.parquet"
-    schema = run.spark.read.parquet(path).schema
-    events = run.spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    arriving = run.spark.readStream.schema(run.events().schema).option("pathGlobFilter", "events.parquet")
+    events = arriving.parquet(run.dir).withColumn("ts", F.col("ts").cast("timestamp"))
     rolling = live.rolling_profile(events, "ts", "value", ["event_type"], "1 day", "1 hour")
     out = live.run_to_table(rolling, run.ws, "event-profile")
     ends = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_start", "window_end")]

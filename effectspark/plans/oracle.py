@@ -140,25 +140,25 @@ KFOLDED = (
     "(SELECT *, ((h // 1000) % 10)::INT AS own FROM train), "
     "(SELECT unnest(range(10))::INT AS fold))"
 )
-GRID = "(SELECT 1e0 + unnest(range(37)) * 25e-2 AS lambda)"
-KFOLD_GRID = "(SELECT unnest([1e0, 5e0, 10e0]) AS lambda)"
+GRID = "(SELECT 1e0 + unnest(range(37)) * 25e-2 AS lam)"
+KFOLD_GRID = "(SELECT unnest([1e0, 5e0, 10e0]) AS lam)"
 
 
 def grid_ctes(folded: str = FOLDED, grid: str = GRID) -> list[str]:
     """Every row once per lambda, and the error per fold and lambda."""
     narrow = f"rating, fold, is_test, {', '.join(key for _, key in SHRUNK)}"
-    rows = f"sweep AS (SELECT {narrow}, lambda FROM cv, {grid})"
-    chain = steps(SHRUNK, "lambda", "sweep", "is_test", "fold, lambda")
-    errors = "errors AS (SELECT fold, lambda, sqrt(avg(r10*r10)) AS rmse FROM s10 WHERE is_test GROUP BY 1, 2)"
+    rows = f"sweep AS (SELECT {narrow}, lam FROM cv, {grid})"
+    chain = steps(SHRUNK, "lam", "sweep", "is_test", "fold, lam")
+    errors = "errors AS (SELECT fold, lam, sqrt(avg(r10*r10)) AS rmse FROM s10 WHERE is_test GROUP BY 1, 2)"
     best = (
-        "best AS (SELECT fold, lambda, rmse FROM (SELECT *, row_number() OVER "
-        "(PARTITION BY fold ORDER BY rmse, lambda) AS k FROM errors) WHERE k = 1)"
+        "best AS (SELECT fold, lam, rmse FROM (SELECT *, row_number() OVER "
+        "(PARTITION BY fold ORDER BY rmse, lam) AS k FROM errors) WHERE k = 1)"
     )
     return [folded, rows, *chain, errors, best]
 
 
 def rmse_final_sql() -> str:
-    chosen = "chosen AS (SELECT avg(lambda) AS final_lambda FROM best)"
+    chosen = "chosen AS (SELECT avg(lam) AS final_lambda FROM best)"
     refit = [
         c.replace("s0 AS", "f0 AS") if k == 0 else c.replace(f"s{k} AS", f"f{k} AS").replace(f"FROM s{k-1}", f"FROM f{k-1}")
         for k, c in enumerate(steps(SHRUNK, "(SELECT final_lambda FROM chosen)"))
@@ -173,9 +173,9 @@ def rmse_final_sql() -> str:
 def lambda_grid_sql() -> str:
     narrow = f"rating, is_val, {', '.join(key for _, key in SHRUNK)}"
     return sql(
-        f"SELECT lambda, {r6('sqrt(avg(r10*r10))')} AS rmse FROM s10 WHERE is_val GROUP BY lambda",
-        f"sweep AS (SELECT {narrow}, lambda FROM fx_split, {GRID})",
-        *steps(SHRUNK, "lambda", "sweep", "is_val", "lambda"),
+        f"SELECT lam AS \"lambda\", {r6('sqrt(avg(r10*r10))')} AS rmse FROM s10 WHERE is_val GROUP BY lam",
+        f"sweep AS (SELECT {narrow}, lam FROM fx_split, {GRID})",
+        *steps(SHRUNK, "lam", "sweep", "is_val", "lam"),
     )
 
 
@@ -312,12 +312,12 @@ def queries() -> dict[str, str]:
     out["model_roundtrip"] = score_sql(SHRUNK, LAMBDA, effects=False, rating=False)
 
     out["lambda_grid"] = lambda_grid_sql()
-    out["cv_rmse_grid"] = sql(f"SELECT fold, lambda, {r6('rmse')} AS rmse FROM errors", *grid_ctes())
+    out["cv_rmse_grid"] = sql(f"SELECT fold, lam AS \"lambda\", {r6('rmse')} AS rmse FROM errors", *grid_ctes())
     out["cv_rmse_kfold"] = sql(
-        f"SELECT fold, lambda, {r6('rmse')} AS rmse FROM errors", *grid_ctes(KFOLDED, KFOLD_GRID)
+        f"SELECT fold, lam AS \"lambda\", {r6('rmse')} AS rmse FROM errors", *grid_ctes(KFOLDED, KFOLD_GRID)
     )
-    out["cv_best_lambda"] = sql(f"SELECT fold, lambda, {r6('rmse')} AS rmse FROM best", *grid_ctes())
-    out["final_lambda"] = sql(f"SELECT {r6('avg(lambda)')} AS final_lambda FROM best", *grid_ctes())
+    out["cv_best_lambda"] = sql(f"SELECT fold, lam AS \"lambda\", {r6('rmse')} AS rmse FROM best", *grid_ctes())
+    out["final_lambda"] = sql(f"SELECT {r6('avg(lam)')} AS final_lambda FROM best", *grid_ctes())
     out["rmse_final"] = rmse_final_sql()
 
     out["stream_scores"] = score_sql(SHRUNK, LAMBDA, effects=False, rating=False)
