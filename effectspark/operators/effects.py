@@ -198,7 +198,7 @@ def _fit_first(train: DataFrame, spec: EffectSpec, model: EffectModel, ws: Works
 def _fit_next(
     train: DataFrame, spec: EffectSpec, model: EffectModel, narrow: Sequence[EffectSpec], ws: Workspace
 ) -> EffectModel:
-    rest = residuals(train, model, [spec.key])
+    rest = residuals(train, model, [spec.key], gather=spec.key)
     stored = ws.save(_shrunk_means(rest, spec.key, model), f"effect-{spec.name}")
     return _with(model, EffectTable(spec, stored, shared_dev=False))
 
@@ -217,25 +217,40 @@ def _with(model: EffectModel, table: EffectTable) -> EffectModel:
     return replace(model, tables=(*model.tables, table))
 
 
-def residuals(rows: DataFrame, model: EffectModel, keep: Sequence[str]) -> DataFrame:
+def residuals(
+    rows: DataFrame, model: EffectModel, keep: Sequence[str], gather: str | None = None
+) -> DataFrame:
     """``by``, the ``keep`` columns, and per lambda the rating minus all effects so far.
 
     Residuals are updated join by join, so a row is never wider than one
-    effect's columns plus the residuals.
+    effect's columns plus the residuals. Rows stay narrow for as long as two
+    numbers stand for all lambdas, that is up to the second effect's join, the
+    one most likely to shuffle them. ``gather`` brings rows with equal values
+    of that column together before they widen; AQE splits a popular value.
     """
     count = len(model.lambdas)
-    needed = [*keep, *(t.spec.key for t in model.tables)]
-    out = rows.selectExpr(*_unique(model.on, needed), f"rating - {model.mean_sql()} AS r")
-    current = ["r"] * count
-    for done, table in enumerate(model.tables, 1):
-        needed = [*keep, *(t.spec.key for t in model.tables[done:])]
+    wide = [_r(i) for i in range(count)]
+    later = [t.spec.key for t in model.tables]
+    out = rows.selectExpr(*_unique(model.on, keep, later), f"rating - {model.mean_sql()} AS r")
+    carried, current = ["r"], ["r"] * count
+    for table in model.tables:
+        later = later[1:]
         effects = [table.effect(i, x) for i, x in enumerate(model.lambdas)]
-        rest = [f"{current[i]} - coalesce({effects[i]}, 0D) AS {_r(i)}" for i in range(count)]
-        out = model.attach(out, table).selectExpr(*_unique(model.on, needed), *rest)
-        current = [_r(i) for i in range(count)]
-    if not model.tables:
-        out = out.selectExpr(*_unique(model.on, keep), *[f"r AS {_r(i)}" for i in range(count)])
-    return out
+        current = [f"{current[i]} - coalesce({effects[i]}, 0D)" for i in range(count)]
+        out = model.attach(out, table)
+        if table.shared_dev:
+            carried = [*carried, *table.payload(model.lambdas)]
+            out = out.select(*_unique(model.on, keep, later, carried))
+        else:
+            out = out.selectExpr(*_unique(model.on, keep, later), *_named(current))
+            carried, current = wide, wide
+    if gather and count > 1:
+        out = out.hint("rebalance", *model.on, gather)
+    return out if carried is wide else out.selectExpr(*_unique(model.on, keep), *_named(current))
+
+
+def _named(residual: Sequence[str]) -> list[str]:
+    return [f"{text} AS {_r(i)}" for i, text in enumerate(residual)]
 
 
 def _unique(*names: Sequence[str]) -> list[str]:
