@@ -32,6 +32,7 @@ from effectspark.operators.lookup import attach
 from effectspark.sources.store import Stored, Workspace
 
 KEY_TYPES = (T.IntegralType, T.StringType)
+RESERVED = ("b", "n", "s", "r", "dev", "effect", "value")
 
 
 @dataclass(frozen=True)
@@ -176,6 +177,8 @@ def _check(frame: DataFrame, specs: Sequence[EffectSpec], lambdas: Sequence[floa
     if min(lambdas) < 0:
         raise ValueError("lambda must not be negative")
     for s in specs:
+        if s.key in RESERVED:
+            raise ValueError(f"rename the key column {s.key}: effect tables use that name themselves")
         if not isinstance(frame.schema[s.key].dataType, KEY_TYPES):
             raise TypeError(f"effect key {s.key} must be an integer or a string")
 

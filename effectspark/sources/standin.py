@@ -8,8 +8,6 @@ spread over the day, and every 97th item has no year in its title.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,23 +37,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, orders = _table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "orders")
-    rated = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    lines = _table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_shipdate"
+    )
+    lines = use_all_cores(lines, "l_orderkey", "l_linenumber")
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_custkey").alias("user_id"),
         F.col("l_partkey").alias("item_id"),
         F.expr(RATING_RULE).alias("rating"),
         F.expr(EPOCH_RULE).alias("epoch_s"),
     )
-    return use_all_cores(rated, lines, ROW_KEY)
 
 
-def use_all_cores(df: DataFrame, scan: DataFrame, row_key: Sequence[str]) -> DataFrame:
+def use_all_cores(scan: DataFrame, *row_key: str) -> DataFrame:
     """Deal the rows out if the input is so small that its scan leaves cores idle.
 
-    A large log has more partitions than cores and is left alone.
+    A large table has more partitions than cores and is left alone.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *row_key) if scan.rdd.getNumPartitions() < cores else df
+    return scan.repartition(cores, *row_key) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:

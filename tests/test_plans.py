@@ -1,0 +1,105 @@
+"""Physical plans: what must not occur, and how work grows with the number of effects."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from effectspark.operators import effects as E
+from effectspark.operators import profile
+from effectspark.operators import scoring as S
+from effectspark.plans import catalog
+from effectspark.sources import standin
+from effectspark.sources.store import Workspace
+
+FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "BatchEvalPython", "ArrowEvalPython", "Python")
+
+
+@pytest.fixture(autouse=True)
+def whole_paths(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    yield
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "fact_join", "feat_all", "split_exact", "split_folds_exact", "split_returned", "split_training",
+        "split_protected", "profile_summary", "top_titles", "profile_age", "label_explode", "profile_label",
+        "score_item", "score_cold_keys",
+    ],
+)
+def test_no_python_and_no_pairwise_join(spark, tiny, name):
+    text = plan(catalog.queries()[name](spark, tiny))
+    assert not [word for word in FORBIDDEN if word in text]
+
+
+def written_plans(monkeypatch):
+    plans = []
+    save = Workspace.save
+
+    def watch(self, df, name, partition_by=()):
+        plans.append((name, plan(df)))
+        return save(self, df, name, partition_by)
+
+    monkeypatch.setattr(Workspace, "save", watch)
+    return plans
+
+
+def test_log_scans_do_not_grow_with_the_number_of_effects(spark, tiny, monkeypatch):
+    ws = Workspace(spark)
+    stored = standin.model_frame(spark, tiny, ws)
+    log = stored.path.rsplit("/", 1)[-1]
+    plans = written_plans(monkeypatch)
+    scans = {}
+    for k in (4, 10):
+        plans.clear()
+        E.fit(stored.df, E.SHRUNK_ORDER[:k], ws, [5.0])
+        scans[k] = sum(text.count("FileScan parquet") for _, text in plans if log in text)
+        reads = [name for name, text in plans if log in text]
+        assert reads == ["sums-item", "effect-user", "value-sums", "pair-counts"]
+        assert not [w for _, text in plans for w in FORBIDDEN if w in text]
+    ws.drop()
+
+
+def test_passes_read_only_their_columns_and_partitions(spark, tiny, monkeypatch):
+    ws = Workspace(spark)
+    frame = standin.model_frame(spark, tiny, ws).df
+    plans = dict()
+    saved = written_plans(monkeypatch)
+    E.fit(frame, E.SHRUNK_ORDER, ws, [5.0])
+    plans = dict(saved)
+    assert "ReadSchema: struct<item_id:bigint,rating:double>" in plans["sums-item"]
+    assert "PartitionFilters: [isnotnull(is_val" in plans["sums-item"]
+    assert "rating" not in plans["pair-counts"].split("ReadSchema")[1]
+    assert "HashAggregate" in plans["sums-item"] and "partial_sum" in plans["sums-item"]
+    ws.drop()
+
+
+def test_small_tables_are_broadcast_and_large_ones_are_not(spark, tiny):
+    for limit, word, other in ((10**7, "BroadcastHashJoin", "SortMergeJoin"), (0, "SortMergeJoin", None)):
+        ws = Workspace(spark, broadcast_bytes=limit)
+        frame = standin.model_frame(spark, tiny, ws).df
+        model = E.fit(frame, [E.ITEM, E.USER], ws, [5.0])
+        old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            text = plan(S.score(frame.filter("is_val"), model))
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        assert word in text and (other is None or other not in text)
+        ws.drop()
+
+
+def test_ratings_are_summed_per_item_before_the_item_join(spark, tiny):
+    ratings, items = standin.ratings(spark, tiny), standin.items(spark, tiny)
+    text = plan(profile.profile_by_item_attribute(ratings, items, F.col("genres")))
+    join = text.index("LeftOuter")
+    assert "keys=[item_id" in text[join:]
+
+
+def test_a_log_with_enough_partitions_is_not_shuffled(spark):
+    assert standin.use_all_cores(spark.range(100, numPartitions=16), "id").rdd.getNumPartitions() == 16

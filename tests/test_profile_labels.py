@@ -1,0 +1,83 @@
+"""Profiles and label lists on small frames."""
+
+from pyspark.sql import functions as F
+
+from effectspark.operators import labels, profile
+
+
+def ratings(spark):
+    rows = [(1, 1, 2.0), (1, 2, 4.0), (2, 1, 3.0), (3, 9, 5.0)]
+    return spark.createDataFrame(rows, "user_id bigint, item_id bigint, rating double")
+
+
+def items(spark):
+    rows = [(1, "One (1990)", "A|B"), (2, "Two", "B")]
+    return spark.createDataFrame(rows, "item_id bigint, title string, genres string")
+
+
+def as_set(df):
+    return {tuple(r) for r in df.collect()}
+
+
+def test_attribute_profile_equals_profile_of_joined_rows(spark):
+    r, i = ratings(spark), items(spark)
+    joined = r.join(i, "item_id", "left")
+    assert as_set(profile.profile_by_item_attribute(r, i, F.col("genres"))) == as_set(
+        profile.profile_by(joined, "genres")
+    )
+    assert as_set(profile.count_by_item_attribute(r, i, "title")) == as_set(profile.count_by(joined, "title"))
+
+
+def test_null_key_is_a_group(spark):
+    got = as_set(profile.profile_by(ratings(spark).join(items(spark), "item_id", "left"), "title"))
+    assert (None, 5.0, 1) in got
+
+
+def test_mean_of_means_weighs_groups_equally(spark):
+    assert profile.mean_of_means(ratings(spark), "user_id").first()[0] == (3.0 + 3.0 + 5.0) / 3
+
+
+def test_summary_options(spark):
+    df = ratings(spark).unionByName(
+        spark.createDataFrame([(None, 1, None)], "user_id bigint, item_id bigint, rating double")
+    )
+    plain = profile.summary(df).first()
+    assert (plain["row_count"], plain["users"], plain["mean_rating"]) == (5, 3, 3.5)
+    strict = profile.summary(df, strict_nulls=True, count_null=True).first()
+    assert (strict["users"], strict["mean_rating"], strict["sd_rating"]) == (4, None, None)
+
+
+def test_extremes_and_top_k(spark):
+    df = ratings(spark)
+    assert profile.greatest_row(df, "rating", ["user_id"]).first()["user_id"] == 3
+    assert profile.least_row(df, "rating", ["user_id"]).first()["user_id"] == 1
+    counts = profile.count_by(df, "item_id")
+    assert [r["item_id"] for r in profile.top_k(counts, "n", ["item_id"], 2).collect()] == [1, 2]
+
+
+def test_histogram_and_grid(spark):
+    df = ratings(spark)
+    assert as_set(profile.histogram(df, "rating", 2.0)) == {(2.0, 2), (4.0, 2)}
+    assert as_set(profile.density_grid(df, "item_id", "rating", 5, 2.0)) == {(0, 1, 2), (0, 2, 1), (1, 2, 1)}
+
+
+def test_explode_keeps_rows_without_labels(spark):
+    df = spark.createDataFrame([(1, "A|B"), (2, ""), (3, None)], "id int, genres string")
+    assert as_set(labels.explode_labels(df)) == {(1, "A"), (1, "B"), (2, ""), (3, None)}
+
+
+def test_label_profile_equals_profile_of_exploded_rows(spark):
+    joined = ratings(spark).join(items(spark), "item_id", "left")
+    exploded = labels.explode_labels(joined)
+    assert as_set(labels.profile_label(joined)) == as_set(profile.profile_by(exploded, "label"))
+
+
+def test_contains_counts_text_not_label(spark):
+    df = spark.createDataFrame([("Drama|Comedy",), ("Dramatic",), (None,)], "genres string")
+    assert as_set(labels.contains_counts(df, ["Drama", "Comedy", "War"])) == {("Drama", 2), ("Comedy", 1), ("War", 0)}
+
+
+def test_indicators_are_whole_labels(spark):
+    df = spark.createDataFrame([("Drama|Comedy",), ("Dramatic",)], "genres string")
+    got = [(r["has_Drama"], r["has_Comedy"]) for r in labels.indicators(df, ["Drama", "Comedy"]).collect()]
+    assert got == [(True, True), (False, False)]

@@ -1,0 +1,64 @@
+"""Delimited readers, the stored tables, the fact join."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from effectspark.sources import delimited
+from effectspark.sources.store import Workspace
+
+
+def test_read_ratings(spark, tmp_path):
+    path = tmp_path / "ratings.dat"
+    path.write_text("1::122::5::838985046\n1::185::4.5::838983525\n")
+    rows = [tuple(r) for r in delimited.read_ratings(spark, str(path)).orderBy("item_id").collect()]
+    assert rows == [(1, 122, 5.0, 838985046), (1, 185, 4.5, 838983525)]
+
+
+def test_read_items_edge_lines(spark, tmp_path):
+    path = tmp_path / "items.dat"
+    path.write_text(
+        "122::Boomerang (1992)::Comedy|Romance\n5::A::B::C\n6::X\n7::Quote \" here (1999)::Drama\n"
+    )
+    rows = [tuple(r) for r in delimited.read_items(spark, str(path)).orderBy("item_id").collect()]
+    assert rows == [
+        (5, "A", "B::C"),
+        (6, "X", ""),
+        (7, 'Quote " here (1999)', "Drama"),
+        (122, "Boomerang (1992)", "Comedy|Romance"),
+    ]
+
+
+def test_fact_join_keeps_unknown_items(spark):
+    ratings = spark.createDataFrame([(1, 1, 3.0, 0), (1, 2, 4.0, 0)], delimited.RATING_SCHEMA)
+    items = spark.createDataFrame([(1, "T (2000)", "A|B")], "item_id bigint, title string, genres string")
+    rows = delimited.fact_join(ratings, items).orderBy("item_id").collect()
+    assert [(r["item_id"], r["title"], r["genres"]) for r in rows] == [(1, "T (2000)", "A|B"), (2, None, None)]
+
+
+def test_stored_table_knows_its_size(spark, ws):
+    df = spark.range(10).select("id", F.lit("abc").alias("t"))
+    stored = ws.save(df, "t")
+    assert stored.rows == 10
+    assert stored.bytes == 10 * 8 * 3 + 30
+    assert stored.df.dtypes == df.dtypes and stored.df.count() == 10
+
+
+def test_stored_empty_table(spark, ws):
+    stored = ws.save(spark.range(0).filter("id > 5"), "none")
+    assert (stored.rows, stored.bytes, stored.df.count()) == (0, 0, 0)
+
+
+def test_stored_table_has_no_lineage(spark, ws):
+    stored = ws.save(spark.range(10).groupBy("id").count(), "counts")
+    plan = stored.df._jdf.queryExecution().toString()
+    assert "Aggregate" not in plan and "FileScan" in plan
+
+
+def test_drop_removes_only_its_own_folder(spark):
+    a, b = Workspace(spark), Workspace(spark)
+    left, kept = a.save(spark.range(3), "x"), b.save(spark.range(4), "x")
+    a.drop()
+    assert kept.df.count() == 4
+    with pytest.raises(Exception):
+        spark.read.parquet(left.path).count()
+    b.drop()
