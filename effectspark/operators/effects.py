@@ -20,7 +20,7 @@ once as parallel columns, and several folds at once through ``by``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -164,11 +164,13 @@ def fit(
     last_wide = max((i for i, s in enumerate(specs) if s.wide), default=-1)
     narrow = specs[last_wide + 1 :]
 
-    for i, spec in enumerate(specs[: last_wide + 1]):
-        model = _fit_first(train, spec, model, ws) if i == 0 else _fit_next(train, spec, model, narrow, ws)
-    if not model.mu:
-        model = replace(model, mu=_means(train, model.on, F.avg("rating")))
-    return _fit_narrow(train, narrow, model, ws) if narrow else model
+    counts = _pair_counts(train, [s.key for s in narrow], model) if len(narrow) > 1 else None
+    with ws.saving(counts, "pair-counts") as pairs:
+        for i, spec in enumerate(specs[: last_wide + 1]):
+            model = _fit_next(train, spec, model, ws) if i else _fit_first(train, spec, model, ws)
+        if not model.mu:
+            model = replace(model, mu=_means(train, model.on, F.avg("rating")))
+        return _fit_narrow(train, narrow, pairs, model, ws) if narrow else model
 
 
 def _check(frame: DataFrame, specs: Sequence[EffectSpec], lambdas: Sequence[float]) -> None:
@@ -198,9 +200,7 @@ def _fit_first(train: DataFrame, spec: EffectSpec, model: EffectModel, ws: Works
     return _with(model, EffectTable(spec, replace(stored, df=deviations), shared_dev=True))
 
 
-def _fit_next(
-    train: DataFrame, spec: EffectSpec, model: EffectModel, narrow: Sequence[EffectSpec], ws: Workspace
-) -> EffectModel:
+def _fit_next(train: DataFrame, spec: EffectSpec, model: EffectModel, ws: Workspace) -> EffectModel:
     rest = residuals(train, model, [spec.key], gather=spec.key)
     stored = ws.save(_shrunk_means(rest, spec.key, model), f"effect-{spec.name}")
     return _with(model, EffectTable(spec, stored, shared_dev=False))
@@ -261,19 +261,18 @@ def _unique(*names: Sequence[str]) -> list[str]:
 
 
 def _fit_narrow(
-    train: DataFrame, narrow: Sequence[EffectSpec], model: EffectModel, ws: Workspace
+    train: DataFrame,
+    narrow: Sequence[EffectSpec],
+    pairs: Callable[[], Stored | None],
+    model: EffectModel,
+    ws: Workspace,
 ) -> EffectModel:
     keys = [s.key for s in narrow]
     types = {k: train.schema[k].dataType for k in keys}
     sums = ws.save(_value_sums(residuals(train, model, keys), keys, model), "value-sums")
-    if len(narrow) == 1:
-        pairs = None
-    else:
-        pairs = ws.save(_pair_counts(train, keys, model), "pair-counts")
-
     solved: list[Stored] = []
     for k, spec in enumerate(narrow):
-        stored = ws.save(_solve(k, sums, pairs, solved, model, ws), f"effect-{spec.name}")
+        stored = ws.save(_solve(k, sums, pairs(), solved, model, ws), f"effect-{spec.name}")
         solved.append(stored)
     for spec, stored in zip(narrow, solved):
         typed = stored.df.withColumn(spec.key, F.col("value").cast(types[spec.key])).drop("effect", "value")

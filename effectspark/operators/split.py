@@ -20,6 +20,7 @@ from effectspark.sources.store import Stored, Workspace
 PER_MILLE = 1000
 INNER_PARTS = 10
 BUCKETS = 1 << 20
+CHUNK = 1 << 20
 
 
 def holdout(h: Column, p: float = 0.1) -> Column:
@@ -65,54 +66,75 @@ def _bucket(h: str) -> Column:
     return F.floor(F.col(h) / ((1 << 32) // BUCKETS))
 
 
+def _with_copies(df: DataFrame) -> DataFrame:
+    """Distinct rows and how often each occurs; copies of one row meet as counts only."""
+    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__copies"))
+
+
+def _repeat(df: DataFrame, columns: Sequence[str], times: str) -> DataFrame:
+    """Each row ``times`` times; a row with very many copies is dealt out to several tasks."""
+    left = F.col(times) - F.col("__chunk") * CHUNK
+    return (
+        df.filter(F.col(times) > 0)
+        .withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(times) - 1) / CHUNK))))
+        .repartition("__chunk", *columns)
+        .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(CHUNK), left))))
+        .select(*columns)
+    )
+
+
 def exact_holdout(
     df: DataFrame, ws: Workspace, stratum: str, h: str, ties: Sequence[str], p: float = 0.1
 ) -> DataFrame:
     """Exactly ``ceil(n * p)`` rows of each stratum: those with the lowest hashes.
 
-    Whole hash ranges are taken by comparing counts; only the range in which the
-    quota ends is ranked, about one row in a million.
+    Whole hash ranges are taken by comparing counts. Only the range in which the
+    quota ends is ranked, about one distinct row in a million, and copies of a
+    row are ranked as one.
     """
     edges = ws.save(
         _bucket_offsets(df, stratum, h)
         .withColumn("quota", F.ceil(F.col("in_stratum") * round(p * PER_MILLE) / PER_MILLE))
-        .filter((F.col("before") < F.col("quota")) & (F.col("quota") <= F.col("before") + F.col("in_bucket")))
-        .select(F.col("stratum").alias(stratum), "bucket", (F.col("quota") - F.col("before")).alias("wanted"),
-                F.col("in_stratum").alias("n")),
+        .filter("before < quota AND quota <= before + in_bucket")
+        .selectExpr(f"stratum AS {stratum}", "bucket", "quota - before AS wanted", "in_stratum AS n"),
         "holdout-edges",
     )
     placed = attach(df, edges, [stratum], ["bucket", "wanted"], ws.broadcast_bytes)
     below = placed.filter(_bucket(h) < F.col("bucket")).select(*df.columns)
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(h, *ties))
-    at_edge = (
-        placed.filter(_bucket(h) == F.col("bucket"))
-        .withColumn("__rank", rank)
-        .filter(F.col("__rank") <= F.col("wanted"))
-        .select(*df.columns)
+    upto = Window.partitionBy(stratum).orderBy(h, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    at_edge = _with_copies(placed.filter(_bucket(h) == F.col("bucket")))
+    at_edge = at_edge.withColumn("__before", F.sum("__copies").over(upto) - F.col("__copies")).withColumn(
+        "__take", F.least(F.col("__copies"), F.col("wanted") - F.col("__before"))
     )
-    return below.unionByName(at_edge)
+    return below.unionByName(_repeat(at_edge, df.columns, "__take"))
 
 
-def exact_folds(
-    df: DataFrame, stratum: str, h: str, ties: Sequence[str], k: int = 10
-) -> DataFrame:
+def exact_folds(df: DataFrame, stratum: str, h: str, ties: Sequence[str], k: int = 10) -> DataFrame:
     """Folds whose sizes differ by at most one row within each stratum.
 
     A row's rank in its stratum is the number of rows in lower hash ranges plus
-    its rank inside its own range, so no stratum is ever sorted in one task.
+    its rank inside its own range, so no stratum is ever sorted in one task;
+    consecutive copies of one row go to consecutive folds.
     """
-    offsets = _bucket_offsets(df, stratum, h).select(
-        F.col("stratum").alias("__stratum"), F.col("bucket").alias("__range"), "before"
-    )
-    ranged = df.withColumn("__bucket", _bucket(h))
-    joined = ranged.join(
+    offsets = _bucket_offsets(df, stratum, h).selectExpr("stratum AS __stratum", "bucket AS __range", "before")
+    rows = _with_copies(df).withColumn("__bucket", _bucket(h))
+    joined = rows.join(
         offsets,
         F.col(stratum).eqNullSafe(F.col("__stratum")) & (F.col("__bucket") == F.col("__range")),
         "left",
     )
-    inside = F.row_number().over(Window.partitionBy(stratum, "__bucket").orderBy(h, *ties))
-    rank = F.col("before") + inside - 1
-    return joined.withColumn("fold", F.pmod(rank, F.lit(k)).cast("int")).select(*df.columns, "fold")
+    upto = (
+        Window.partitionBy(stratum, "__bucket").orderBy(h, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    )
+    first = F.col("before") + F.sum("__copies").over(upto) - F.col("__copies")
+    turn = F.pmod(F.col("fold") - F.col("__first"), F.lit(k))
+    return _repeat(
+        joined.withColumn("__first", first)
+        .withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+        .withColumn("__take", F.floor((F.col("__copies") - turn + k - 1) / k)),
+        [*df.columns, "fold"],
+        "__take",
+    )
 
 
 def cold_keys(df: DataFrame, held: str, keys: Sequence[str], ws: Workspace) -> Stored:

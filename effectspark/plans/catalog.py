@@ -67,7 +67,7 @@ class Run:
         return standin.model_frame(self.spark, self.dir, self.ws, *extra).df
 
     def events(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/events.parquet")
+        return standin.table(self.spark, self.dir, "events")
 
 
 def query(make: Callable[[Run], DataFrame]) -> Query:

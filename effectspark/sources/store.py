@@ -8,11 +8,15 @@ itself; no second job counts them.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,11 +47,10 @@ class Workspace:
         self.spark = spark
         self.broadcast_bytes = broadcast_bytes
         self.root = f"{_shared_folder(spark)}/effectspark-{uuid.uuid4().hex}"
-        self._count = 0
+        self._numbers = itertools.count(1)
 
     def path(self, name: str) -> str:
-        self._count += 1
-        return f"{self.root}/{self._count:03d}-{name}"
+        return f"{self.root}/{next(self._numbers):03d}-{name}"
 
     def save(self, df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> Stored:
         """Write ``df`` and read it back with a known size and no lineage."""
@@ -62,6 +65,19 @@ class Workspace:
         size += rows * 8 * (len(df.columns) + 1)
         return Stored(self.read(path, df.schema), path, rows, size)
 
+    @contextmanager
+    def saving(self, df: DataFrame | None, name: str) -> Iterator[Callable[[], Stored | None]]:
+        """Save in the background; the yielded function waits for the table.
+
+        For a pass that does not depend on the ones that follow: its tasks fill
+        the cores that the tails of their stages leave idle.
+        """
+        with ThreadPoolExecutor(1) as pool:
+            if df is None:
+                yield lambda: None
+            else:
+                yield pool.submit(inheritable_thread_target(lambda: self.save(df, name))).result
+
     def read(self, path: str | Sequence[str], schema: T.StructType) -> DataFrame:
         paths = [path] if isinstance(path, str) else list(path)
         return self.spark.read.schema(schema).parquet(*paths)

@@ -54,13 +54,11 @@ def test_log_scans_do_not_grow_with_the_number_of_effects(spark, tiny, monkeypat
     stored = standin.model_frame(spark, tiny, ws)
     log = stored.path.rsplit("/", 1)[-1]
     plans = written_plans(monkeypatch)
-    scans = {}
     for k in (4, 10):
         plans.clear()
         E.fit(stored.df, E.SHRUNK_ORDER[:k], ws, [5.0])
-        scans[k] = sum(text.count("FileScan parquet") for _, text in plans if log in text)
         reads = [name for name, text in plans if log in text]
-        assert reads == ["sums-item", "effect-user", "value-sums", "pair-counts"]
+        assert sorted(reads) == ["effect-user", "pair-counts", "sums-item", "value-sums"]
         assert not [w for _, text in plans for w in FORBIDDEN if w in text]
     ws.drop()
 

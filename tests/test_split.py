@@ -87,6 +87,24 @@ def test_exact_holdout_when_many_rows_share_a_hash(spark, ws):
     assert sorted((r.h, r.k) for r in chosen) == expect
 
 
+def copies(spark):
+    """A third of 3000 rows are copies of one row."""
+    k = F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id"))
+    return spark.range(3000).select(F.lit(1.0).alias("rating"), F.pmod(F.xxhash64(k), F.lit(1 << 32)).alias("h"), k.alias("k"))
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 7])
+def test_exact_splits_with_many_copies_of_a_row(spark, ws, monkeypatch, chunk):
+    monkeypatch.setattr(split, "CHUNK", chunk)
+    df = copies(spark)
+    everything = sorted((r.h, r.k) for r in df.collect())
+    for p in (0.1, 0.5, 0.9):
+        got = sorted((r.h, r.k) for r in split.exact_holdout(df, ws, "rating", "h", ["k"], p).collect())
+        assert got == everything[: round(3000 * p)]
+    folds = split.exact_folds(df, "rating", "h", ["k"], k=7).collect()
+    assert sorted((r.h, r.k, r.fold) for r in folds) == sorted((h, k, i % 7) for i, (h, k) in enumerate(everything))
+
+
 def test_exact_folds(flagged):
     rows = split.exact_folds(flagged, "rating", "h", KEY, k=7)
     sizes = defaultdict(list)
