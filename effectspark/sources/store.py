@@ -76,7 +76,8 @@ class Workspace:
             if df is None:
                 yield lambda: None
             else:
-                yield pool.submit(inheritable_thread_target(lambda: self.save(df, name))).result
+                task = inheritable_thread_target(self.spark)(lambda: self.save(df, name))
+                yield pool.submit(task).result
 
     def read(self, path: str | Sequence[str], schema: T.StructType) -> DataFrame:
         paths = [path] if isinstance(path, str) else list(path)
