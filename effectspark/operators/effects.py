@@ -32,6 +32,7 @@ from effectspark.operators.lookup import attach
 from effectspark.sources.store import Stored, Workspace
 
 KEY_TYPES = (T.IntegralType, T.StringType)
+FOUND = "__found_"
 RESERVED = ("b", "n", "s", "r", "dev", "effect", "value")
 
 
@@ -79,8 +80,11 @@ class EffectTable:
     def payload(self, lambdas: Sequence[float]) -> list[str]:
         return ["n", "dev"] if self.shared_dev else [_b(i) for i in range(len(lambdas))]
 
-    def effect(self, i: int, lambda_: float) -> str:
-        return A.shrunk_sql("dev", "n", lambda_) if self.shared_dev else _b(i)
+    def effect(self, i: int, lambda_: float, prefix: str = "") -> str:
+        """The effect at the i-th lambda, as SQL text over the payload."""
+        if self.shared_dev:
+            return A.shrunk_sql(f"{prefix}dev", f"{prefix}n", lambda_)
+        return f"{prefix}{_b(i)}"
 
 
 @dataclass(frozen=True)
@@ -131,7 +135,8 @@ class EffectModel:
 
     def attach(self, rows: DataFrame, table: EffectTable) -> DataFrame:
         return attach(
-            rows, table.stored, [*self.on, table.spec.key], table.payload(self.lambdas), self.broadcast_bytes
+            rows, table.stored, [*self.on, table.spec.key], table.payload(self.lambdas), self.broadcast_bytes,
+            prefix=FOUND,
         )
 
 
@@ -153,13 +158,15 @@ def fit(
 ) -> EffectModel:
     """Fit the effects in the given order on the rows that are not ``held`` out.
 
-    ``frame`` is read several times; pass a stored table. ``by`` fits every
+    ``frame`` is read several times; pass a stored table. Rows without a rating
+    are left out. ``by`` fits every
     value of that column (a fold number: few values) on its own. Without specs
     the model is the mean alone.
     """
     specs, lambdas = tuple(specs), tuple(float(x) for x in lambdas)
     _check(frame, specs, lambdas)
-    train = frame.filter(~F.col(held)) if held else frame
+    train = frame.filter("rating IS NOT NULL")
+    train = train.filter(~F.col(held)) if held else train
     model = EffectModel(specs, lambdas, by, {}, (), ws.broadcast_bytes)
     last_wide = max((i for i, s in enumerate(specs) if s.wide), default=-1)
     narrow = specs[last_wide + 1 :]
@@ -238,11 +245,11 @@ def residuals(
     carried, current = ["r"], ["r"] * count
     for table in model.tables:
         later = later[1:]
-        effects = [table.effect(i, x) for i, x in enumerate(model.lambdas)]
+        effects = [table.effect(i, x, FOUND) for i, x in enumerate(model.lambdas)]
         current = [f"{current[i]} - coalesce({effects[i]}, 0D)" for i in range(count)]
         out = model.attach(out, table)
         if table.shared_dev:
-            carried = [*carried, *table.payload(model.lambdas)]
+            carried = [*carried, *(FOUND + p for p in table.payload(model.lambdas))]
             out = out.select(*_unique(model.on, keep, later, carried))
         else:
             out = out.selectExpr(*_unique(model.on, keep, later), *_named(current))

@@ -38,31 +38,35 @@ def attach(
     on: Sequence[str],
     payload: Sequence[str],
     limit: int,
+    prefix: str = "",
     weight: str = "n",
 ) -> DataFrame:
     """Add the ``payload`` columns of ``table`` to ``rows``; NULL where no key matches.
 
-    ``weight`` names the column that counts the rows per key; it is read only
+    They are called ``prefix`` + their name. ``weight`` names the column that counts the rows per key; it is read only
     when the table is too large to broadcast.
     """
+    found = prefix + "{}"
     if table.fits(limit):
-        return _join(rows, F.broadcast(_side(table.df, on, payload)), on)
+        return _join(rows, F.broadcast(_side(table.df, on, payload, found)), on)
 
     total = table.df.agg(F.sum(weight)).first()[0] or 0
     is_hot = F.col(weight) * HOT_KEYS >= F.lit(total)
-    hot = _side(table.df.filter(is_hot), on, payload, rename=_HOT).withColumn("__is_hot", F.lit(True))
-    cold = _side(table.df.filter(~is_hot), on, payload).withColumn("__salt_t", F.lit(0))
+    hot = _side(table.df.filter(is_hot), on, payload, _HOT).withColumn("__is_hot", F.lit(True))
+    cold = _side(table.df.filter(~is_hot), on, payload, found).withColumn("__salt_t", F.lit(0))
 
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(SALTS)).cast("int") + 1
     salted = _join(rows, F.broadcast(hot), on).withColumn(
         "__salt", F.when(F.col("__is_hot"), spread).otherwise(F.lit(0))
     )
     joined = _join(salted, cold, on, extra=F.col("__salt") == F.col("__salt_t"))
-    picked = [f"CASE WHEN __is_hot THEN {_HOT.format(p)} ELSE {p} END AS {p}" for p in payload]
+    picked = [
+        f"CASE WHEN __is_hot THEN {_HOT.format(p)} ELSE {found.format(p)} END AS {found.format(p)}" for p in payload
+    ]
     return joined.selectExpr(*rows.columns, *picked)
 
 
-def _side(table: DataFrame, on: Sequence[str], payload: Sequence[str], rename: str = "{}") -> DataFrame:
+def _side(table: DataFrame, on: Sequence[str], payload: Sequence[str], rename: str) -> DataFrame:
     keys = [f"{k} AS {_KEY.format(k)}" for k in on]
     return table.selectExpr(*keys, *[f"{p} AS {rename.format(p)}" for p in payload])
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from effectspark.functions import aggregates as A
-from effectspark.operators.effects import EffectModel
+from effectspark.operators.effects import FOUND, EffectModel
 
 
 def score(rows: DataFrame, model: EffectModel, lambda_: float | None = None) -> DataFrame:
@@ -20,7 +20,7 @@ def _effects(rows: DataFrame, model: EffectModel, lambda_: float | None, seen: b
     i = 0 if lambda_ is None else model.lambdas.index(lambda_)
     out, kept = rows, list(rows.columns)
     for table in model.tables:
-        found = F.expr(table.effect(i, model.lambdas[i]))
+        found = F.expr(table.effect(i, model.lambdas[i], FOUND))
         name = f"b_{table.spec.name}"
         extra = {name: F.coalesce(found, F.lit(0.0))}
         if seen:

@@ -10,6 +10,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # HotSpot never compiles a method of more than 8000 bytes of bytecode. Rows of
+    # dozens of columns exceed that; such a stage is faster operator by operator.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

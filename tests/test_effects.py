@@ -47,7 +47,7 @@ def test_golden_ladders(spark, shared, sf):
 
 def brute_force(rows, keys, lam, held):
     """Sequential fit with dictionaries."""
-    train = [r for r in rows if not r[held]]
+    train = [r for r in rows if not r[held] and r["rating"] is not None]
     mu = sum(r["rating"] for r in train) / len(train)
     rest = [r["rating"] - mu for r in train]
     tables = {}
@@ -85,7 +85,7 @@ def hot_rows(n=3000, seed=3):
             "x": pick(None, list(range(12))),
             "y": pick("x", ["y", "z|w", "", None]),
             "z": pick(7, list(range(-3, 9))),
-            "rating": rng.randint(1, 10) / 2,
+            "rating": None if rng.random() < 0.02 else rng.randint(1, 10) / 2,
             "held": rng.random() < 0.1,
         }
         for _ in range(n)
@@ -135,6 +135,31 @@ def test_hot_keys_are_split_off_and_spread(spark, monkeypatch):
     ws.drop()
 
 
+@pytest.mark.parametrize("limit", [10**9, 0])
+def test_skewed_folds_and_lambdas_equal_brute_force(spark, limit):
+    """One fold holds most rows; several lambdas; with and without broadcasts."""
+    ws = Workspace(spark, broadcast_bytes=limit)
+    rows = [{**r, "fold": 0 if k % 5 else 1} for k, r in enumerate(hot_rows(1500))]
+    df = ws.save(spark.createDataFrame(rows, SCHEMA + ", fold int"), "rows").df
+    model = E.fit(df, [SPEC[k] for k in "iuxyz"], ws, [0.0, 3.0], held="held", by="fold")
+    for fold in (0, 1):
+        part = [r for r in rows if r["fold"] == fold]
+        for lam in (0.0, 3.0):
+            mu, tables = brute_force(part, "iuxyz", lam, "held")
+            assert model.mu[fold] == pytest.approx(mu)
+            for key in "iuxyz":
+                got = {r[key]: r["b"] for r in model.table(key, lam).filter(f"fold = {fold}").collect()}
+                assert got.keys() == tables[key].keys()
+                assert all(got[v] == pytest.approx(tables[key][v], abs=1e-9) for v in got)
+    ws.drop()
+
+
+def test_rows_may_have_columns_named_like_the_tables_own(frame, shared):
+    model = E.fit(frame, E.SHRUNK_ORDER[:3], shared, [5.0])
+    rows = frame.filter("is_val").limit(5).withColumns({c: F.lit(1.0) for c in ("n", "dev", "b_0", "r")})
+    assert S.score(rows, model).count() == 5
+
+
 def test_many_lambdas_equal_one_at_a_time(frame, shared):
     lambdas = [0.0, 1.0, 5.0, 10.0]
     together = E.fit(frame, E.SHRUNK_ORDER, shared, lambdas)
