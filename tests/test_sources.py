@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from effectspark.sources import delimited
+from effectspark.sources import delimited, store
 from effectspark.sources.store import Workspace
 
 
@@ -62,3 +62,22 @@ def test_drop_removes_only_its_own_folder(spark):
     with pytest.raises(Exception):
         spark.read.parquet(left.path).count()
     b.drop()
+
+
+class FakeSession:
+    """A session on a cluster, as far as the choice of folder looks at it."""
+
+    def __init__(self, master, folder=None):
+        self.conf = self
+        self.sparkContext = self
+        self.master, self.folder, self.applicationId = master, folder, "app-1"
+
+    def get(self, key, default=None):
+        return self.folder if key == store.CHECKPOINT_DIR and self.folder else default
+
+
+def test_shared_folder_comes_from_the_session():
+    assert store._shared_folder(FakeSession("yarn", "hdfs:///shared/")) == "hdfs:///shared"
+    assert store._shared_folder(FakeSession("local[2]", "/shared")) == "/shared"
+    with pytest.raises(RuntimeError):
+        store._shared_folder(FakeSession("yarn"))
