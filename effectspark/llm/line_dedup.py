@@ -13,10 +13,10 @@ document as one array of flags, and its text is rebuilt from the kept chunks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from effectspark.llm.tables import row_key, text_or_empty
+from effectspark.llm.tables import row_key
 from effectspark.sources.store import Workspace
 
 # A chunk starts where the rolling hash begins with a digit below CUT (5 of 16: about three lines),
@@ -49,68 +49,76 @@ def dedup_lines(docs: DataFrame, ws: Workspace) -> DataFrame:
         .select("digest", "first")
     )
     flagged = meta.join(repeats, "digest", "left").select(
-        _KEY, "place.chunk", F.coalesce(F.col("first") != F.col("place"), F.lit(False)).alias("drop")
+        _KEY, "place.chunk", "lines", F.coalesce(F.col("first") != F.col("place"), F.lit(False)).alias("drop")
     )
-    flags = (
+    # sets, because rows that are one document have the same chunks
+    decided = (
         flagged.groupBy(_KEY)
-        .agg(F.array_sort(F.collect_set(F.struct("chunk", "drop"))).alias(_FLAGS), F.bool_or("drop").alias("any"))
-        .filter("any")
-        .drop("any")
+        .agg(F.array_sort(F.collect_set(F.struct("chunk", "lines", "drop"))).alias("parts"))
+        .withColumns(
+            {
+                "__n_lines": F.expr("aggregate(parts, 0L, (a, p) -> a + p.lines)"),
+                "__n_removed": F.expr("aggregate(parts, 0L, (a, p) -> a + if(p.drop, p.lines, 0))"),
+                "__n_chunks": F.expr("aggregate(parts, 0L, (a, p) -> a + if(p.drop, 1, 0))"),
+            }
+        )
+        .withColumn(_FLAGS, F.expr("CASE WHEN __n_chunks > 0 THEN parts.drop END"))
+        .drop("parts")
     )
-    found = _with_chunks(keyed).join(flags, _KEY, "left")
-    zipped = f"arrays_zip({_CHUNKS}, {_FLAGS}.drop)"
-    kept = f"transform(filter({zipped}, z -> NOT z.drop), z -> z.{_CHUNKS}.body)"
-    removed = f"filter({zipped}, z -> z.drop)"
-    counted = {
-        "n_lines": F.expr(f"aggregate({_CHUNKS}, 0L, (a, c) -> a + c.lines)"),
-        "n_removed": F.expr(f"coalesce(aggregate({removed}, 0L, (a, z) -> a + z.{_CHUNKS}.lines), 0L)"),
-        "n_chunks_removed": F.expr(f"CASE WHEN {_FLAGS} IS NULL THEN 0L ELSE CAST(size({removed}) AS BIGINT) END"),
-        "text": F.expr(f"CASE WHEN {_FLAGS} IS NULL THEN text ELSE array_join({kept}, '\\n') END"),
+    found = _with_chunks(keyed.join(decided, _KEY, "left"), F.col(_FLAGS).isNotNull())
+    kept = f"filter(arrays_zip({_CHUNKS}, {_FLAGS}), z -> NOT z.{_FLAGS})"
+    results = {
+        "n_lines": F.coalesce("__n_lines", F.lit(0)),
+        "n_removed": F.coalesce("__n_removed", F.lit(0)),
+        "n_chunks_removed": F.coalesce("__n_chunks", F.lit(0)),
+        "text": F.expr(
+            f"CASE WHEN {_FLAGS} IS NULL THEN text ELSE array_join(transform({kept}, z -> z.{_CHUNKS}.body), '\n') END"
+        ),
     }
-    return found.withColumns(counted).select(*_unique(docs.columns, counted))
-
+    return found.withColumns(results).select(*dict.fromkeys([*docs.columns, *results]))
 
-def _unique(*groups) -> list[str]:
-    return list(dict.fromkeys(name for group in groups for name in group))
 
-
-def _with_chunks(docs: DataFrame) -> DataFrame:
-    """Add the document's chunks as an array of (lines, filled, body).
+def _with_chunks(docs: DataFrame, where: Column) -> DataFrame:
+    """Add the chunks of the texts ``where`` holds, as an array of (lines, filled, body).
 
     Each step is a projection of its own, and names ``lines`` or ``starts`` more
     than once, so that a text is split once and not once per chunk.
     """
+    wanted = where & F.col("text").isNotNull()
     split = docs.withColumn(
-        "__lines", F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(
-            F.split(text_or_empty(), "\n", -1)
-        )
+        "__lines", F.when(wanted, F.split("text", "\n", -1)).otherwise(F.array().cast("array<string>"))
     ).withColumn("__hashes", F.expr("transform(__lines, x -> md5(x))"))
-    near = "arrays_zip(slice(__hashes, 1, greatest(size(__hashes) - 1, 0)) AS a, slice(__hashes, 2, size(__hashes)) AS b)"
-    near = near.replace(" AS a", "").replace(" AS b", "")
-    cuts = f"transform({near}, (z, i) -> CASE WHEN md5(concat(z['0'], z['1'])) < '{CUT}' THEN i + 1 END)"
-    starts = split.withColumn(
+    neighbours = "arrays_zip(slice(__hashes, 1, greatest(size(__hashes) - 1, 0)), slice(__hashes, 2, size(__hashes)))"
+    cuts = f"transform({neighbours}, (z, i) -> CASE WHEN md5(concat(z['0'], z['1'])) < '{CUT}' THEN i + 1 END)"
+    ranges = split.withColumn(
         "__starts", F.expr(f"CASE WHEN size(__lines) = 0 THEN array() ELSE concat(array(0), array_compact({cuts})) END")
     ).withColumn(
-        "__ends", F.expr("CASE WHEN size(__starts) = 0 THEN array() ELSE "
-                         "concat(slice(__starts, 2, size(__starts)), array(size(__lines))) END")
+        "__ends",
+        F.expr("CASE WHEN size(__starts) = 0 THEN array() "
+               "ELSE concat(slice(__starts, 2, size(__starts)), array(size(__lines))) END"),
     )
     part = "slice(__lines, z.__starts + 1, z.__ends - z.__starts)"
-    body = (
-        f"transform(arrays_zip(__starts, __ends), z -> named_struct('lines', z.__ends - z.__starts, "
-        f"'filled', size(filter({part}, l -> l RLIKE r'{NOT_BLANK}')), 'body', array_join({part}, '\\n')))"
+    chunk = (
+        f"named_struct('lines', z.__ends - z.__starts, 'filled', size(filter({part}, l -> l RLIKE r'{NOT_BLANK}')), "
+        f"'body', array_join({part}, '\n'))"
     )
-    return starts.withColumn(_CHUNKS, F.expr(body)).drop("__lines", "__hashes", "__starts", "__ends")
+    chunks = F.expr(f"transform(arrays_zip(__starts, __ends), z -> {chunk})")
+    return ranges.withColumn(_CHUNKS, chunks).drop("__lines", "__hashes", "__starts", "__ends")
 
 
 def _chunk_rows(keyed: DataFrame) -> DataFrame:
     """A row per chunk: key of the document, place, digest, body."""
-    each = _with_chunks(keyed.select("doc_id", "text", _KEY)).select(
-        "doc_id", _KEY, F.posexplode(_CHUNKS).alias("chunk", "c")
+    # the outer form: from the inner one the optimiser derives a filter that computes the chunks once more
+    each = (
+        _with_chunks(keyed.select("doc_id", "text", _KEY), F.lit(True))
+        .select("doc_id", _KEY, F.posexplode_outer(_CHUNKS).alias("chunk", "c"))
+        .filter("chunk IS NOT NULL")
     )
     return each.select(
         _KEY,
         F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col(_KEY).alias("key"), "chunk").alias("place"),
         F.unhex(F.sha2("c.body", 256)).alias("digest"),
-        F.col("c.filled").alias("filled"),
-        F.col("c.body").alias("body"),
+        "c.lines",
+        "c.filled",
+        "c.body",
     )
