@@ -4,14 +4,79 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effectspark.llm import exact_dedup, line_dedup
+from effectspark.llm import bpe, exact_dedup, langid, line_dedup, near_dedup, token_cache, toxicity, warc
 from effectspark.llm.tables import start, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Fixed values of the queries.
+RANKS = "byte_bpe_multi_50k.tiktoken"
+TOKENIZER = "word_bpe_49k.json"
+TOKEN_LIMIT = 2048
+
+
+def _remainder(n: int) -> Column:
+    """crc32 of the doc_id as text, modulo n; NULL for a NULL doc_id."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start(spark)
+    return bpe_digests(table(spark, sf_dir, "documents"))
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    coded = bpe.encode_decode(
+        docs.select("doc_id", "text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+    )
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = start(spark)
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")
+    )
+    files = warc.write(warc.decide_revisits(pages), ws, ws.path("archives"))
+    page = F.expr("try_cast(substring_index({}, ':', -1) AS BIGINT)".format("record_id"))
+    target = F.expr("try_cast(substring_index({}, ':', -1) AS BIGINT)".format("refers_to"))
+    return warc.read(files.df).select(
+        page.alias("page_id"), "payload_bytes", "payload_digest", "record_type", target.alias("refers_to")
+    )
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = start(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = _remainder(3) == 1
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out)
+    scored = toxicity.score(docs, toxicity.fit(docs, labels, ws))
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.TOXIC_FROM).cast("int").alias("predicted"),
+        "spans",
+    )
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = start(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = _remainder(4) == 2
+    model = langid.fit(docs.filter(~held_out).select("text", "lang"), ws)
+    found = langid.predict(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = start(spark)
@@ -20,6 +85,19 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", "n_chunks_removed", F.sha2(text, 256).alias("kept_sha256"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = start(spark)
+    counts = token_cache.token_counts(
+        table(spark, sf_dir, "documents"), ws, public_tokenizers.path(TOKENIZER), ws.path("token-cache")
+    )
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = start(spark)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), ws)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = start(spark)
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), ws)
