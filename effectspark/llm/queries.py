@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effectspark.llm import bpe, exact_dedup, langid, line_dedup, near_dedup, token_cache, toxicity, warc
+from effectspark.llm import bpe, decontaminate, exact_dedup, langid, line_dedup, near_dedup, repeats, token_cache, toxicity, warc
 from effectspark.llm.tables import start, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,13 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = start(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), ws)
+    return found.select("doc_id", "contaminated", "n_items", "longest", "items")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = start(spark)
     pages = table(spark, sf_dir, "pages").select(
@@ -54,6 +61,15 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = start(spark)
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"), ws)
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = start(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -3,34 +3,28 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
+
+from effectspark.llm.words import WordCodes
 
 WORDS = 5
-CACHED_WORDS = 300_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
 class Shingler:
-    """Sets of distinct ``WORDS``-word shingles; keeps the hashes of words it has met."""
+    """Sets of distinct ``WORDS``-word shingles."""
 
     def __init__(self) -> None:
-        self.words: dict[bytes, int] = {}
+        self.words = WordCodes()
 
     def hashes(self, text: str | None) -> np.ndarray:
         """Sorted distinct hashes; with fewer words one hash for all of them; none without a word.
 
         A-Z are lower-cased; words are separated by ASCII white space alone.
         """
-        words = (text or "").encode().lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        known = self.words
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        for w in {w for w in words if w not in known}:
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        codes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        codes = self.words.spaced(text or "")
+        if not len(codes):
+            return codes
         span = min(WORDS, len(codes))
         out = np.full(len(codes) - span + 1, span, np.uint64)
         for k in range(span):

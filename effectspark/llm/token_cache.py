@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from effectspark.llm.tables import SPACE, text_or_empty
+from effectspark.llm.words import pieces
 from effectspark.sources.store import Workspace
 
 CACHED_WORDS = 300_000
@@ -45,15 +46,17 @@ class WordCounter:
         self.words: dict[bytes, int] = {}
 
     def count(self, texts: list[str]) -> list[int]:
+        return [sum(self._count(p.split()) for p in pieces(t.encode())) for t in texts]
+
+    def _count(self, words: list[bytes]) -> int:
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
-        split = [t.encode().split() for t in texts]
-        new = list({w for words in split for w in words if w not in self.words})
+        new = list({w for w in words if w not in self.words})
         for start in range(0, len(new), 10_000):
             part = new[start : start + 10_000]
             found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
             self.words.update((w, len(e.ids)) for w, e in zip(part, found))
-        return [sum(map(self.words.__getitem__, words)) for words in split]
+        return sum(map(self.words.__getitem__, words))
 
 
 @lru_cache(1)
