@@ -61,7 +61,7 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
 
 
 def near_duplicates(docs: DataFrame, ws: Workspace, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), a row per input row.
+    """(key, doc_id, n_shingles, component_id, kept), a row per input row; ``key`` is its :func:`row_key`.
 
     Documents are linked if 100 * intersection >= percent * union of their shingle
     sets; ``component_id`` is the least doc_id reachable by links. A text without
@@ -86,7 +86,7 @@ def near_duplicates(docs: DataFrame, ws: Workspace, percent: int = PERCENT) -> D
     )
     least = members.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return members.join(least, "component").select(
-        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+        "key", "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
 
 

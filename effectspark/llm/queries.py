@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from effectspark.llm import bpe, decontaminate, exact_dedup, langid, line_dedup, near_dedup, repeats, token_cache, toxicity, warc
 from effectspark.llm.tables import start, table
+from effectspark.sources.store import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,9 +20,10 @@ TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
 
 
-def _remainder(n: int) -> Column:
-    """crc32 of the doc_id as text, modulo n; NULL for a NULL doc_id."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+def _held_out(n: int, remainder: int) -> Column:
+    """Whether crc32 of the doc_id as text leaves this remainder modulo n; false for a NULL doc_id."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    return F.coalesce(F.pmod(crc, F.lit(n)) == remainder, F.lit(False))
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,15 +72,19 @@ def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str, ws: Workspace) -> toxicity.Model | None:
+    """Learned from the labels that are not held out."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~_held_out(3, 1))
+    return toxicity.fit(docs, labels, ws)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = start(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = _remainder(3) == 1
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out)
-    scored = toxicity.score(docs, toxicity.fit(docs, labels, ws))
+    scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir, ws))
     return scored.select(
         "doc_id",
-        held_out.alias("held_out"),
+        _held_out(3, 1).alias("held_out"),
         "score",
         (F.col("score") >= toxicity.TOXIC_FROM).cast("int").alias("predicted"),
         "spans",
@@ -88,7 +94,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = start(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = _remainder(4) == 2
+    held_out = _held_out(4, 2)
     model = langid.fit(docs.filter(~held_out).select("text", "lang"), ws)
     found = langid.predict(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
@@ -111,7 +117,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = start(spark)
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), ws)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), ws).drop("key")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
