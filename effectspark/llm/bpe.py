@@ -13,7 +13,7 @@ Nothing is shuffled, and a task holds one batch of texts, its words, and at most
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import islice
@@ -47,18 +47,33 @@ class ByteBPE:
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit integers."""
-        if len(text) <= LONG_TEXT:
-            return self._encode_words(self.pattern.findall(text))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; the new words of several texts are replayed as one corpus."""
+        out: list[bytes] = []
+        start = 0
+        while start < len(texts):
+            if len(texts[start]) > LONG_TEXT:
+                out.append(self._encode_long(texts[start]))
+                start += 1
+                continue
+            stop, held = start, 0
+            while stop < len(texts) and (held := held + len(texts[stop])) <= LONG_TEXT:
+                stop += 1
+            split = list(map(self.pattern.findall, texts[start:stop]))
+            self._replay_new(set().union(*split))
+            out += [b"".join(map(self.words.__getitem__, words)) for words in split]
+            start = stop
+        return out
+
+    def _encode_long(self, text: str) -> bytes:
         found = (m.group() for m in self.pattern.finditer(text))
-        return b"".join(self._encode_words(block) for block in iter(lambda: list(islice(found, BLOCK)), []))
-
-    def learn(self, texts: Iterable[str]) -> None:
-        """Replay the words of several texts as one corpus."""
-        new: set[str] = set()
-        for text in texts:
-            if len(text) <= LONG_TEXT:
-                new.update(self.pattern.findall(text))
-        self._replay_new(new)
+        parts = []
+        while words := list(islice(found, BLOCK)):
+            self._replay_new(set(words))
+            parts.append(b"".join(map(self.words.__getitem__, words)))
+        return b"".join(parts)
 
     def decode(self, ids: bytes) -> bytes:
         codes, tokens = np.frombuffer(ids, _CODE), self.tokens
@@ -66,13 +81,6 @@ class ByteBPE:
             b"".join([tokens[i] for i in codes[start : start + BLOCK].tolist()]) for start in range(0, len(codes), BLOCK)
         )
 
-    def _encode_words(self, words: list[str]) -> bytes:
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            self._replay_new(set(words))
-            return b"".join(map(self.words.__getitem__, words))
-
     def _replay_new(self, words: set[str]) -> None:
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
@@ -202,14 +210,8 @@ def _map(docs: DataFrame, new: dict[str, str], change: Callable[[pa.RecordBatch]
     return docs.mapInArrow(task, schema)
 
 
-def _texts(column: pa.Array) -> list[str]:
-    return [t or "" for t in column.to_pylist()]
-
-
 def _encode_all(coder: ByteBPE, column: pa.Array) -> list[bytes]:
-    texts = _texts(column)
-    coder.learn(texts)
-    return [coder.encode(t) for t in texts]
+    return coder.encode_all([t or "" for t in column.to_pylist()])
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
