@@ -8,7 +8,9 @@ lineage stays short. Every step keeps a forest's worth of edges or fewer.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from effectspark.sources.store import Stored, Workspace
@@ -20,11 +22,9 @@ def components(edges: DataFrame, ws: Workspace, a: str = "a", b: str = "b") -> S
     Direction, repeats and loops do not matter; edges with a NULL end are left out.
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(f"{a} <> {b}").distinct()
-    now = ws.save(pairs, "edges")
-    before = _state(now.df)
+    now, before = _saved(pairs, ws)
     while now.rows:
-        now = ws.save(_small_star(_large_star(now.df)), "edges")
-        after = _state(now.df)
+        now, after = _saved(_small_star(_large_star(now.df)), ws)
         if after == before:
             break
         before = after
@@ -33,10 +33,12 @@ def components(edges: DataFrame, ws: Workspace, a: str = "a", b: str = "b") -> S
     return ws.save(found, "components")
 
 
-def _state(edges: DataFrame) -> tuple:
-    # an order-free fingerprint of the edge set
-    row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
-    return tuple(row)
+def _saved(edges: DataFrame, ws: Workspace) -> tuple[Stored, tuple]:
+    """The edges, written, and a fingerprint of the edge set that does not depend on their order."""
+    seen = Observation(f"edges-{uuid.uuid4().hex}")
+    marks = [F.sum(F.xxhash64(*pair).cast("decimal(38,0)")).alias(name) for name, pair in (("x", "uv"), ("y", "vu"))]
+    stored = ws.save(edges.observe(seen, F.count(F.lit(1)).alias("n"), *marks), "edges")
+    return stored, tuple(seen.get.values())
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -9,8 +9,10 @@ hardly ever, so most nodes are small after the first level.
 * In every node, the members are paired with one of them, the leader. Groups of
   copies of any size are found by this with as many pairs as members.
 * Nodes whose members are by then all linked need no more.
-* Small nodes are compared exhaustively, between different components.
-* Larger ones branch on, until none is left. They are never gathered in a task.
+* Small nodes are compared exhaustively, between different components. So are nodes of
+  any size with few members outside their main component: in parts of bounded size,
+  each with all of those few.
+* The others branch on, until none is left. They are never gathered in a task.
 
 Pairs whose sketches agree too little are left out; the others are confirmed on
 the full sets, made anew from the texts. A pair at the threshold is missed by all
@@ -26,20 +28,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from effectspark.llm.components import components
 from effectspark.llm.shingles import Shingler, linked
 from effectspark.llm.tables import partitions, row_key
-from effectspark.sources.store import Workspace
+from effectspark.sources.store import Stored, Workspace
 
 PERCENT = 75
 TREES = 12
 COORDINATES = 128
 # Sketch coordinates that must agree: 4 standard deviations below the 96 expected at similarity 0.75.
 AGREE = 76
-SMALL = 256  # members of a node that is compared exhaustively
+SMALL = 2048  # members of a part that is compared exhaustively in one task
 _BLOCK = 2048  # shingles times coordinates worked on at once, in units of coordinates
 
 # Least values are small; this spreads them before a byte is taken.
@@ -129,37 +131,56 @@ def _link(keyed: DataFrame, classes: DataFrame, ws: Workspace, percent: int) ->
         ),
         "paths-1",
     )
-    texts, edges, roots, level = None, None, nothing, 1
+    texts, links, level = None, _Links(nothing), 1
     while branches.rows:
-        inner = _inner_nodes(branches.df, classes, ws, level)
+        inner = _inner_nodes(branches.df, ws, level)
         if not inner.rows:
             break
         texts = texts or _class_texts(keyed, classes, inner.df, ws)
-        star = inner.df.filter("node <> leader").select(
-            F.col("leader").alias("a"), F.col("node").alias("b")
-        )
-        edges, roots = _confirm(_by_sketch(_apart(star.distinct(), roots), classes, percent), texts, edges, roots, ws, percent)
-        mixed = _mixed_nodes(inner.df, roots, ws, level)
-        small = _exhaustive(mixed.df.filter(F.col("members") <= SMALL), classes, percent).distinct()
-        edges, roots = _confirm(small, texts, edges, roots, ws, percent)
-        branches = _branch(mixed.df.filter(F.col("members") > SMALL), classes, ws, level)
+        star = inner.df.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+        links.confirm(_by_sketch(links.apart(star), classes, percent), texts, ws, percent)
+        mixed = _mixed_nodes(inner.df, links.roots, ws, level)
+        links.confirm(_exhaustive(_parts(mixed.df), classes, percent).distinct(), texts, ws, percent)
+        branches = _branch(mixed.df.filter(~_comparable()), classes, ws, level)
         level += 1
     if texts is not None:
         texts.drop()
-    return roots
+    return links.roots
 
 
-def _inner_nodes(branches: DataFrame, classes: DataFrame, ws: Workspace, level: int):
+def _inner_nodes(branches: DataFrame, ws: Workspace, level: int) -> Stored:
     """The members of nodes that hold more than one class, with the node's size and leader."""
     nodes = branches.groupBy("path").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("leader"))
     return ws.save(branches.join(nodes.filter("members > 1"), "path"), f"nodes-{level}")
 
 
-def _mixed_nodes(inner: DataFrame, roots: DataFrame, ws: Workspace, level: int):
-    """The members, with their component, of nodes whose members are not all linked yet."""
+def _mixed_nodes(inner: DataFrame, roots: DataFrame, ws: Workspace, level: int) -> Stored:
+    """The members, with their component, of nodes whose members are not all linked yet.
+
+    ``main`` is the node's largest component, ``outside`` the number of members beyond it.
+    """
     placed = inner.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("path").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    return ws.save(placed.join(mixed.select("path"), "path", "left_semi"), f"mixed-{level}")
+    sizes = placed.groupBy("path", "members", "root").agg(F.count(F.lit(1)).alias("n"))
+    nodes = (
+        sizes.groupBy("path")
+        .agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.max("members") - F.max("n")).alias("outside"))
+        .filter("outside > 0")
+    )
+    return ws.save(placed.join(nodes, "path"), f"mixed-{level}")
+
+
+def _comparable() -> Column:
+    return (F.col("members") <= SMALL) | (F.col("outside") <= SMALL)
+
+
+def _parts(mixed: DataFrame) -> DataFrame:
+    """Members of comparable nodes in parts of about SMALL; who is outside the main component is in every part."""
+    parts = F.ceil(F.col("members") / SMALL).cast("int")
+    one = F.when(F.col("root") == F.col("main"), F.array(F.pmod(F.xxhash64("node"), parts).cast("int")))
+    each = F.when(F.col("members") <= SMALL, F.array(F.lit(0))).otherwise(
+        F.coalesce(one, F.sequence(F.lit(0), parts - 1))
+    )
+    return mixed.filter(_comparable()).select("path", "node", "root", F.explode(each).alias("part"))
 
 
 def _branch(large: DataFrame, classes: DataFrame, ws: Workspace, level: int):
@@ -172,19 +193,13 @@ def _branch(large: DataFrame, classes: DataFrame, ws: Workspace, level: int):
     return ws.save(joined.select("tree", F.xxhash64("path", step).alias("path"), "node"), f"paths-{level + 1}")
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose ends are not yet in one component."""
-    ends = roots.select(F.col("node").alias("a"), F.col("root").alias("__ra")), roots.select(
-        F.col("node").alias("b"), F.col("root").alias("__rb")
-    )
-    joined = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left")
-    return joined.filter(F.coalesce("__ra", "a") != F.coalesce("__rb", "b")).select("a", "b")
-
-
 def _by_sketch(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sizes allow a link and whose sketches agree enough."""
-    left = classes.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    right = classes.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    left, right = (
+        classes.select(F.col("class").alias(c), F.col("key").alias(f"k{c}"), F.col("n").alias(f"n{c}"),
+                       F.col("sketch").alias(f"s{c}"))
+        for c in ("a", "b")
+    )
     joined = pairs.join(right, "b").join(left, "a").filter(
         F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     )
@@ -193,9 +208,12 @@ def _by_sketch(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             a, b = (_matrix(batch.column(c)) for c in ("sa", "sb"))
             keep = pa.array((a == b).sum(1) >= AGREE)
-            yield batch.select(["a", "b"]).filter(keep)
+            yield batch.select(["a", "b", "ka", "kb"]).filter(keep)
+
+    return joined.select("a", "b", "ka", "kb", "sa", "sb").mapInArrow(task, _PAIR)
+
 
-    return joined.select("a", "b", "sa", "sb").mapInArrow(task, "a binary, b binary")
+_PAIR = "a binary, b binary, ka string, kb string"
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -204,16 +222,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _exhaustive(small: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """All pairs of a small node whose ends lie in different components, sizes and sketches allowing."""
-    member = F.struct("node", "root", "n", "sketch")
+    member = F.struct("node", "root", "key", "n", "sketch")
     nodes = (
-        small.join(classes.select(F.col("class").alias("node"), "n", "sketch"), "node")
-        .groupBy("path").agg(F.collect_list(member).alias("members"))  # at most SMALL of them
+        small.join(classes.select(F.col("class").alias("node"), "key", "n", "sketch"), "node")
+        .groupBy("path", "part").agg(F.collect_list(member).alias("members"))  # about SMALL, at most about twice as many
         .select("members")
     )
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_a, out_b = [], []
+            out: list[tuple[dict, dict]] = []
             for members in batch.column(0).to_pylist():
                 members.sort(key=lambda m: m["node"])
                 sketches = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(-1, COORDINATES)
@@ -224,51 +242,72 @@ def _exhaustive(small: DataFrame, classes: DataFrame, percent: int) -> DataFrame
                     near = (root[i + 1 :] != root[i]) & (np.minimum(n, sizes[i]) * 100 >= np.maximum(n, sizes[i]) * percent)
                     at = np.flatnonzero(near) + i + 1
                     at = at[(sketches[at] == sketches[i]).sum(1) >= AGREE] if len(at) else at
-                    out_a += [members[i]["node"]] * len(at)
-                    out_b += [members[j]["node"] for j in at]
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], ["a", "b"])
+                    out += [(members[i], members[j]) for j in at.tolist()]
+            columns = [pa.array([m[c] for m in side], kind) for c, kind in (("node", pa.binary()), ("key", pa.string()))
+                       for side in zip(*out)] if out else [pa.array([], k) for k in (pa.binary(),) * 2 + (pa.string(),) * 2]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "ka", "kb"])
 
-    return nodes.mapInArrow(task, "a binary, b binary")
+    return nodes.mapInArrow(task, _PAIR)
 
 
 class _class_texts:
-    """One text per class that shares a node, bucketed by class: joins with it move only the pairs."""
+    """One text per class that shares a node, bucketed by its row's key: joins with it move only the pairs."""
 
     def __init__(self, keyed: DataFrame, classes: DataFrame, inner: DataFrame, ws: Workspace):
         self.ws, self.name = ws, f"class_texts_{uuid.uuid4().hex}"
         wanted = inner.select(F.col("node").alias("class")).distinct().join(classes.select("class", "key"), "class")
-        rows = keyed.select("key", "text").join(wanted, "key").dropDuplicates(["class"]).select("class", "text")
-        count = partitions(ws.spark)
-        (rows.repartition(count, "class").write.option("path", ws.path("class-texts"))
-         .bucketBy(count, "class").format("parquet").saveAsTable(self.name))
+        # rows with one key are the same row over again
+        rows = keyed.select("key", "text").join(wanted.select("key"), "key").dropDuplicates(["key"])
+        (rows.write.option("path", ws.path("class-texts")).bucketBy(partitions(ws.spark), "key")
+         .format("parquet").saveAsTable(self.name))
         self.df = ws.spark.table(self.name)
 
+    def of(self, keys: DataFrame, key: str, text: str) -> DataFrame:
+        return keys.join(self.df.select(F.col("key").alias(key), F.col("text").alias(text)), key)
+
     def drop(self) -> None:
         """The table's name; its files go with the workspace."""
         self.ws.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-def _confirm(pairs: DataFrame, texts: _class_texts, edges, roots: DataFrame, ws: Workspace, percent: int):
-    """Add the pairs that hold on the full sets to the edges; the edges and the new components."""
-    found = ws.save(pairs, "candidates")
-    if not found.rows:
-        return edges, roots
-    left = found.df.select("a").distinct().join(texts.df.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a")
-    right = found.df.join(texts.df.select(F.col("class").alias("b"), F.col("text").alias("tb")), "b")
+class _Links:
+    """The links found so far, as (a, b) pairs that span their components, and (node, root)."""
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, name, own = Shingler(), None, None
-        for batch in batches:
-            keep = []
-            for a, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "ta", "tb"))):
-                if a != name:
-                    name, own = a, shingler.hashes(ta)
-                keep.append(linked(own, shingler.hashes(tb), percent))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    good = ws.save(right.join(left, "a").select("a", "b", "ta", "tb").mapInArrow(task, "a binary, b binary"), "links")
-    if not good.rows:
-        return edges, roots
-    edges = good.df if edges is None else edges.unionByName(good.df)
-    joined = components(edges, ws)
-    return joined.df.select(F.col("node").alias("a"), F.col("root").alias("b")), joined.df
+    def __init__(self, nothing: DataFrame):
+        self.edges: DataFrame | None = None
+        self.roots = nothing
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) whose ends are not yet in one component."""
+        if self.edges is None:
+            return pairs
+        of_a, of_b = (
+            self.roots.select(F.col("node").alias(c), F.col("root").alias(f"__r{c}")) for c in ("a", "b")
+        )
+        joined = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
+        return joined.filter(F.coalesce("__ra", "a") != F.coalesce("__rb", "b")).select("a", "b")
+
+    def confirm(self, pairs: DataFrame, texts: _class_texts, ws: Workspace, percent: int) -> None:
+        """Add the pairs (a, b, ka, kb) that hold on the full sets, and update the components."""
+        found = ws.save(pairs, "candidates")
+        if not found.rows:
+            return
+        # few texts stand on the left, each in many pairs; popular ones are split by the skew join
+        left = texts.of(found.df.select("ka").distinct(), "ka", "ta")
+        both = texts.of(found.df, "kb", "tb").join(left, "ka").select("a", "b", "ta", "tb")
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shingler, name, own = Shingler(), None, None
+            for batch in batches:
+                keep = []
+                for a, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "ta", "tb"))):
+                    if a != name:
+                        name, own = a, shingler.hashes(ta)
+                    keep.append(linked(own, shingler.hashes(tb), percent))
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        good = ws.save(both.mapInArrow(task, "a binary, b binary"), "links")
+        if good.rows:
+            joined = components(good.df if self.edges is None else self.edges.unionByName(good.df), ws)
+            self.roots = joined.df
+            self.edges = joined.df.select(F.col("node").alias("a"), F.col("root").alias("b"))
