@@ -1,9 +1,10 @@
 """Removal of multi-line passages that occur elsewhere, in DataFrame operations only.
 
 Lines are cut into chunks where their content says so: a hash rolls over the
-hashes of two neighbouring lines, and a chunk starts where it falls into a fixed
-share of its range. Lines inserted before a passage shift it but not its cuts, so
-the passage yields the same chunks wherever it stands.
+hashes of two neighbouring lines, and a chunk starts where it falls into the lower
+half of its range and did not do so a line before. Lines inserted before a passage
+shift it but not its cuts, so the passage yields the same chunks wherever it stands;
+and no chunk has one line only, but for the last of a text.
 
 Chunks are grouped by digest *and* body, which compares their bytes; partial
 aggregation leaves one row per scan task for a chunk that very many documents
@@ -19,9 +20,9 @@ from pyspark.sql import functions as F
 from effectspark.llm.tables import row_key
 from effectspark.sources.store import Workspace
 
-# A chunk starts where the rolling hash begins with a digit below CUT (5 of 16: about three lines),
-# and counts as multi-line from FILLED lines that are not blank.
-CUT = "5"
+# The rolling hash is low if it begins with a digit below CUT (half of them: about four lines a chunk),
+# and a chunk counts as multi-line from FILLED lines that are not blank.
+CUT = "8"
 FILLED = 2
 NOT_BLANK = r"[^\x20\x09-\x0D]"
 
@@ -89,8 +90,10 @@ def _with_chunks(docs: DataFrame, where: Column) -> DataFrame:
         "__lines", F.when(wanted, F.split("text", "\n", -1)).otherwise(F.array().cast("array<string>"))
     ).withColumn("__hashes", F.expr("transform(__lines, x -> md5(x))"))
     neighbours = "arrays_zip(slice(__hashes, 1, greatest(size(__hashes) - 1, 0)), slice(__hashes, 2, size(__hashes)))"
-    cuts = f"transform({neighbours}, (z, i) -> CASE WHEN md5(concat(z['0'], z['1'])) < '{CUT}' THEN i + 1 END)"
-    ranges = split.withColumn(
+    low = f"transform({neighbours}, z -> md5(concat(z['0'], z['1'])) < '{CUT}')"
+    before = "slice(concat(array(true), __low), 1, size(__low))"
+    cuts = f"transform(arrays_zip(__low, {before}), (z, i) -> CASE WHEN z.__low AND NOT z['1'] THEN i + 1 END)"
+    ranges = split.withColumn("__low", F.expr(low)).withColumn(
         "__starts", F.expr(f"CASE WHEN size(__lines) = 0 THEN array() ELSE concat(array(0), array_compact({cuts})) END")
     ).withColumn(
         "__ends",
@@ -103,7 +106,7 @@ def _with_chunks(docs: DataFrame, where: Column) -> DataFrame:
         f"'body', array_join({part}, '\n'))"
     )
     chunks = F.expr(f"transform(arrays_zip(__starts, __ends), z -> {chunk})")
-    return ranges.withColumn(_CHUNKS, chunks).drop("__lines", "__hashes", "__starts", "__ends")
+    return ranges.withColumn(_CHUNKS, chunks).drop("__lines", "__hashes", "__low", "__starts", "__ends")
 
 
 def _chunk_rows(keyed: DataFrame) -> DataFrame:

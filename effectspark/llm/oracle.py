@@ -6,9 +6,12 @@ LINE_DEDUP = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
   FROM documents WHERE text IS NOT NULL
-), cut AS (
-  SELECT *, CASE WHEN i = 1 OR md5(md5(lag(line) OVER w) || md5(line)) < '5' THEN 1 ELSE 0 END AS starts
+), rolled AS (
+  SELECT *, i = 1 OR md5(md5(lag(line) OVER w) || md5(line)) < '8' AS low
   FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), cut AS (
+  SELECT *, CASE WHEN i = 1 OR low AND NOT lag(low) OVER w THEN 1 ELSE 0 END AS starts
+  FROM rolled WINDOW w AS (PARTITION BY doc_id ORDER BY i)
 ), numbered AS (
   SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY i) AS chunk FROM cut
 ), chunks AS (

@@ -1,0 +1,82 @@
+import hashlib
+import re
+from collections import Counter
+
+from effectspark.llm import line_dedup
+
+
+def cut(text):
+    """Chunks of a text, straight from the rule."""
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    lines = text.split("\n")
+    chunks = [[lines[0]]]
+    low = True
+    for before, line in zip(lines, lines[1:]):
+        was, low = low, md5(md5(before) + md5(line)) < line_dedup.CUT
+        if low and not was:
+            chunks.append([])
+        chunks[-1].append(line)
+    return chunks
+
+
+def plain(rows):
+    order = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is None, r[0] or 0))
+    seen, result = {}, {}
+    for i, t in order:
+        kept, gone, n = [], 0, 0
+        for k, c in enumerate(cut(t)):
+            body = "\n".join(c)
+            filled = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in c)
+            if filled >= line_dedup.FILLED and seen.setdefault(body, (i, t, k)) != (i, t, k):
+                gone, n = gone + len(c), n + 1
+            else:
+                kept.append(body)
+        result[(i, t)] = ("\n".join(kept), t.count("\n") + 1, gone, n)
+    return Counter((i, *result.get((i, t), (None, 0, 0, 0))) for i, t in rows)
+
+
+def found(df, tables):
+    got = line_dedup.dedup_lines(df, tables)
+    assert got.columns[: len(df.columns)] == df.columns
+    return Counter((r.doc_id, r.text, r.n_lines, r.n_removed, r.n_chunks_removed) for r in got.collect())
+
+
+def test_odd_rows(documents, tables):
+    block = "\n".join(f"line {i} of a passage" for i in range(12))
+    rows = [
+        (None, None), (None, ""), (1, None), (2, ""), (3, "\n\n \n"), (4, block), (5, "intro\n" + block + "\nend"),
+        (5, "intro\n" + block + "\nend"), (None, block), (6, block + "\n" + block), (7, "\n\n \n"), (8, "x\r\ny\r\n"),
+    ]
+    assert found(documents(rows), tables) == plain(rows)
+
+
+def test_long_texts(documents, tables, prose):
+    long = prose(1, words=6, lines=4000)
+    rows = [(1, long), (2, prose(2, lines=3) + "\n" + long), (3, prose(3, lines=5))]
+    got = found(documents(rows, clash=False), tables)
+    assert got == plain(rows)
+    assert sum(r[3] for r in got) > 3900
+
+
+def test_a_passage_is_found_wherever_it_stands(documents, tables, prose):
+    passage = prose(5, words=8, lines=40)
+    rows = [(i, prose(100 + i, words=5, lines=i % 7) + "\n" + passage + "\n" + prose(200 + i)) for i in range(30)]
+    got = {r[0]: r for r in found(documents(rows), tables)}
+    assert got[0][3] == 0
+    assert all(got[i][3] >= 30 for i in range(1, 30))
+
+
+def test_empty_table(documents, tables):
+    assert not found(documents([]), tables)
+
+
+def test_clean_texts_stay(documents, tables, prose):
+    rows = [(i, prose(i, words=7, lines=9)) for i in range(50)]
+    assert found(documents(rows), tables) == Counter((i, t, 9, 0, 0) for i, t in rows)
+
+
+def test_texts_are_split_once_and_stay_in_the_jvm(documents, tables, prose):
+    got = line_dedup.dedup_lines(documents([(1, prose(1, lines=4))]), tables)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    assert plan.count("split(text") == 2
