@@ -194,31 +194,31 @@ def _learn(slots: list[np.ndarray], toxic: np.ndarray) -> Model:
     label = marked[stream].any(1) & np.repeat(toxic == 1, sizes)
     first = np.zeros(len(stream), bool)
     first[np.cumsum(sizes) - sizes] = True
-    # a repeated slot (a missing feature) counts once
-    repeated = np.zeros(stream.shape, bool)
-    repeated[:, 1:] = stream[:, 1:] == stream[:, :1]
-
-    used, inverse = np.unique(stream, return_inverse=True)
-    inverse = inverse.reshape(stream.shape)
-    weight_of = np.where(repeated, 0.0, 1.0)
-    flat, flat_weight = inverse.ravel(), weight_of.ravel()
-    weights, bias = np.zeros(len(used)), 0.0
+    # a missing feature repeats the word's own and counts once
+    counts = np.concatenate([np.ones((len(stream), 1), bool), stream[:, 1:] != stream[:, :1]], axis=1)
+
+    def emissions(weights: np.ndarray, bias: float) -> np.ndarray:
+        return sum((np.where(counts[:, k], weights[stream[:, k]], 0.0) for k in range(PER_TOKEN)), np.full(len(stream), bias))
+
+    def per_slot(values: np.ndarray) -> np.ndarray:
+        return sum(np.bincount(stream[:, k], values * counts[:, k], WIDTH) for k in range(PER_TOKEN))
+
+    weights, bias = np.zeros(WIDTH), 0.0
     chain = Chain(np.zeros(2), np.zeros((2, 2)))
     before = np.concatenate([[False], label[:-1]])
     seen_pairs = np.array([[(~before & ~label & ~first).sum(), (~before & label & ~first).sum()],
                            [(before & ~label & ~first).sum(), (before & label & ~first).sum()]], float)
     seen_start = np.array([(~label & first).sum(), (label & first).sum()], float)
-    squares = [np.full(len(used), 1e-6), 1e-6, np.full(2, 1e-6), np.full((2, 2), 1e-6)]
+    squares = [np.full(WIDTH, 1e-6), 1e-6, np.full(2, 1e-6), np.full((2, 2), 1e-6)]
     n = len(stream)
     for _ in range(STEPS):
-        emission = (weights[inverse] * weight_of).sum(1) + bias
-        p, pairs = chain.expectations(emission, first)
+        p, pairs = chain.expectations(emissions(weights, bias), first)
         miss = label - p
         gradients = [
-            np.bincount(flat, np.repeat(miss, PER_TOKEN) * flat_weight, len(used)) / n - RIDGE * weights,
+            per_slot(miss) / n - RIDGE * weights,
             miss.sum() / n,
             (seen_start - np.array([(1 - p[first]).sum(), p[first].sum()])) / n,
-            (seen_pairs - pairs[:, :, ~first].sum(2)) / n,
+            (seen_pairs - pairs.sum(2, where=~first)) / n,
         ]
         values = [weights, bias, chain.start, chain.move]
         for k, g in enumerate(gradients):
@@ -226,11 +226,9 @@ def _learn(slots: list[np.ndarray], toxic: np.ndarray) -> Model:
             values[k] = values[k] + RATE * g / np.sqrt(squares[k])
         weights, bias, chain.start, chain.move = values
 
-    full = np.zeros(WIDTH)
-    full[used] = weights
-    p = chain.marginals((weights[inverse] * weight_of).sum(1) + bias, first)
+    p = chain.marginals(emissions(weights, bias), first)
     sums = np.array([_sums(own) for own in np.split(p, np.cumsum(sizes)[:-1])])
-    return Model(full.astype(np.float32), float(bias), chain, _logistic(sums, toxic))
+    return Model(weights.astype(np.float32), float(bias), chain, _logistic(sums, toxic))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
