@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +17,15 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def start(spark: SparkSession) -> Workspace:
-    """Runtime settings of the operators, and a folder for their tables."""
+    """Runtime settings of the operators, and a folder for their tables.
+
+    Python workers look for this package where the driver found it; on a cluster that
+    does not share that folder, install it or pass it with ``--py-files``.
+    """
     configure(spark)
+    environment = spark.sparkContext.environment
+    paths = [environment.get("PYTHONPATH", ""), str(Path(__file__).resolve().parents[2])]
+    environment["PYTHONPATH"] = os.pathsep.join(dict.fromkeys(p for part in paths for p in part.split(os.pathsep) if p))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return Workspace(spark)
 
