@@ -57,28 +57,49 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+class _Powers:
+    """Powers of a base and of its inverse modulo 2 ** 64, made once for the longest buffer so far."""
+
+    def __init__(self, base: int):
+        self.bases = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
+        self.tables = [np.ones(1, np.uint64)] * 2
+
+    def __call__(self, n: int) -> list[np.ndarray]:
+        if len(self.tables[0]) < n:
+            size = max(n, KEPT_POWERS)
+            tables = []
+            for base in self.bases:
+                table = np.full(size, base)
+                table[0] = 1
+                tables.append(np.multiply.accumulate(table, out=table))
+            if n > KEPT_POWERS:
+                return [t[:n] for t in tables]
+            self.tables = tables
+        return [t[:n] for t in self.tables]
+
+
+KEPT_POWERS = (2 << 20) + (1 << 18)  # somewhat more than a usual block
+_POWERS = [_Powers(base) for base in _BASES]
+
+
 class Rolling:
     """Hashes of any substrings of a buffer, from running sums of byte times power."""
 
-    def __init__(self, buffer: np.ndarray, base: int):
-        n = len(buffer) + 1
-        power = np.full(n, np.uint64(base))
-        power[0] = 1
-        np.multiply.accumulate(power, out=power)
-        self.sums = np.zeros(n, np.uint64)
+    def __init__(self, buffer: np.ndarray, which: int = 0):
+        power, self.back = _POWERS[which](len(buffer) + 1)
+        self.sums = np.zeros(len(buffer) + 1, np.uint64)
         np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * power[:-1], out=self.sums[1:])
-        self.back = np.full(n, np.uint64(pow(base, -1, 1 << 64)))
-        self.back[0] = 1
-        np.multiply.accumulate(self.back, out=self.back)
 
     def of(self, start, stop) -> np.ndarray:
-        """Hashes of ``buffer[start:stop]``, for arrays or slices of equal length."""
+        """Hashes of ``buffer[start:stop]``, for arrays of equal length."""
         return _mixed((self.sums[stop] - self.sums[start]) * self.back[start])
 
     def every(self, width: int) -> np.ndarray:
-        """Hashes of all substrings of one width."""
+        """Hashes, not yet mixed, of all substrings of one width."""
         n = len(self.sums) - width
-        return _mixed((self.sums[width:] - self.sums[:n]) * self.back[:n])
+        out = self.sums[width:] - self.sums[:n]
+        out *= self.back[:n]
+        return out
 
 
 def _least_of(values: np.ndarray, width: int) -> np.ndarray:
@@ -107,16 +128,21 @@ def find_runs(rolling: Rolling, sizes: np.ndarray) -> Runs:
     if n < LENGTH:
         return Runs(empty, empty, empty.astype(np.uint64), empty)
     anchors = _least_of(rolling.every(ANCHOR), WINDOW)
+    # a run starts where the anchor changes, at each document's start, and past its last string
     stops = np.cumsum(sizes)
-    owner = np.repeat(np.arange(len(sizes)), sizes)[: len(anchors)]
-    at = np.flatnonzero(np.arange(len(anchors)) + LENGTH <= stops[owner])
-    if not len(at):
-        return Runs(empty, empty, empty.astype(np.uint64), empty)
-    own, anchor = owner[at], anchors[at]
-    new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)])
-    starts = np.flatnonzero(new)
-    lasts = np.concatenate([starts[1:], [len(at)]]) - 1
-    return Runs(at[starts], at[lasts], _mixed(anchor[starts]), own[starts])
+    begins = stops - sizes
+    change = np.empty(len(anchors), bool)
+    change[0] = True
+    np.not_equal(anchors[1:], anchors[:-1], out=change[1:])
+    past = np.maximum(begins, stops - LENGTH + 1)
+    change[begins[begins < len(anchors)]] = True
+    change[past[past < len(anchors)]] = True
+    starts = np.flatnonzero(change)
+    lasts = np.append(starts[1:], len(anchors)) - 1
+    own = np.searchsorted(stops, starts, "right")
+    held = starts + LENGTH <= stops[own]
+    starts, lasts = starts[held], lasts[held]
+    return Runs(starts, lasts, _mixed(anchors[starts]), own[held])
 
 
 @dataclass
@@ -128,7 +154,7 @@ class Block:
     buffer: np.ndarray
 
     def __post_init__(self) -> None:
-        self.rolling = Rolling(self.buffer, _BASES[0])
+        self.rolling = Rolling(self.buffer)
         self.runs = find_runs(self.rolling, self.sizes)
 
     def anchors(self, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -232,7 +258,7 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _names(buffer: np.ndarray, rolling: Rolling, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """A name of 128 bits and the length for each substring: equal names, equal bytes."""
-    second = Rolling(buffer, _BASES[1])
+    second = Rolling(buffer, 1)
     parts = [rolling.of(starts, stops), second.of(starts, stops), (stops - starts).astype(np.uint64)]
     return np.ascontiguousarray(np.stack(parts, axis=1)).view("V24").ravel()
 
@@ -249,7 +275,7 @@ def solve_bucket(sizes: np.ndarray, text: np.ndarray, docs: np.ndarray) -> tuple
     ``docs`` is the least doc_id that a piece was sent with.
     """
     starts = np.cumsum(sizes) - sizes
-    first, inverse = _distinct(_names(text, Rolling(text, _BASES[0]), starts, starts + sizes))
+    first, inverse = _distinct(_names(text, Rolling(text), starts, starts + sizes))
     doc = np.full(len(first), NO_ID)
     np.minimum.at(doc, inverse, docs)
     own_sizes = sizes[first]

@@ -26,7 +26,7 @@ def suffix_groups(buffer: np.ndarray, ends: np.ndarray, length: int) -> tuple[np
     at = places[places + depth <= ends]
     group = np.full(len(buffer), -1, np.int64)
     if len(at):
-        group[at] = _numbers(_packed(buffer, at, depth))
+        group[at] = _numbers(_packed(buffer, depth)[at])
     while depth < length:
         step = min(depth, length - depth)
         members = np.bincount(group[at], minlength=len(buffer) + 1)
@@ -38,7 +38,7 @@ def suffix_groups(buffer: np.ndarray, ends: np.ndarray, length: int) -> tuple[np
         if len(moved):
             # places of the new group numbers: behind the members of the group that sort before
             key = old[open_] * (len(buffer) + 1) + group[moved + step]
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             key, parent = key[order], old[open_][order]
             starts = np.concatenate([[True], key[1:] != key[:-1]])
             heads = np.concatenate([[True], parent[1:] != parent[:-1]])
@@ -52,17 +52,21 @@ def suffix_groups(buffer: np.ndarray, ends: np.ndarray, length: int) -> tuple[np
     return at[order], numbers[order]
 
 
-def _packed(buffer: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """The first ``width`` (at most 8) bytes as one number that sorts like them."""
-    key = np.zeros(len(at), np.uint64)
-    for k in range(width):
-        key = (key << np.uint64(8)) | buffer[at + k]
+def _packed(buffer: np.ndarray, width: int) -> np.ndarray:
+    """The ``width`` (at most 8) bytes from each place on as one number that sorts like them."""
+    key, done = buffer.astype(np.uint64), 1
+    while done < width:
+        more = min(done, width - done)
+        shifted = key[: len(key) - more] << np.uint64(8 * more)
+        tail = key[more:] if more == done else key[more:] & np.uint64((1 << (8 * more)) - 1)
+        key = shifted | tail
+        done += more
     return key
 
 
 def _numbers(keys: np.ndarray) -> np.ndarray:
     """For each key the number of smaller ones."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     ranked = keys[order]
     starts = np.concatenate([[True], ranked[1:] != ranked[:-1]])
     out = np.empty(len(keys), np.int64)
@@ -121,7 +125,10 @@ def _compare(buffer: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> n
 
 def strings(buffer: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """The strings at these places as fixed-width items, for binary search."""
-    return np.ascontiguousarray(buffer[at[:, None] + np.arange(length)]).view(f"S{length}").ravel()
+    if not len(at):
+        return np.zeros(0, f"S{length}")
+    windows = np.lib.stride_tricks.sliding_window_view(buffer, length)
+    return np.ascontiguousarray(windows[at]).view(f"S{length}").ravel()
 
 
 def merge_least(sides: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
