@@ -6,18 +6,20 @@ step being the minwise value at the coordinate chosen for that tree and level. T
 sets of Jaccard similarity J share a step with probability J, and unrelated ones
 hardly ever, so most nodes are small after the first level.
 
-* In every node, the members are paired with one of them, the leader. Groups of
-  copies of any size are found by this with as many pairs as members.
-* Nodes whose members are by then all linked need no more.
+* In a large node, the members are paired with the one most like the others: of each
+  coordinate the value that most members have is counted, and the member with most of
+  these leads. Large groups of copies are found by this with as many pairs as members.
+* Nodes whose members are all linked by then need no more.
 * Small nodes are compared exhaustively, between different components. So are nodes of
   any size with few members outside their main component: in parts of bounded size,
-  each with all of those few.
+  each with all of those few. Sketches tell which members may be linked at all; their
+  full sets are compared in one task, which returns no more links than members.
 * The others branch on, until none is left. They are never gathered in a task.
 
-Pairs whose sketches agree too little are left out; the others are confirmed on
-the full sets, made anew from the texts. A pair at the threshold is missed by all
-trees with probability 0.25 ** TREES at the first level, which is below 1e-7, and
-its sketch fails with about 1e-5.
+A few trees go first, so that the others need not look at what those have linked. Links
+are confirmed on the full sets, made anew from the texts. A pair at the threshold is
+missed by all trees with probability 0.25 ** TREES at the first level, which is below
+1e-7, and its sketch fails with about 1e-5.
 """
 
 from __future__ import annotations
@@ -38,10 +40,13 @@ from effectspark.sources.store import Stored, Workspace
 
 PERCENT = 75
 TREES = 12
+WAVES = (3, 12)  # the trees done after each wave
 COORDINATES = 128
 # Sketch coordinates that must agree: 4 standard deviations below the 96 expected at similarity 0.75.
 AGREE = 76
 SMALL = 2048  # members of a part that is compared exhaustively in one task
+MODES = 16  # coordinates by which the leader of a large node is found
+BITS_HELD = 1 << 29  # bits of the incidence matrix of a comparison; beyond, sets are compared two by two
 _BLOCK = 2048  # shingles times coordinates worked on at once, in units of coordinates
 
 # Least values are small; this spreads them before a byte is taken.
@@ -125,33 +130,56 @@ def _digest(shingles: np.ndarray) -> bytes:
 def _link(keyed: DataFrame, classes: DataFrame, ws: Workspace, percent: int) -> DataFrame:
     """(node, root) of the classes that are linked to another."""
     nothing = classes.select(F.col("class").alias("node"), F.col("class").alias("root")).filter("false")
-    branches = ws.save(
+    paths = ws.save(
         classes.select(F.col("class").alias("node"), F.posexplode("paths").alias("tree", "step")).select(
             "tree", F.xxhash64("tree", "step").alias("path"), "node"
         ),
-        "paths-1",
-    )
-    texts, links, level = None, _Links(nothing), 1
-    while branches.rows:
-        inner = _inner_nodes(branches.df, ws, level)
-        if not inner.rows:
-            break
-        texts = texts or _class_texts(keyed, classes, inner.df, ws)
-        star = inner.df.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-        links.confirm(_by_sketch(links.apart(star), classes, percent), texts, ws, percent)
-        mixed = _mixed_nodes(inner.df, links.roots, ws, level)
-        links.confirm(_exhaustive(_parts(mixed.df), classes, percent).distinct(), texts, ws, percent)
-        branches = _branch(mixed.df.filter(~_comparable()), classes, ws, level)
-        level += 1
-    if texts is not None:
-        texts.drop()
+        "paths",
+    ).df
+    first = ws.save(_inner_nodes(paths), "nodes").df
+    texts = _class_texts(keyed, classes, first, ws)
+    links, done = _Links(nothing), 0
+    for until in WAVES:
+        inner, level = first.filter(F.col("tree").between(done, until - 1)), 1
+        while inner is not None:
+            star = _star(inner.filter(F.col("members") > SMALL), classes, ws)
+            if star is not None:
+                links.confirm(_by_sketch(links.apart(star), classes, percent), texts, ws, percent)
+            mixed = _mixed_nodes(inner, links.roots, ws, level)
+            links.add(ws.save(_exhaustive(_parts(mixed.df), classes, texts, percent), "links"), ws)
+            inner = _branch(mixed.df.filter(~_comparable()), classes, ws, level)
+            level += 1
+        done = until
+    texts.drop()
     return links.roots
 
 
-def _inner_nodes(branches: DataFrame, ws: Workspace, level: int) -> Stored:
-    """The members of nodes that hold more than one class, with the node's size and leader."""
-    nodes = branches.groupBy("path").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("leader"))
-    return ws.save(branches.join(nodes.filter("members > 1"), "path"), f"nodes-{level}")
+def _star(large: DataFrame, classes: DataFrame, ws: Workspace) -> DataFrame | None:
+    """Pairs (a, b) of each large node's leader and its other members; None without a large node."""
+    sketched = ws.save(
+        large.join(classes.select(F.col("class").alias("node"), "sketch"), "node").select("path", "node", "sketch"), "large"
+    )
+    if not sketched.rows:
+        return None
+    rows = sketched.df
+    step = COORDINATES // MODES
+    values = F.array(*[F.substring("sketch", k * step + 1, 1) for k in range(MODES)])
+    counts = rows.select("path", F.posexplode(values).alias("k", "v")).groupBy("path", "k", "v").agg(F.count("*").alias("n"))
+    modes = counts.groupBy("path", "k").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
+    modes = modes.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("modes"))
+    alike = sum(
+        (F.when(F.get("modes.v", F.lit(k)) == F.get(values, F.lit(k)), 1).otherwise(0) for k in range(1, MODES)),
+        F.when(F.get("modes.v", F.lit(0)) == F.get(values, F.lit(0)), 1).otherwise(0),
+    )
+    leaders = rows.join(modes, "path").groupBy("path").agg(F.max_by("node", F.struct(alike, "node")).alias("leader"))
+    led = rows.select("path", "node").join(leaders, "path").filter("node <> leader")
+    return led.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def _inner_nodes(branches: DataFrame) -> DataFrame:
+    """The members of nodes that hold more than one class, with the node's size."""
+    nodes = branches.groupBy("path").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    return branches.join(nodes, "path")
 
 
 def _mixed_nodes(inner: DataFrame, roots: DataFrame, ws: Workspace, level: int) -> Stored:
@@ -183,14 +211,16 @@ def _parts(mixed: DataFrame) -> DataFrame:
     return mixed.filter(_comparable()).select("path", "node", "root", F.explode(each).alias("part"))
 
 
-def _branch(large: DataFrame, classes: DataFrame, ws: Workspace, level: int):
-    """One step down in each tree, by the sketch coordinate chosen for this tree and level."""
-    if level >= COORDINATES:
-        return ws.save(large.filter("false").select("tree", "path", "node"), "paths-end")
-    joined = large.join(classes.select(F.col("class").alias("node"), "sketch"), "node")
+def _branch(large: DataFrame, classes: DataFrame, ws: Workspace, level: int) -> DataFrame | None:
+    """The inner nodes one step down in each tree, by the sketch coordinate chosen for this tree and level."""
+    if level > COORDINATES:
+        return None
+    joined = large.select("tree", "path", "node").join(classes.select(F.col("class").alias("node"), "sketch"), "node")
     coordinate = F.pmod(F.col("tree") * 11 + F.lit(level * 17), F.lit(COORDINATES)) + 1
     step = F.substring(F.col("sketch"), coordinate, F.lit(1))
-    return ws.save(joined.select("tree", F.xxhash64("path", step).alias("path"), "node"), f"paths-{level + 1}")
+    paths = ws.save(joined.select("tree", F.xxhash64("path", step).alias("path"), "node"), "paths")
+    found = ws.save(_inner_nodes(paths.df), "nodes") if paths.rows else paths
+    return found.df if found.rows else None
 
 
 def _by_sketch(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -220,34 +250,114 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDINATES)
 
 
-def _exhaustive(small: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a small node whose ends lie in different components, sizes and sketches allowing."""
+def _exhaustive(parts: DataFrame, classes: DataFrame, texts: _class_texts, percent: int) -> DataFrame:
+    """Links (a, b) that join the components which meet in a part.
+
+    Members that may be linked to another component, by size and sketch, are gathered in
+    clusters; a cluster that several trees find is compared once.
+    """
     member = F.struct("node", "root", "key", "n", "sketch")
-    nodes = (
-        small.join(classes.select(F.col("class").alias("node"), "key", "n", "sketch"), "node")
-        .groupBy("path", "part").agg(F.collect_list(member).alias("members"))  # about SMALL, at most about twice as many
-        .select("members")
-    )
+    joined = parts.join(classes.select(F.col("class").alias("node"), "key", "n", "sketch"), "node")
+    # at most SMALL members, or SMALL and as many again that are outside the main component
+    grouped = joined.groupBy("path", "part").agg(F.collect_list(member).alias("members")).select("members")
+    rows = grouped.mapInArrow(_cluster(percent), "cluster binary, node binary, root binary, key string")
+    members = texts.of(rows.dropDuplicates(["cluster", "node"]), "key", "text")
+    return members.select("cluster", "node", "root", "text").groupBy("cluster").applyInArrow(_link_cluster(percent), _LINK)
+
+
+_LINK = "a binary, b binary"
+
+
+def _cluster(percent: int):
+    """Members with a possible link to another component of their part, by connected cluster."""
+
+    def clusters(members: list[dict]) -> Iterator[dict]:
+        members.sort(key=lambda m: m["node"])
+        sketches = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(-1, COORDINATES)
+        sizes = np.array([m["n"] for m in members])
+        _, root = np.unique(np.array([m["root"].hex() for m in members]), return_inverse=True)
+        label, active = np.arange(len(members)), np.zeros(len(members), bool)
+        for i in range(len(members) - 1):
+            n = sizes[i + 1 :]
+            near = (root[i + 1 :] != root[i]) & (np.minimum(n, sizes[i]) * 100 >= np.maximum(n, sizes[i]) * percent)
+            at = np.flatnonzero(near) + i + 1
+            at = at[(sketches[at] == sketches[i]).sum(1) >= AGREE] if len(at) else at
+            if len(at):
+                active[at] = active[i] = True
+                met = np.unique(label[np.append(at, i)])
+                if len(met) > 1:
+                    label[np.isin(label, met)] = met[0]
+        for name in np.unique(label[active]):
+            own = [members[k] for k in np.flatnonzero(active & (label == name))]
+            # the components are part of the name: they decide which pairs are compared
+            cluster = hashlib.blake2b(b"".join(m["node"] + m["root"] for m in own), digest_size=16).digest()
+            for m in own:
+                yield {"cluster": cluster, "node": m["node"], "root": m["root"], "key": m["key"]}
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("cluster", pa.binary()), ("node", pa.binary()), ("root", pa.binary()), ("key", pa.string())])
         for batch in batches:
-            out: list[tuple[dict, dict]] = []
-            for members in batch.column(0).to_pylist():
-                members.sort(key=lambda m: m["node"])
-                sketches = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(-1, COORDINATES)
-                sizes = np.array([m["n"] for m in members])
-                _, root = np.unique(np.array([m["root"].hex() for m in members]), return_inverse=True)
-                for i in range(len(members) - 1):
-                    n = sizes[i + 1 :]
-                    near = (root[i + 1 :] != root[i]) & (np.minimum(n, sizes[i]) * 100 >= np.maximum(n, sizes[i]) * percent)
-                    at = np.flatnonzero(near) + i + 1
-                    at = at[(sketches[at] == sketches[i]).sum(1) >= AGREE] if len(at) else at
-                    out += [(members[i], members[j]) for j in at.tolist()]
-            columns = [pa.array([m[c] for m in side], kind) for c, kind in (("node", pa.binary()), ("key", pa.string()))
-                       for side in zip(*out)] if out else [pa.array([], k) for k in (pa.binary(),) * 2 + (pa.string(),) * 2]
-            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "ka", "kb"])
-
-    return nodes.mapInArrow(task, _PAIR)
+            for members in batch.column(0):
+                rows = list(clusters(members.as_py()))
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, kinds)
+
+    return task
+
+
+def _link_cluster(percent: int):
+    """Links on the full sets, one for each two components that they join."""
+
+    def solve(table: pa.Table) -> pa.Table:
+        shingler = Shingler()
+        nodes = table.column("node").to_pylist()
+        sets = [shingler.hashes(t) for t in table.column("text").to_pylist()]
+        _, label = np.unique(np.array([r.hex() for r in table.column("root").to_pylist()]), return_inverse=True)
+        out = [(nodes[i], nodes[j]) for i, j in join_sets(sets, label, percent)]
+        a, b = ([p[k] for p in out] for k in (0, 1))
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return solve
+
+
+def join_sets(sets: list[np.ndarray], label: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of linked sets that join the labelled components, each pair once two that were apart.
+
+    Sets most like the others come first, so that a component soon holds what belongs to
+    it; only sets of different components are compared.
+    """
+    label = label.copy()
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(-(np.bincount(owner, count[column], len(sets)) / np.maximum(sizes, 1)), kind="stable")
+    shared = count > 1
+    width = -(-int(shared.sum()) // 64)
+    bits = None
+    if len(sets) * width * 64 <= BITS_HELD:
+        # which of the shingles that occur more than once each set has, as bits
+        place = np.cumsum(shared) - 1
+        held = shared[column]
+        at, row = place[column[held]], owner[held]
+        bits = np.zeros(len(sets) * max(width, 1), np.uint64)
+        np.bitwise_or.at(bits, row * max(width, 1) + (at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+        bits = bits.reshape(len(sets), -1)
+    done, pairs = np.zeros(len(sets), bool), []
+    for i in order:
+        others = np.flatnonzero((label != label[i]) & ~done)
+        done[i] = True
+        if not len(others):
+            continue
+        if bits is not None:
+            common = np.bitwise_count(bits[others] & bits[i]).sum(1, dtype=np.int64)
+            good = others[100 * common >= percent * (sizes[others] + sizes[i] - common)]
+        else:
+            good = np.array([j for j in others if linked(sets[i], sets[j], percent)], dtype=int)
+        for j in good:
+            if label[j] != label[i]:
+                pairs.append((int(i), int(j)))
+                label[label == label[j]] = label[i]
+    return pairs
 
 
 class _class_texts:
@@ -306,8 +416,11 @@ class _Links:
                     keep.append(linked(own, shingler.hashes(tb), percent))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        good = ws.save(both.mapInArrow(task, "a binary, b binary"), "links")
-        if good.rows:
-            joined = components(good.df if self.edges is None else self.edges.unionByName(good.df), ws)
+        self.add(ws.save(both.mapInArrow(task, _LINK), "links"), ws)
+
+    def add(self, links: Stored, ws: Workspace) -> None:
+        """Take in links (a, b) and update the components."""
+        if links.rows:
+            joined = components(links.df if self.edges is None else self.edges.unionByName(links.df), ws)
             self.roots = joined.df
             self.edges = joined.df.select(F.col("node").alias("a"), F.col("root").alias("b"))

@@ -72,7 +72,7 @@ def test_copies_near_copies_and_chains(documents, prose, tables):
     assert found(documents(rows), tables) == plain(rows)
 
 
-@pytest.mark.parametrize("small", [2, 6])
+@pytest.mark.parametrize("small", [3, 12])
 def test_nodes_too_large_to_compare_branch_on(documents, prose, tables, monkeypatch, small):
     """A passage in all documents, large groups of near copies, and nodes far over the limit."""
     monkeypatch.setattr(near_dedup, "SMALL", small)
@@ -116,6 +116,29 @@ def test_minwise_values_do_not_depend_on_blocks(monkeypatch):
     assert (near_dedup.minwise(shingles) == whole).all()
 
 
+@pytest.mark.parametrize("bits", [1 << 29, 0])
+def test_sets_are_joined_by_few_pairs(monkeypatch, bits):
+    monkeypatch.setattr(near_dedup, "BITS_HELD", bits)
+    r = np.random.default_rng(2)
+    for _ in range(40):
+        base = r.integers(0, 1 << 62, (3, 60), dtype=np.uint64)
+        sets = [np.unique(np.where(r.random(60) < r.random() * 0.4, r.integers(0, 1 << 62, 60, dtype=np.uint64), base[r.integers(3)]))
+                for _ in range(25)]
+        label = r.integers(0, 20, len(sets))
+        want = label.copy()
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if linked(a, b, 75) and want[i] != want[j]:
+                    want[want == want[j]] = want[i]
+        got = label.copy()
+        pairs = near_dedup.join_sets(sets, label, 75)
+        for i, j in pairs:
+            assert linked(sets[i], sets[j], 75) and got[i] != got[j]
+            got[got == got[j]] = got[i]
+        assert len(pairs) < len(sets)
+        assert all((got[i] == got[j]) == (want[i] == want[j]) for i in range(25) for j in range(25))
+
+
 def test_agreement_estimates_similarity():
     r = np.random.default_rng(1)
     shared = r.integers(0, 1 << 63, 3000, dtype=np.uint64)
