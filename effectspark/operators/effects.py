@@ -13,9 +13,14 @@ effect. Here the log is read a fixed number of times:
 
       b_k[v] = (sum of residual in v - sum over j<k, u of N[u, v] * b_j[u]) / (n_v + lambda)
 
-Both passes aggregate map-side to the number of values, so nothing of the
-log's size is shuffled after the wide effects. Several lambdas are fitted at
-once as parallel columns, and several folds at once through ``by``.
+Both passes aggregate map-side to the number of values. An attribute that is
+declared narrow but has too many values for that is found out and treated as wide.
+
+While the table of a wide effect can be broadcast, nothing of the log's size is
+shuffled. Beyond that, its join shuffles the log once: what is left over after it
+is written, with the columns that later effects need, and the next passes go on
+from there. Several lambdas are fitted at once as parallel columns, and several
+folds at once through ``by``.
 """
 
 from __future__ import annotations
@@ -34,6 +39,8 @@ from effectspark.sources.store import Stored, Workspace
 KEY_TYPES = (T.IntegralType, T.StringType)
 FOUND = "__found_"
 RESERVED = ("b", "n", "s", "r", "dev", "effect", "value")
+MOST_PAIRS = 1 << 24  # rows that the table of value pairs may have
+MOST_GROUPS = 1000  # values of ``by``: their means are kept in the plan
 
 
 @dataclass(frozen=True)
@@ -109,8 +116,8 @@ class EffectModel:
     def mean_sql(self) -> str:
         if not self.by:
             return A.double_sql(self.mu[None])
-        cases = " ".join(f"WHEN {value} THEN {A.double_sql(mu)}" for value, mu in self.mu.items())
-        return f"CASE {self.by} {cases} END"
+        cases = " ".join(f"WHEN {self.by} <=> {_literal(v)} THEN {A.double_sql(mu)}" for v, mu in self.mu.items())
+        return f"CASE {cases} END" if cases else "CAST(NULL AS DOUBLE)"
 
     def table(self, name: str, lambda_: float | None = None) -> DataFrame:
         """Key, ``b`` and ``n`` of one effect."""
@@ -133,11 +140,15 @@ class EffectModel:
             out = out.unionByName(part)
         return out
 
+    def broadcasts(self, table: EffectTable) -> bool:
+        """Whether the table and all smaller ones together stay within the broadcast limit."""
+        size = lambda t: (t.stored.bytes, t.spec.name)
+        return sum(t.stored.bytes for t in self.tables if size(t) <= size(table)) <= self.broadcast_bytes
+
     def attach(self, rows: DataFrame, table: EffectTable) -> DataFrame:
-        return attach(
-            rows, table.stored, [*self.on, table.spec.key], table.payload(self.lambdas), self.broadcast_bytes,
-            prefix=FOUND,
-        )
+        limit = self.broadcast_bytes if self.broadcasts(table) else -1
+        on = [*self.on, table.spec.key]
+        return attach(rows, table.stored, on, table.payload(self.lambdas), limit, prefix=FOUND)
 
 
 def _b(i: int) -> str:
@@ -148,6 +159,15 @@ def _r(i: int) -> str:
     return f"r_{i}"
 
 
+def _literal(value: object) -> str:
+    """An integer, a text or NULL as SQL."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        return "decode(unhex('" + value.encode().hex() + "'), 'UTF-8')"
+    return str(value)
+
+
 def fit(
     frame: DataFrame,
     specs: Sequence[EffectSpec],
@@ -159,42 +179,79 @@ def fit(
     """Fit the effects in the given order on the rows that are not ``held`` out.
 
     ``frame`` is read several times; pass a stored table. Rows without a rating
-    are left out. ``by`` fits every
-    value of that column (a fold number: few values) on its own. Without specs
-    the model is the mean alone.
+    are left out; a NULL flag does not hold a row out. ``by`` fits every value of that
+    column (a fold number: few values) on its own. Without specs the model is the
+    mean alone.
     """
     specs, lambdas = tuple(specs), tuple(float(x) for x in lambdas)
-    _check(frame, specs, lambdas)
+    _check(frame, specs, lambdas, by)
     train = frame.filter("rating IS NOT NULL")
-    train = train.filter(~F.col(held)) if held else train
+    train = train.filter(~F.coalesce(F.col(held), F.lit(False))) if held else train
+    declared = specs
+    specs = _widen(train, specs)
     model = EffectModel(specs, lambdas, by, {}, (), ws.broadcast_bytes)
     last_wide = max((i for i, s in enumerate(specs) if s.wide), default=-1)
     narrow = specs[last_wide + 1 :]
 
     counts = _pair_counts(train, [s.key for s in narrow], model) if len(narrow) > 1 else None
     with ws.saving(counts, "pair-counts") as pairs:
+        rest: Rest | None = None
         for i, spec in enumerate(specs[: last_wide + 1]):
-            model = _fit_next(train, spec, model, ws) if i else _fit_first(train, spec, model, ws)
+            later = [s.key for s in specs[i + 1 :]]
+            if rest is None:
+                model = _fit_first(train, spec, model, ws)
+                rest = Rest.start(train, model, [spec.key, *later])
+            else:
+                stored = ws.save(_shrunk_means(rest.final(model, [spec.key], spec.key), spec.key, model), f"effect-{spec.name}")
+                model = _with(model, EffectTable(spec, stored, shared_dev=False))
+            rest = _move_on(rest, model, later, ws)
         if not model.mu:
             model = replace(model, mu=_means(train, model.on, F.avg("rating")))
-        return _fit_narrow(train, narrow, pairs, model, ws) if narrow else model
+            rest = Rest.start(train, model, [s.key for s in narrow])
+        model = _fit_narrow(train, rest, narrow, pairs, model, ws) if narrow else model
+    return replace(model, specs=declared)
+
+
+def _move_on(rest: Rest, model: EffectModel, later: Sequence[str], ws: Workspace) -> Rest:
+    """Take the newest effect off; written out if its table is too large to be joined again and again."""
+    table = model.tables[-1]
+    rest = rest.minus(table, model, later)
+    if not later or model.broadcasts(table):
+        return rest
+    return replace(rest, df=ws.save(rest.df, f"rest-{table.spec.name}").df)
 
 
-def _check(frame: DataFrame, specs: Sequence[EffectSpec], lambdas: Sequence[float]) -> None:
+def _widen(train: DataFrame, specs: Sequence[EffectSpec]) -> tuple[EffectSpec, ...]:
+    """Declare as wide what has too many values to be paired, by a count of each key's values."""
+    last_wide = max((i for i, s in enumerate(specs) if s.wide), default=-1)
+    narrow = specs[last_wide + 1 :]
+    if len(narrow) < 2:
+        return tuple(specs)
+    counts = train.agg(*[F.approx_count_distinct(s.key).alias(f"d{i}") for i, s in enumerate(narrow)]).first()
+    values = {s.key: counts[f"d{i}"] + 1 for i, s in enumerate(narrow)}
+    left = list(narrow)
+    while sum(values[a.key] * values[b.key] for j, b in enumerate(left) for a in left[:j]) > MOST_PAIRS:
+        left.remove(max(left, key=lambda s: values[s.key]))
+    return tuple(s if s.wide or s in left else replace(s, wide=True) for s in specs)
+
+
+def _check(frame: DataFrame, specs: Sequence[EffectSpec], lambdas: Sequence[float], by: str | None) -> None:
     if not lambdas:
         raise ValueError("at least one lambda is needed")
     if min(lambdas) < 0:
         raise ValueError("lambda must not be negative")
-    for s in specs:
-        if s.key in RESERVED:
-            raise ValueError(f"rename the key column {s.key}: effect tables use that name themselves")
-        if not isinstance(frame.schema[s.key].dataType, KEY_TYPES):
-            raise TypeError(f"effect key {s.key} must be an integer or a string")
+    for key in [*(s.key for s in specs), *([by] if by else [])]:
+        if key.lower() in RESERVED:
+            raise ValueError(f"rename the column {key}: effect tables use that name themselves")
+        if not isinstance(frame.schema[key].dataType, KEY_TYPES):
+            raise TypeError(f"effect key {key} must be an integer or a string")
 
 
 def _means(df: DataFrame, on: Sequence[str], mean: Column) -> dict:
     """The mean, as one number or one per fold."""
-    found = df.groupBy(*on).agg(mean.alias("mu")).collect()
+    found = df.groupBy(*on).agg(mean.alias("mu")).limit(MOST_GROUPS + 1).collect()
+    if len(found) > MOST_GROUPS:
+        raise ValueError(f"{on[0]} has more than {MOST_GROUPS} values")
     return {(r[on[0]] if on else None): r["mu"] for r in found}
 
 
@@ -207,12 +264,6 @@ def _fit_first(train: DataFrame, spec: EffectSpec, model: EffectModel, ws: Works
     return _with(model, EffectTable(spec, replace(stored, df=deviations), shared_dev=True))
 
 
-def _fit_next(train: DataFrame, spec: EffectSpec, model: EffectModel, ws: Workspace) -> EffectModel:
-    rest = residuals(train, model, [spec.key], gather=spec.key)
-    stored = ws.save(_shrunk_means(rest, spec.key, model), f"effect-{spec.name}")
-    return _with(model, EffectTable(spec, stored, shared_dev=False))
-
-
 def _shrunk_means(rest: DataFrame, key: str, model: EffectModel) -> DataFrame:
     grouped = rest.groupBy(*model.on, key).agg(F.count(F.lit(1)).alias("n"), *_sums(model))
     effects = [f"{A.shrunk_sql(_r(i), 'n', x)} AS {_b(i)}" for i, x in enumerate(model.lambdas)]
@@ -227,36 +278,58 @@ def _with(model: EffectModel, table: EffectTable) -> EffectModel:
     return replace(model, tables=(*model.tables, table))
 
 
-def residuals(
-    rows: DataFrame, model: EffectModel, keep: Sequence[str], gather: str | None = None
-) -> DataFrame:
-    """``by``, the ``keep`` columns, and per lambda the rating minus all effects so far.
+@dataclass(frozen=True)
+class Rest:
+    """Rows with what the effects so far leave over.
 
-    Residuals are updated join by join, so a row is never wider than one
-    effect's columns plus the residuals. Rows stay narrow for as long as two
-    numbers stand for all lambdas, that is up to the second effect's join, the
-    one most likely to shuffle them. ``gather`` brings rows with equal values
-    of that column together before they widen; AQE splits a popular value.
+    Rows stay narrow for as long as two numbers stand for all lambdas: until then the
+    residual of each lambda is an expression (``current``) over a few ``carried``
+    columns. From the second effect on it is a column of its own.
     """
-    count = len(model.lambdas)
-    wide = [_r(i) for i in range(count)]
+
+    df: DataFrame
+    keys: tuple[str, ...]
+    carried: tuple[str, ...]
+    current: tuple[str, ...]
+
+    @staticmethod
+    def start(rows: DataFrame, model: EffectModel, keys: Sequence[str]) -> Rest:
+        df = rows.selectExpr(*_unique(model.on, keys), f"rating - {model.mean_sql()} AS r")
+        return Rest(df, tuple(keys), ("r",), ("r",) * len(model.lambdas))
+
+    def minus(self, table: EffectTable, model: EffectModel, keys: Sequence[str]) -> Rest:
+        """The rest after one more effect, with the columns that are needed further on."""
+        effects = [table.effect(i, x, FOUND) for i, x in enumerate(model.lambdas)]
+        current = tuple(f"{now} - coalesce({b}, 0D)" for now, b in zip(self.current, effects))
+        joined = model.attach(self.df, table)
+        if table.shared_dev:
+            carried = (*self.carried, *(FOUND + p for p in table.payload(model.lambdas)))
+            return Rest(joined.select(*_unique(model.on, keys, carried)), tuple(keys), carried, current)
+        wide = tuple(_r(i) for i in range(len(model.lambdas)))
+        return Rest(joined.selectExpr(*_unique(model.on, keys), *_named(current)), tuple(keys), wide, wide)
+
+    def final(self, model: EffectModel, keep: Sequence[str], gather: str | None = None) -> DataFrame:
+        """``by``, the ``keep`` columns and a residual per lambda.
+
+        ``gather`` brings rows with equal values of that column together before they
+        widen; the adaptive engine splits a popular value.
+        """
+        out = self.df.select(*_unique(model.on, keep, self.carried))
+        if gather and len(model.lambdas) > 1:
+            out = out.hint("rebalance", *model.on, gather)
+        if self.current == tuple(_r(i) for i in range(len(model.lambdas))):
+            return out
+        return out.selectExpr(*_unique(model.on, keep), *_named(self.current))
+
+
+def residuals(rows: DataFrame, model: EffectModel, keep: Sequence[str]) -> DataFrame:
+    """``by``, the ``keep`` columns, and per lambda the rating minus all effects so far."""
     later = [t.spec.key for t in model.tables]
-    out = rows.selectExpr(*_unique(model.on, keep, later), f"rating - {model.mean_sql()} AS r")
-    carried, current = ["r"], ["r"] * count
+    rest = Rest.start(rows, model, [*keep, *later])
     for table in model.tables:
         later = later[1:]
-        effects = [table.effect(i, x, FOUND) for i, x in enumerate(model.lambdas)]
-        current = [f"{current[i]} - coalesce({effects[i]}, 0D)" for i in range(count)]
-        out = model.attach(out, table)
-        if table.shared_dev:
-            carried = [*carried, *(FOUND + p for p in table.payload(model.lambdas))]
-            out = out.select(*_unique(model.on, keep, later, carried))
-        else:
-            out = out.selectExpr(*_unique(model.on, keep, later), *_named(current))
-            carried, current = wide, wide
-    if gather and count > 1:
-        out = out.hint("rebalance", *model.on, gather)
-    return out if carried is wide else out.selectExpr(*_unique(model.on, keep), *_named(current))
+        rest = rest.minus(table, model, [*keep, *later])
+    return rest.final(model, keep)
 
 
 def _named(residual: Sequence[str]) -> list[str]:
@@ -269,6 +342,7 @@ def _unique(*names: Sequence[str]) -> list[str]:
 
 def _fit_narrow(
     train: DataFrame,
+    rest: Rest,
     narrow: Sequence[EffectSpec],
     pairs: Callable[[], Stored | None],
     model: EffectModel,
@@ -276,7 +350,7 @@ def _fit_narrow(
 ) -> EffectModel:
     keys = [s.key for s in narrow]
     types = {k: train.schema[k].dataType for k in keys}
-    sums = ws.save(_value_sums(residuals(train, model, keys), keys, model), "value-sums")
+    sums = ws.save(_value_sums(rest.final(model, keys), keys, model), "value-sums")
     solved: list[Stored] = []
     for k, spec in enumerate(narrow):
         stored = ws.save(_solve(k, sums, pairs(), solved, model, ws), f"effect-{spec.name}")

@@ -40,7 +40,8 @@ def add_age(df: DataFrame) -> DataFrame:
 
 
 def add_all(df: DataFrame, method: str = "slice") -> DataFrame:
-    return add_age(add_release_year(add_calendar(df), method=method))
+    """Review time and calendar, release year and age."""
+    return add_age(add_release_year(add_calendar(add_reviewed_at(df)), method=method))
 
 
 def unparsed_year(df: DataFrame) -> DataFrame:

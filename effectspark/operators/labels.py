@@ -20,24 +20,22 @@ def explode_labels(df: DataFrame, labels: str = "genres", name: str = "label") -
     return df.withColumn(name, F.explode_outer(label_array(labels))).drop(labels)
 
 
-def profile_label(df: DataFrame, labels: str = "genres", value: str = "rating") -> DataFrame:
-    """Mean and row count per single label.
+def profile_label(lists: DataFrame, labels: str = "genres", value: str = "rating") -> DataFrame:
+    """Mean and row count per single label, from sums ``s`` and counts ``n`` per label list.
 
-    Rows are summed per label list first, so only distinct lists are exploded.
+    Only distinct lists are exploded.
     """
-    lists = df.groupBy(labels).agg(F.sum(value).alias("__s"), F.count(F.lit(1)).alias("__n"))
     return (
         explode_labels(lists, labels)
         .groupBy("label")
-        .agg((F.sum("__s") / F.sum("__n")).alias(f"mean_{value}"), F.sum("__n").alias("n"))
+        .agg((F.sum("s") / F.sum("n")).alias(f"mean_{value}"), F.sum("n").alias("n"))
     )
 
 
-def contains_counts(df: DataFrame, words: Sequence[str], labels: str = "genres") -> DataFrame:
-    """Rows whose label text contains each word, all words in one pass."""
-    lists = df.groupBy(labels).agg(F.count(F.lit(1)).alias("__n"))
+def contains_counts(lists: DataFrame, words: Sequence[str], labels: str = "genres") -> DataFrame:
+    """Rows whose label text contains each word, from counts ``n`` per label list; all words in one pass."""
     hits = [
-        F.coalesce(F.sum(F.when(F.col(labels).contains(w), F.col("__n"))), F.lit(0)).alias(f"hits_{i}")
+        F.coalesce(F.sum(F.when(F.col(labels).contains(w), F.col("n"))), F.lit(0)).alias(f"hits_{i}")
         for i, w in enumerate(words)
     ]
     rows = [F.struct(F.lit(w).alias("word"), F.col(f"hits_{i}").alias("n")) for i, w in enumerate(words)]

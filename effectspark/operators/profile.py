@@ -58,6 +58,12 @@ def count_by_item_attribute(ratings: DataFrame, items: DataFrame, key: str, name
     return fact_join(_per_item(ratings, ()), items).groupBy(key).agg(F.sum("__n").alias(name))
 
 
+def sums_by_item_attribute(ratings: DataFrame, items: DataFrame, key: str) -> DataFrame:
+    """(key, s, n): sum and number of ratings, summed per item before the join."""
+    joined = fact_join(_per_item(ratings, ()), items)
+    return joined.groupBy(key).agg(F.sum("__s").alias("s"), F.sum("__n").alias("n"))
+
+
 def _per_item(ratings: DataFrame, also_by: Sequence[str]) -> DataFrame:
     return ratings.groupBy("item_id", *also_by).agg(
         F.sum("rating").alias("__s"), F.count(F.lit(1)).alias("__n")
@@ -83,9 +89,30 @@ def least_row(df: DataFrame, by: str, ties: Sequence[str]) -> DataFrame:
     return df.filter(F.col(by).isNotNull()).orderBy(by, *ties).limit(1)
 
 
+def first_per_item(ratings: DataFrame, order: Sequence[Column], ties: Sequence[str]) -> DataFrame:
+    """Of each item the row that comes first by ``order`` and ``ties``.
+
+    Partial aggregation leaves one row per item and task, so that a join with the
+    items sees no more than one row per item.
+    """
+    rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], *[F.col(t).alias(f"t{i}") for i, t in enumerate(ties)])
+    row = F.struct(*ratings.columns)
+    return ratings.groupBy("item_id").agg(F.min_by(row, rank).alias("__row")).select("__row.*")
+
+
 def histogram(df: DataFrame, value: str, width: float) -> DataFrame:
-    lower = F.floor(F.col(value) / F.lit(float(width))) * F.lit(float(width))
-    return df.groupBy(lower.alias("bin_start")).agg(F.count(F.lit(1)).alias("n"))
+    """Rows per bin; a bin holds its lower edge, not its upper one.
+
+    Bins are numbered in decimal arithmetic: 0.3 starts the fourth bin of width 0.1.
+    """
+    number = F.floor(_decimal(F.col(value)) / _decimal(F.lit(float(width))))
+    counts = df.groupBy(number.alias("__bin")).agg(F.count(F.lit(1)).alias("n"))
+    start = (F.col("__bin").cast("decimal(18,0)") * _decimal(F.lit(float(width)))).cast("double")
+    return counts.select(start.alias("bin_start"), "n")
+
+
+def _decimal(x: Column) -> Column:
+    return x.cast("decimal(18,8)")
 
 
 def density_grid(df: DataFrame, x: str, y: str, x_width: float, y_width: float) -> DataFrame:

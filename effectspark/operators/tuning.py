@@ -16,6 +16,8 @@ from effectspark.sources.store import Workspace
 GRID_START, GRID_STOP, GRID_STEP = 1.0, 10.0, 0.25
 FOLDS = 10
 
+PLACES = 9
+
 
 def grid_values(start: float = GRID_START, stop: float = GRID_STOP, step: float = GRID_STEP) -> list[float]:
     count = int((stop - start) / step + 1e-9) + 1
@@ -30,11 +32,12 @@ def lambda_grid(
 
 
 def cv_frame(train: DataFrame, k: int = FOLDS, mode: str = "within_fold", h: str = "h") -> DataFrame:
-    """Add ``fold`` and ``is_test``.
+    """Add ``fold`` and ``is_test``, chosen by hash.
 
     ``within_fold`` fits on nine tenths of each fold and tests on its last
     tenth. ``kfold`` tests on each fold what was fitted on all others; every
-    row then takes part in ``k`` fits and appears ``k`` times.
+    row then takes part in ``k`` fits and appears ``k`` times, so keep the rows
+    as they are and let each pass repeat them. :func:`stratified_cv_frame` chooses exactly.
     """
     own = split.fold(F.col(h), k)
     if mode == "within_fold":
@@ -47,6 +50,24 @@ def cv_frame(train: DataFrame, k: int = FOLDS, mode: str = "within_fold", h: str
     raise ValueError(f"unknown mode {mode}")
 
 
+def stratified_cv_frame(
+    train: DataFrame,
+    ws: Workspace,
+    ties: Sequence[str],
+    k: int = FOLDS,
+    stratum: str = "rating",
+    h: str = "h",
+    p: float = 0.1,
+) -> DataFrame:
+    """Add ``fold`` and ``is_test``: exact folds, and an exact part ``p`` of each fold, by stratum.
+
+    Within a stratum folds differ by one row at most, and every fold tests
+    ``ceil(n * p)`` of its ``n`` rows of the stratum.
+    """
+    folded = ws.save(split.exact_folds(train, stratum, h, ties, k), "folds").df
+    return split.exact_flags(folded, ws, [stratum, "fold"], h, ties, p)
+
+
 def cv_rmse_grid(
     frame: DataFrame,
     specs: Sequence[EffectSpec],
@@ -82,8 +103,11 @@ def grid_rmse(rows: DataFrame, model: EffectModel) -> DataFrame:
 
 
 def best_lambda(grid: DataFrame, by: str = "fold") -> DataFrame:
-    """Per fold the lambda with the least error; the smallest one on a tie."""
-    least = F.min(F.struct("rmse", "lambda"))
+    """Per fold the lambda with the least error; the smallest one on a tie.
+
+    Errors that agree to PLACES places are ties: beyond, they depend on the order of sums.
+    """
+    least = F.min(F.struct(F.round("rmse", PLACES).alias("near"), "lambda", "rmse"))
     return grid.groupBy(by).agg(least.alias("least")).select(by, "least.lambda", "least.rmse")
 
 

@@ -15,13 +15,14 @@ from effectspark.operators import features, labels, profile, scoring, split, tun
 from effectspark.operators.lookup import missing_rows
 from effectspark.session import configure
 from effectspark.sources import delimited, model_store, standin
-from effectspark.sources.store import Workspace
+from effectspark.sources.store import Stored, session_workspace
 from effectspark.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 KEY = list(standin.ROW_KEY)
 LAMBDA = 5.0
+FRACTION = 0.0375  # a fraction that is no thousandth
 PLACES = 6
 LABEL_WORDS = ("ECONOMY", "SMALL", "ring", "red")
 KFOLD_GRID = (1.0, 5.0, 10.0)
@@ -40,7 +41,7 @@ class Run:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = configure(spark), sf_dir
-        self.ws = Workspace(spark)
+        self.ws = session_workspace(spark)
 
     def ratings(self) -> DataFrame:
         return standin.ratings(self.spark, self.dir)
@@ -64,7 +65,12 @@ class Run:
         return features.add_all(delimited.fact_join(self.train(), self.items()))
 
     def frame(self, *extra: str) -> DataFrame:
-        return standin.model_frame(self.spark, self.dir, self.ws, *extra).df
+        return self.stored_frame(*extra).df
+
+    def stored_frame(self, *extra: str) -> Stored:
+        """What a fit reads, written once for all queries of the session on this folder."""
+        make = lambda: standin.model_frame(self.spark, self.dir, self.ws, *extra)
+        return self.ws.kept("frame", (self.dir, *extra), make)
 
     def events(self) -> DataFrame:
         return standin.table(self.spark, self.dir, "events")
@@ -115,6 +121,10 @@ def feat_age(run: Run) -> DataFrame:
     return run.featured().select(*KEY, "release_year", "review_year", "age_at_review")
 
 
+def feat_all(run: Run) -> DataFrame:
+    return run.featured().withColumn("reviewed_at", F.col("reviewed_at").cast("timestamp_ntz"))
+
+
 def preview_features(run: Run) -> DataFrame:
     first = run.train().orderBy(*KEY).limit(10)
     shown = features.add_all(delimited.fact_join(first, run.items()))
@@ -128,18 +138,44 @@ def filter_unparsed_year(run: Run) -> DataFrame:
 # split
 
 
+def hashed(run: Run) -> DataFrame:
+    """Rating rows with their hash, written once: exact splits read them several times."""
+    return run.ws.save(run.flagged().select(*KEY, "rating", "h"), "hashed").df
+
+
 def split_exact(run: Run) -> DataFrame:
-    rows = run.flagged().select(*KEY, "rating", "h")
-    return split.exact_holdout(rows, run.ws, "rating", "h", KEY)
+    return split.exact_holdout(hashed(run), run.ws, "rating", "h", KEY)
+
+
+def split_exact_fraction(run: Run) -> DataFrame:
+    return split.exact_holdout(hashed(run), run.ws, "rating", "h", KEY, FRACTION)
+
+
+def split_hash_fraction(run: Run) -> DataFrame:
+    return run.flagged().select(*KEY, "h", split.holdout(F.col("h"), FRACTION).alias("held"))
+
+
+def split_quantile(run: Run) -> DataFrame:
+    """Exact holdout with strata of a continuous outcome: here the time of the rating."""
+    rows = hashed(run)
+    strata = rows.withColumn("stratum", split.quantile_strata(rows, "epoch_s"))
+    return split.exact_flags(strata, run.ws, "stratum", "h", KEY, flag="held").select(*KEY, "stratum", "held")
 
 
 def split_folds(run: Run) -> DataFrame:
     return tuning.cv_frame(run.train()).select(*KEY, "fold", "is_test")
 
 
+def hashed_train(run: Run) -> DataFrame:
+    return run.ws.save(run.train().select(*KEY, "rating", "h"), "train").df
+
+
 def split_folds_exact(run: Run) -> DataFrame:
-    rows = run.train().select(*KEY, "rating", "h")
-    return split.exact_folds(rows, "rating", "h", KEY)
+    return split.exact_folds(hashed_train(run), "rating", "h", KEY)
+
+
+def split_inner_exact(run: Run) -> DataFrame:
+    return tuning.stratified_cv_frame(hashed_train(run), run.ws, KEY).select(*KEY, "fold", "is_test")
 
 
 def split_semi_item(run: Run) -> DataFrame:
@@ -148,17 +184,22 @@ def split_semi_item(run: Run) -> DataFrame:
 
 
 def split_validation(run: Run) -> DataFrame:
-    return split.protected_by_joins(run.flagged())[1].select(*KEY, "rating")
+    return run.split().filter("is_val").select(*KEY, "rating")
 
 
 def split_returned(run: Run) -> DataFrame:
-    rows = run.flagged().select(*KEY, "rating", "temp")
+    return run.split().filter("temp AND NOT is_val").select(*KEY, "rating")
+
+
+def split_returned_joins(run: Run) -> DataFrame:
+    """The returned rows as an anti join: held out, and not in the validation set that joins give."""
+    rows = run.ws.save(run.flagged().select(*KEY, "rating", "temp"), "flagged").df
     validation = split.protected_by_joins(rows)[1]
     return missing_rows(rows.filter("temp"), validation).select(*KEY, "rating")
 
 
 def split_training(run: Run) -> DataFrame:
-    return split.protected_by_joins(run.flagged())[0].select(*KEY, "rating")
+    return run.train().select(*KEY, "rating")
 
 
 def split_protected(run: Run) -> DataFrame:
@@ -221,11 +262,15 @@ EXTREME = ["title", "rating", "release_year", "review_year", "age_at_review"]
 
 
 def oldest_at_review(run: Run) -> DataFrame:
-    return profile.greatest_row(run.train_featured(), "age_at_review", KEY).select(*EXTREME)
+    latest = profile.first_per_item(features.add_calendar(run.train()), [-F.col("review_year")], KEY)
+    rows = features.add_age(features.add_release_year(delimited.fact_join(latest, run.items())))
+    return profile.greatest_row(rows, "age_at_review", KEY).select(*EXTREME)
 
 
 def oldest_release(run: Run) -> DataFrame:
-    return profile.least_row(run.train_featured(), "release_year", KEY).select("title", "rating", "release_year")
+    first = profile.first_per_item(run.train(), [], KEY)
+    rows = features.add_release_year(delimited.fact_join(first, run.items()))
+    return profile.least_row(rows, "release_year", KEY).select("title", "rating", "release_year")
 
 
 def hist_rating(run: Run) -> DataFrame:
@@ -250,8 +295,8 @@ def label_explode(run: Run) -> DataFrame:
 
 
 def listed(run: Run) -> DataFrame:
-    """Training ratings with label lists."""
-    return delimited.fact_join(run.train(), run.items())
+    """Sums and counts of the training ratings per label list."""
+    return profile.sums_by_item_attribute(run.train(), run.items(), "genres")
 
 
 def profile_label(run: Run) -> DataFrame:
@@ -332,8 +377,9 @@ def score_cold_keys(run: Run) -> DataFrame:
 
 
 def unseen_counts(run: Run) -> DataFrame:
-    frame = run.ws.save(run.flagged(), "frame").df
-    model = E.fit(frame, BEFORE_RETURN, run.ws, [LAMBDA], held="temp")
+    """Held-out rows per effect whose key has no training row, before any of them is returned."""
+    frame = run.ws.save(features.add_all(delimited.fact_join(run.flagged(), run.items())), "frame").df
+    model = E.fit(frame, E.SHRUNK_ORDER, run.ws, [LAMBDA], held="temp")
     return scoring.unseen_counts(frame.filter("temp"), model)
 
 
@@ -354,9 +400,9 @@ def model_roundtrip(run: Run) -> DataFrame:
 # tuning
 
 
-def cv_input(run: Run, mode: str = "within_fold") -> DataFrame:
+def cv_input(run: Run) -> DataFrame:
     train = run.frame("h").filter(~F.col("is_val"))
-    return run.ws.save(tuning.cv_frame(train, mode=mode), "cv-frame", partition_by=["is_test"]).df
+    return run.ws.save(tuning.cv_frame(train), "cv-frame", partition_by=["is_test"]).df
 
 
 def lambda_grid(run: Run) -> DataFrame:
@@ -375,8 +421,15 @@ def cv_rmse_grid(run: Run) -> DataFrame:
 
 
 def cv_rmse_kfold(run: Run) -> DataFrame:
-    out = tuning.cv_rmse_grid(cv_input(run, "kfold"), E.SHRUNK_ORDER, run.ws, KFOLD_GRID)
-    return rounded(out, "rmse")
+    rows = tuning.cv_frame(run.frame("h").filter(~F.col("is_val")), mode="kfold")
+    return rounded(tuning.cv_rmse_grid(rows, E.SHRUNK_ORDER, run.ws, KFOLD_GRID), "rmse")
+
+
+def cv_rmse_stratified(run: Run) -> DataFrame:
+    train = run.frame("h").filter(~F.col("is_val"))
+    rows = tuning.stratified_cv_frame(train, run.ws, KEY)
+    stored = run.ws.save(rows, "cv-stratified", partition_by=["is_test"]).df
+    return rounded(tuning.cv_rmse_grid(stored, E.SHRUNK_ORDER, run.ws, KFOLD_GRID), "rmse")
 
 
 def cv_best_lambda(run: Run) -> DataFrame:
@@ -404,7 +457,7 @@ def rmse_final(run: Run) -> DataFrame:
 
 
 def stream_scores(run: Run) -> DataFrame:
-    stored = standin.model_frame(run.spark, run.dir, run.ws)
+    stored = run.stored_frame()
     model = E.fit(stored.df, E.SHRUNK_ORDER, run.ws, [LAMBDA])
     arriving = run.spark.readStream.schema(stored.df.schema).parquet(stored.path).filter("is_val")
     scored = live.score_stream(arriving, model).select(*KEY, "pred")
@@ -412,10 +465,11 @@ def stream_scores(run: Run) -> DataFrame:
 
 
 def stream_event_profile(run: Run) -> DataFrame:
-    arriving = run.spark.readStream.schema(run.events().schema).option("pathGlobFilter", "events.parquet")
-    events = arriving.parquet(run.dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    # the table may be one file or a folder of files: a stream takes either from a pattern only
+    arriving = run.spark.readStream.schema(run.events().schema).parquet(f"{run.dir}/events.parque[t]")
+    events = arriving.withColumn("ts", F.col("ts").cast("timestamp"))
     rolling = live.rolling_profile(events, "ts", "value", ["event_type"], "1 day", "1 hour")
-    out = live.run_to_table(rolling, run.ws, "event-profile")
+    out = live.run_to_table(rolling, run.ws, "event-profile", ["window_start", "window_end", "event_type"])
     ends = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_start", "window_end")]
     return rounded(out.select(*ends, "event_type", "mean_value", "n"), "mean_value")
 
@@ -434,11 +488,12 @@ def queries() -> dict[str, Query]:
 
     add(src_ratings, src_items, fact_join)
     add(feat_reviewed_at, feat_calendar, feat_release_year, feat_release_year_regex, feat_age)
-    out["feat_all"] = query(lambda run: run.featured())
+    add(feat_all)
     add(preview_features, filter_unparsed_year)
     out["split_hash"] = query(lambda run: run.flagged().select(*KEY, "h", "temp"))
-    add(split_exact, split_folds, split_folds_exact, split_semi_item, split_validation)
-    add(split_returned, split_training, split_protected)
+    add(split_exact, split_exact_fraction, split_hash_fraction, split_quantile, split_folds, split_folds_exact)
+    add(split_inner_exact, split_semi_item, split_validation)
+    add(split_returned, split_returned_joins, split_training, split_protected)
     add(profile_summary, count_by_genres, count_by_rating, top_titles)
     out["profile_item"], out["profile_user"] = profile_of("item_id"), profile_of("user_id")
     for part in features.CALENDAR:
@@ -462,6 +517,6 @@ def queries() -> dict[str, Query]:
     out["rmse_shrunk"] = rmse_with(E.SHRUNK_ORDER, LAMBDA)
     out["rmse_shrunk_ladder"] = ladder_of(E.SHRUNK_ORDER, LAMBDA)
     add(model_roundtrip)
-    add(lambda_grid, cv_rmse_grid, cv_rmse_kfold, cv_best_lambda, final_lambda, rmse_final)
+    add(lambda_grid, cv_rmse_grid, cv_rmse_kfold, cv_rmse_stratified, cv_best_lambda, final_lambda, rmse_final)
     add(stream_scores, stream_event_profile)
     return out

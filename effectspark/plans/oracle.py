@@ -140,6 +140,11 @@ KFOLDED = (
     "(SELECT *, ((h // 1000) % 10)::INT AS own FROM train), "
     "(SELECT unnest(range(10))::INT AS fold))"
 )
+STRATIFIED = (
+    "cv AS (SELECT *, row_number() OVER (PARTITION BY rating, fold ORDER BY h, user_id, item_id, epoch_s) <= "
+    "(count(*) OVER (PARTITION BY rating, fold) + 9) // 10 AS is_test FROM (SELECT *, "
+    "((row_number() OVER (PARTITION BY rating ORDER BY h, user_id, item_id, epoch_s) - 1) % 10)::INT AS fold FROM train))"
+)
 GRID = "(SELECT 1e0 + unnest(range(37)) * 25e-2 AS lam)"
 KFOLD_GRID = "(SELECT unnest([1e0, 5e0, 10e0]) AS lam)"
 
@@ -152,7 +157,7 @@ def grid_ctes(folded: str = FOLDED, grid: str = GRID) -> list[str]:
     errors = "errors AS (SELECT fold, lam, sqrt(avg(r10*r10)) AS rmse FROM s10 WHERE is_test GROUP BY 1, 2)"
     best = (
         "best AS (SELECT fold, lam, rmse FROM (SELECT *, row_number() OVER "
-        "(PARTITION BY fold ORDER BY rmse, lam) AS k FROM errors) WHERE k = 1)"
+        "(PARTITION BY fold ORDER BY round(rmse, 9), lam) AS k FROM errors) WHERE k = 1)"
     )
     return [folded, rows, *chain, errors, best]
 
@@ -196,7 +201,7 @@ def queries() -> dict[str, str]:
         " FROM items_raw"
     )
     out["feat_age"] = sql(f"SELECT {KEY}, release_year, review_year, age_at_review FROM fx_features")
-    out["feat_all"] = sql("SELECT * FROM fx_features")
+    out["feat_all"] = sql("SELECT *, make_timestamp(epoch_s*1000000) AS reviewed_at FROM fx_features")
     out["preview_features"] = sql(
         f"SELECT {KEY}, title, release_year, review_year, age_at_review FROM train ORDER BY {KEY} LIMIT 10"
     )
@@ -207,6 +212,22 @@ def queries() -> dict[str, str]:
         f"SELECT {KEY}, rating, h FROM (SELECT *, row_number() OVER (PARTITION BY rating ORDER BY h, {KEY}) AS k, "
         "count(*) OVER (PARTITION BY rating) AS n FROM fx_split) WHERE k <= ceil(n * 100 / 1000e0)"
     )
+    out["split_exact_fraction"] = sql(
+        f"SELECT {KEY}, rating, h FROM (SELECT *, row_number() OVER (PARTITION BY rating ORDER BY h, {KEY}) AS k, "
+        "count(*) OVER (PARTITION BY rating) AS n FROM fx_split) WHERE k <= (n * 375 + 9999) // 10000"
+    )
+    out["split_hash_fraction"] = sql(
+        f"SELECT {KEY}, h, (h % 1000) * 4294968 + h // 1000 < 161061300 AS held FROM fx_split"
+    )
+    cuts = "cuts AS (SELECT quantile_disc(epoch_s, [2e-1, 4e-1, 6e-1, 8e-1]) AS q FROM ratings_raw)"
+    out["split_quantile"] = sql(
+        f"SELECT {KEY}, stratum, row_number() OVER (PARTITION BY stratum ORDER BY h, {KEY}) <= "
+        "(count(*) OVER (PARTITION BY stratum) + 9) // 10 AS held FROM (SELECT s.*, "
+        "((epoch_s > q[1])::INT + (epoch_s > q[2])::INT + (epoch_s > q[3])::INT + (epoch_s > q[4])::INT)::INT AS stratum "
+        "FROM fx_split s, cuts)",
+        cuts,
+    )
+    out["split_inner_exact"] = sql(f"SELECT {KEY}, fold, is_test FROM cv", STRATIFIED)
     out["split_folds"] = sql(f"SELECT {KEY}, fold, is_test FROM cv", FOLDED)
     out["split_folds_exact"] = sql(
         f"SELECT {KEY}, rating, h, "
@@ -218,6 +239,7 @@ def queries() -> dict[str, str]:
     )
     out["split_validation"] = sql(f"SELECT {KEY}, rating FROM fx_split WHERE is_val")
     out["split_returned"] = sql(f"SELECT {KEY}, rating FROM fx_split WHERE temp AND NOT is_val")
+    out["split_returned_joins"] = out["split_returned"]
     out["split_training"] = sql(f"SELECT {KEY}, rating FROM train")
     out["split_protected"] = sql(f"SELECT {KEY}, temp, is_val FROM fx_split")
 
@@ -296,10 +318,15 @@ def queries() -> dict[str, str]:
         "unseen_item, unseen_user FROM cold WHERE temp",
         *chain, cold,
     )
+    unseen = ", ".join(
+        f"count(*) FILTER (WHERE NOT temp) OVER (PARTITION BY {key}) = 0 AS unseen_{name}" for name, key in SHRUNK
+    )
     out["unseen_counts"] = sql(
-        "SELECT 'item' AS effect, count(*) FILTER (WHERE unseen_item) AS unseen FROM cold WHERE temp UNION ALL "
-        "SELECT 'user' AS effect, count(*) FILTER (WHERE unseen_user) AS unseen FROM cold WHERE temp",
-        *chain, cold,
+        " UNION ALL ".join(
+            f"SELECT '{name}' AS effect, count(*) FILTER (WHERE unseen_{name}) AS unseen FROM flags WHERE temp"
+            for name, _ in SHRUNK
+        ),
+        f"flags AS (SELECT temp, {unseen} FROM fx_split)",
     )
     out["effect_means"] = sql(
         " UNION ALL ".join(
@@ -316,6 +343,9 @@ def queries() -> dict[str, str]:
     out["cv_rmse_kfold"] = sql(
         f"SELECT fold, lam AS \"lambda\", {r6('rmse')} AS rmse FROM errors", *grid_ctes(KFOLDED, KFOLD_GRID)
     )
+    out["cv_rmse_stratified"] = sql(
+        f"SELECT fold, lam AS \"lambda\", {r6('rmse')} AS rmse FROM errors", *grid_ctes(STRATIFIED, KFOLD_GRID)
+    )
     out["cv_best_lambda"] = sql(f"SELECT fold, lam AS \"lambda\", {r6('rmse')} AS rmse FROM best", *grid_ctes())
     out["final_lambda"] = sql(f"SELECT {r6('avg(lam)')} AS final_lambda FROM best", *grid_ctes())
     out["rmse_final"] = rmse_final_sql()
@@ -324,8 +354,6 @@ def queries() -> dict[str, str]:
     out["stream_event_profile"] = (
         "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, "
         "(date_trunc('day', ts) + INTERVAL 1 DAY)::TIMESTAMP AS window_end, event_type, "
-        f"{r6('avg(value)')} AS mean_value, count(*) AS n FROM events GROUP BY 1, 2, 3 "
-        "HAVING date_trunc('day', any_value(ts)) + INTERVAL 1 DAY <= "
-        "(SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
+        f"{r6('avg(value)')} AS mean_value, count(*) AS n FROM events GROUP BY 1, 2, 3"
     )
     return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,9 +19,35 @@ RATING_SCHEMA = T.StructType(
 ITEM_COLUMNS = ("item_id", "title", "genres")
 
 
-def read_ratings(spark: SparkSession, path: str) -> DataFrame:
-    """Rating log without header: user, item, rating, epoch seconds."""
-    return spark.read.csv(path, sep=DELIMITER, schema=RATING_SCHEMA, header=False, quote="")
+def read_ratings(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """Rating log without header: user, item, rating, epoch seconds.
+
+    Fields that cannot be read are NULL, and absent ones too; :func:`bad_lines` shows
+    such lines. ``strict`` makes them an error when the rows are read.
+    """
+    mode = "FAILFAST" if strict else "PERMISSIVE"
+    return spark.read.csv(path, sep=DELIMITER, schema=RATING_SCHEMA, header=False, quote="", mode=mode)
+
+
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a rating log that do not have four readable fields; an empty field is a NULL."""
+    return spark.read.text(path).filter(~_readable()).select(F.col("value").alias("line"))
+
+
+def rating_quality(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a rating log, and how many of them could not be read in full."""
+    return spark.read.text(path).agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(~_readable()).alias("bad_lines")
+    )
+
+
+def _readable() -> Column:
+    parts = F.split("value", DELIMITER, -1)
+    good = F.size(parts) == len(RATING_SCHEMA)
+    for i, field in enumerate(RATING_SCHEMA):
+        text = F.get(parts, F.lit(i))
+        good = good & ((text == "") | text.try_cast(field.dataType).isNotNull())
+    return F.coalesce(good, F.lit(False))
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
@@ -52,6 +78,21 @@ def fact_join(ratings: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def write_lines(df: DataFrame, path: str) -> str:
-    """Write a frame as delimited lines without header."""
-    df.select(F.concat_ws(DELIMITER, *df.columns).alias("value")).write.text(path)
+    """Write a frame as delimited lines without header.
+
+    NULL becomes an empty field. A text that a reader would cut elsewhere is an error:
+    one with a line break, or, before the last field, one with the delimiter or with a
+    colon at its end.
+    """
+    fields = [_field(df, name, last=name == df.columns[-1]) for name in df.columns]
+    df.select(F.concat_ws(DELIMITER, *fields).alias("value")).write.text(path)
     return path
+
+
+def _field(df: DataFrame, name: str, last: bool) -> Column:
+    text = F.coalesce(F.col(name).cast("string"), F.lit(""))
+    if not isinstance(df.schema[name].dataType, T.StringType):
+        return text
+    bad = text.rlike(r"[\r\n]") if last else text.rlike(rf"[\r\n]|{DELIMITER}|:$")
+    problem = F.concat(F.lit(f"column {name} cannot be written as a field: "), text)
+    return F.when(bad, F.raise_error(problem).cast("string")).otherwise(text)

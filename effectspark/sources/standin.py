@@ -46,7 +46,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = use_all_cores(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
+    lines = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_custkey").alias("user_id"),
@@ -56,15 +56,6 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def use_all_cores(scan: DataFrame, *row_key: str) -> DataFrame:
-    """Deal the rows out if the input is so small that its scan leaves cores idle.
-
-    A large table has more partitions than cores and is left alone.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, *row_key) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, key = F.col("p_name"), F.col("p_partkey")
     dated = F.concat(name, F.lit(" ("), (F.lit(1930) + key % 70).cast("string"), F.lit(")"))

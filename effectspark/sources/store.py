@@ -3,17 +3,20 @@
 A fit needs earlier results as tables of known size, with their lineage cut.
 They are written once, under the folder named by ``spark.checkpoint.dir``, so
 they outlive any executor. Row count and size are observed during the write
-itself; no second job counts them.
+itself; no second job counts them. The setting is trusted to name a folder that all
+executors reach. What a process has not dropped by its end is deleted then.
 """
 
 from __future__ import annotations
 
+import atexit
 import itertools
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
@@ -25,6 +28,9 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 _local_folders: dict[str, str] = {}
+_open: dict[str, Workspace] = {}
+_of_session: dict[str, Workspace] = {}
+_kept: dict[tuple, Stored] = {}
 
 
 @dataclass(frozen=True)
@@ -48,6 +54,7 @@ class Workspace:
         self.broadcast_bytes = broadcast_bytes
         self.root = f"{_shared_folder(spark)}/effectspark-{uuid.uuid4().hex}"
         self._numbers = itertools.count(1)
+        _open[self.root] = self
 
     def path(self, name: str) -> str:
         return f"{self.root}/{next(self._numbers):03d}-{name}"
@@ -87,18 +94,56 @@ class Workspace:
         """The table, marked for broadcast only if its measured size allows it."""
         return F.broadcast(table.df) if table.fits(self.broadcast_bytes) else table.df
 
+    def kept(self, name: str, about: tuple, make: Callable[[], Stored]) -> Stored:
+        """A table that queries of one session share: made once for the same name and input."""
+        key = (self.root, name, *about)
+        found = _kept.get(key)
+        if found is None or not self.exists(found.path):
+            found = _kept[key] = make()
+        return found
+
+    def exists(self, path: str) -> bool:
+        store, place = self._place(path)
+        return store.exists(place)
+
     def drop(self) -> None:
         """Delete this run's folder, once no DataFrame reads from it any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        store, place = self._place(self.root)
+        store.delete(place, True)
+        _open.pop(self.root, None)
+
+    def _place(self, path: str):
+        context = self.spark.sparkContext
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        conf = context._jsc.hadoopConfiguration() if context._jsc else context._jvm.org.apache.hadoop.conf.Configuration()
+        return place.getFileSystem(conf), place
+
+
+def session_workspace(spark: SparkSession) -> Workspace:
+    """The one folder that all registered queries of a session use."""
+    app = spark.sparkContext.applicationId
+    found = _of_session.get(app)
+    if found is None or found.root not in _open:
+        found = _of_session[app] = Workspace(spark)
+    return found
+
+
+@atexit.register
+def _clean_up() -> None:
+    """Delete what is left; at the end of a process its session may be gone already."""
+    for workspace in list(_open.values()):
+        with suppress(Exception):
+            workspace.drop()
+    for folder in _local_folders.values():
+        shutil.rmtree(folder, ignore_errors=True)
 
 
 def _shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
     app = spark.sparkContext.applicationId
     if app not in _local_folders:

@@ -34,15 +34,25 @@ def rolling_profile(
     )
 
 
-def run_to_table(stream: DataFrame, ws: Workspace, name: str) -> DataFrame:
-    """Process all available input into a parquet table and return that table."""
+def run_to_table(stream: DataFrame, ws: Workspace, name: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Process all available input into a parquet table and return that table.
+
+    A stream without state appends its rows. An aggregated one states its group
+    ``keys``: each batch writes the groups it changed, and the table has the last word
+    on each, the groups that are still open included. A batch that is repeated after a
+    failure replaces what it wrote.
+    """
     path = ws.path(name)
-    query = (
-        stream.writeStream.format("parquet")
-        .option("checkpointLocation", ws.path(f"{name}-progress"))
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start(path)
-    )
-    query.awaitTermination()
-    return ws.read(path, stream.schema)
+    writer = stream.writeStream.option("checkpointLocation", ws.path(f"{name}-progress")).trigger(availableNow=True)
+    if not keys:
+        writer.format("parquet").outputMode("append").start(path).awaitTermination()
+        return ws.read(path, stream.schema)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("__batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/{number}")
+
+    writer.outputMode("update").foreachBatch(write).start().awaitTermination()
+    schema = stream.schema.add("__batch", "long")
+    values = [c for c in stream.columns if c not in keys]
+    last = F.max_by(F.struct(*values), "__batch").alias("__last")
+    return ws.read(f"{path}/*", schema).groupBy(*keys).agg(last).select(*keys, "__last.*").select(*stream.columns)

@@ -154,6 +154,51 @@ def test_skewed_folds_and_lambdas_equal_brute_force(spark, limit):
     ws.drop()
 
 
+def test_keys_declared_narrow_are_paired_only_if_their_pairs_are_few(spark, monkeypatch):
+    rows = hot_rows(2000)
+    ws = Workspace(spark)
+    df = ws.save(spark.createDataFrame(rows, SCHEMA), "rows").df
+    specs = [E.EffectSpec(k, k) for k in "iuxyz"]
+    monkeypatch.setattr(E, "MOST_PAIRS", 1500)  # 60 x 80 pairs of i and u would be more
+    saved = {}
+    keep = Workspace.save
+    monkeypatch.setattr(Workspace, "save", lambda self, d, n, *a: saved.setdefault(n, keep(self, d, n, *a)))
+    model = E.fit(df, specs, ws, [2.0], held="held")
+    assert saved["pair-counts"].rows <= 1500
+    _, tables = brute_force(rows, "iuxyz", 2.0, "held")
+    for key in "iuxyz":
+        got = {r[key]: r["b"] for r in model.table(key).collect()}
+        assert got.keys() == tables[key].keys()
+        assert all(got[v] == pytest.approx(tables[key][v], abs=1e-9) for v in got)
+    ws.drop()
+
+
+def test_groups_may_be_texts_or_null(spark, ws):
+    rows = [{**r, "g": (None, "a", "it's", "é")[k % 4]} for k, r in enumerate(hot_rows(800))]
+    df = ws.save(spark.createDataFrame(rows, SCHEMA + ", g string"), "rows").df
+    model = E.fit(df, [SPEC["i"], SPEC["x"]], ws, [1.0], held="held", by="g")
+    for g in (None, "a", "it's", "é"):
+        part = [r for r in rows if r["g"] == g]
+        mu, tables = brute_force(part, "ix", 1.0, "held")
+        assert model.mu[g] == pytest.approx(mu)
+        got = {r["x"]: r["b"] for r in model.table("x").filter(F.col("g").eqNullSafe(F.lit(g))).collect()}
+        assert got.keys() == tables["x"].keys() and all(got[v] == pytest.approx(tables["x"][v]) for v in got)
+    scored = S.score(df, model)
+    assert scored.filter("pred IS NULL").isEmpty()
+
+
+def test_too_many_groups_are_refused(spark, ws, monkeypatch):
+    monkeypatch.setattr(E, "MOST_GROUPS", 3)
+    df = ws.save(spark.createDataFrame(hot_rows(100), SCHEMA), "rows").df
+    with pytest.raises(ValueError, match="more than 3"):
+        E.fit(df, [SPEC["i"]], ws, [1.0], held="held", by="z")
+
+
+def test_a_null_flag_holds_no_row_out(spark, ws):
+    df = ws.save(spark.createDataFrame([(1, 3.0, None), (1, 4.0, False), (1, 9.0, True)], "i bigint, rating double, held boolean"), "r").df
+    assert E.fit(df, [SPEC["i"]], ws, [0.0], held="held").table("i").first()["n"] == 2
+
+
 def test_rows_may_have_columns_named_like_the_tables_own(frame, shared):
     model = E.fit(frame, E.SHRUNK_ORDER[:3], shared, [5.0])
     rows = frame.filter("is_val").limit(5).withColumns({c: F.lit(1.0) for c in ("n", "dev", "b_0", "r")})
@@ -255,3 +300,7 @@ def test_bad_arguments(frame, shared):
         E.fit(frame, [E.EffectSpec("rating", "rating")], shared)
     with pytest.raises(ValueError):
         E.fit(frame.withColumnRenamed("item_id", "n"), [E.EffectSpec("item", "n")], shared)
+    with pytest.raises(ValueError):
+        E.fit(frame.withColumnRenamed("item_id", "N"), [E.EffectSpec("item", "N")], shared)
+    with pytest.raises(ValueError):
+        E.fit(frame.withColumn("Effect", F.lit(1)), [E.ITEM], shared, by="Effect")

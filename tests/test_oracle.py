@@ -1,10 +1,5 @@
-"""Every registered query against its SQL, on the smallest tables.
+"""Every registered query against its SQL, on the smallest tables."""
 
-Fits of the effects in between are covered by the fits of all ten; set
-EFFECTSPARK_ALL=1 to run them too.
-"""
-
-import os
 from collections import Counter
 
 import duckdb
@@ -12,19 +7,10 @@ import pytest
 from conftest import TABLES
 
 import __spark_entry__ as entry_points
+from effectspark.plans import catalog, oracle
 
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
-COVERED = {
-    f"{prefix}{name}"
-    for prefix, names in (
-        ("fit_", "review_year review_month review_mday review_wday age genres"),
-        ("fit_shrunk_", "age genres review_wday review_month review_hour review_year"),
-    )
-    for name in names.split()
-}
-TO_RUN = [n for n in QUERIES if os.environ.get("EFFECTSPARK_ALL") or n not in COVERED]
-
+QUERIES = catalog.queries()
+ORACLES = oracle.queries()
 
 @pytest.fixture(scope="module")
 def duck(tiny):
@@ -38,7 +24,7 @@ def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", TO_RUN)
+@pytest.mark.parametrize("name", QUERIES)
 def test_query_equals_sql(spark, duck, tiny, name):
     df = QUERIES[name](spark, tiny)
     expected = duck.execute(ORACLES[name])
@@ -50,6 +36,11 @@ def test_query_equals_sql(spark, duck, tiny, name):
     assert want
 
 
+def test_the_entry_point_registers_them():
+    assert QUERIES.keys() <= entry_points.queries().keys()
+    assert ORACLES.items() <= entry_points.oracle_sql().items()
+
+
 def test_entry(spark):
     df = entry_points.entry(spark)
     assert df.columns == ["user_id", "item_id", "epoch_s", "rating", "b_item", "b_user", "pred"]

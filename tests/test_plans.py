@@ -1,5 +1,7 @@
 """Physical plans: what must not occur, and how work grows with the number of effects."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,7 +73,7 @@ def test_passes_read_only_their_columns_and_partitions(spark, tiny, monkeypatch)
     E.fit(frame, E.SHRUNK_ORDER, ws, [5.0])
     plans = dict(saved)
     assert "ReadSchema: struct<item_id:bigint,rating:double>" in plans["sums-item"]
-    assert "PartitionFilters: [isnotnull(is_val" in plans["sums-item"]
+    assert "PartitionFilters: [NOT coalesce(is_val" in plans["sums-item"]
     assert "user_id" not in plans["pair-counts"].split("ReadSchema")[1]
     assert "HashAggregate" in plans["sums-item"] and "partial_sum" in plans["sums-item"]
     ws.drop()
@@ -99,5 +101,32 @@ def test_ratings_are_summed_per_item_before_the_item_join(spark, tiny):
     assert "keys=[item_id" in text[join:]
 
 
-def test_a_log_with_enough_partitions_is_not_shuffled(spark):
-    assert standin.use_all_cores(spark.range(100, numPartitions=16), "id").rdd.getNumPartitions() == 16
+def test_without_broadcasts_the_log_is_shuffled_once_per_wide_effect(spark, tiny, monkeypatch):
+    """What is left over after a wide effect is written, and the next passes start from it."""
+    ws = Workspace(spark, broadcast_bytes=0)
+    stored = standin.model_frame(spark, tiny, ws)
+    log = stored.path.rsplit("/", 1)[-1]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    saved = written_plans(monkeypatch)
+    try:
+        E.fit(stored.df, E.SHRUNK_ORDER, ws, [5.0])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    plans = dict(saved)
+    joins = {name: text.count("SortMergeJoin") for name, text in plans.items() if name.startswith(("rest", "effect-user", "value"))}
+    assert joins == {"rest-item": 1, "effect-user": 0, "rest-user": 1, "value-sums": 0}
+    assert log in plans["rest-item"] and log not in plans["rest-user"]
+    ws.drop()
+
+
+@pytest.mark.parametrize("name", ["profile_label", "label_contains_counts", "oldest_release", "oldest_at_review"])
+def test_ratings_are_reduced_per_item_before_the_item_join(spark, tiny, name):
+    text = plan(catalog.queries()[name](spark, tiny))
+    assert re.search(r"keys?=\[item_id", text[text.index("__item") :])
+
+
+@pytest.mark.parametrize("name", ["split_validation", "split_training", "split_returned"])
+def test_the_split_is_read_from_one_flag(spark, tiny, name):
+    text = plan(catalog.queries()[name](spark, tiny))
+    assert text.count("lineitem.parquet") <= 2

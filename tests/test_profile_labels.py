@@ -69,15 +69,29 @@ def test_explode_keeps_rows_without_labels(spark):
 def test_label_profile_equals_profile_of_exploded_rows(spark):
     joined = ratings(spark).join(items(spark), "item_id", "left")
     exploded = labels.explode_labels(joined)
-    assert as_set(labels.profile_label(joined)) == as_set(profile.profile_by(exploded, "label"))
+    lists = profile.sums_by_item_attribute(ratings(spark), items(spark), "genres")
+    assert as_set(labels.profile_label(lists)) == as_set(profile.profile_by(exploded, "label"))
 
 
 def test_contains_counts_text_not_label(spark):
-    df = spark.createDataFrame([("Drama|Comedy",), ("Dramatic",), (None,)], "genres string")
-    assert as_set(labels.contains_counts(df, ["Drama", "Comedy", "War"])) == {("Drama", 2), ("Comedy", 1), ("War", 0)}
+    df = spark.createDataFrame([("Drama|Comedy", 3), ("Dramatic", 1), (None, 5)], "genres string, n bigint")
+    assert as_set(labels.contains_counts(df, ["Drama", "Comedy", "War"])) == {("Drama", 4), ("Comedy", 3), ("War", 0)}
 
 
 def test_indicators_are_whole_labels(spark):
     df = spark.createDataFrame([("Drama|Comedy",), ("Dramatic",)], "genres string")
     got = [(r["has_Drama"], r["has_Comedy"]) for r in labels.indicators(df, ["Drama", "Comedy"]).collect()]
     assert got == [(True, True), (False, False)]
+
+
+def test_histogram_edges_are_decimal(spark):
+    df = spark.createDataFrame([(0.3,), (0.6,), (0.7,), (0.69,), (-0.1,), (None,)], "x double")
+    got = {r["bin_start"]: r["n"] for r in profile.histogram(df, "x", 0.1).collect()}
+    assert got == {0.3: 1, 0.6: 2, 0.7: 1, -0.1: 1, None: 1}
+
+
+def test_first_per_item(spark):
+    rows = [(1, 5, 2.0), (1, 3, 4.0), (2, 9, 1.0), (None, 1, 1.0), (None, 0, 3.0)]
+    df = spark.createDataFrame(rows, "item_id bigint, user_id bigint, rating double")
+    assert as_set(profile.first_per_item(df, [-F.col("rating")], ["user_id"])) == {(1, 3, 4.0), (2, 9, 1.0), (None, 0, 3.0)}
+    assert as_set(profile.first_per_item(df, [], ["user_id"])) == {(1, 3, 4.0), (2, 9, 1.0), (None, 0, 3.0)}

@@ -1,5 +1,7 @@
 """Delimited readers, the stored tables, the fact join."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +16,39 @@ def test_read_ratings(spark, tmp_path):
     assert rows == [(1, 122, 5.0, 838985046), (1, 185, 4.5, 838983525)]
 
 
+def test_bad_rating_lines_are_shown_or_refused(spark, tmp_path):
+    path = str(tmp_path / "ratings.dat")
+    bad = ["x::122::4::9", "2::3::bad::9", "4::5::3"]
+    (tmp_path / "ratings.dat").write_text("\n".join(["1::122::5::838985046", *bad]) + "\n")
+    assert delimited.read_ratings(spark, path).count() == 4
+    assert sorted(r["line"] for r in delimited.bad_lines(spark, path).collect()) == sorted(bad)
+    assert tuple(delimited.rating_quality(spark, path).first()) == (4, 3)
+    with pytest.raises(Exception):
+        delimited.read_ratings(spark, path, strict=True).collect()
+
+
+def test_written_lines_keep_null_fields(spark, tmp_path):
+    rows = [(None, 122, 5.0, 9), (1, None, None, 3), (2, 3, 1.5, None)]
+    path = delimited.write_lines(spark.createDataFrame(rows, delimited.RATING_SCHEMA), str(tmp_path / "r"))
+    assert sorted(map(tuple, delimited.read_ratings(spark, path).collect()), key=str) == sorted(rows, key=str)
+
+
+@pytest.mark.parametrize(
+    "title, labels, fine",
+    [("T", "A|B", True), ("T", "A::B", True), (None, None, True), ("T::x", "A", False), ("T:", "A", False),
+     ("T\nU", "A", False), ("T", "A\rB", False), (":T", "A", True), ("a:b", "A:", True)],
+)
+def test_a_text_that_would_be_cut_elsewhere_is_refused(spark, tmp_path, title, labels, fine):
+    df = spark.createDataFrame([(1, title, labels)], "item_id bigint, title string, genres string")
+    path = str(tmp_path / "items")
+    if fine:
+        got = delimited.read_items(spark, delimited.write_lines(df, path)).first()
+        assert tuple(got) == (1, title or "", labels or "")
+    else:
+        with pytest.raises(Exception, match="cannot be written"):
+            delimited.write_lines(df, path)
+
+
 def test_read_items_edge_lines(spark, tmp_path):
     path = tmp_path / "items.dat"
     path.write_text(
@@ -79,5 +114,35 @@ class FakeSession:
 def test_shared_folder_comes_from_the_session():
     assert store._shared_folder(FakeSession("yarn", "hdfs:///shared/")) == "hdfs:///shared"
     assert store._shared_folder(FakeSession("local[2]", "/shared")) == "/shared"
-    with pytest.raises(RuntimeError):
-        store._shared_folder(FakeSession("yarn"))
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            store._shared_folder(FakeSession(master))
+
+
+def test_tables_of_a_session_are_made_once(spark, ws):
+    made = []
+
+    def make():
+        made.append(1)
+        return ws.save(spark.range(3), "x")
+
+    assert ws.kept("x", ("a",), make).path == ws.kept("x", ("a",), make).path
+    assert ws.kept("x", ("b",), make).rows == 3
+    assert len(made) == 2
+    store.session_workspace(spark)
+    assert store.session_workspace(spark) is store.session_workspace(spark)
+
+
+def test_nothing_is_left_at_the_end_of_a_process(tmp_path):
+    import subprocess
+    import sys
+
+    code = """
+from effectspark.session import local_session
+from effectspark.sources.store import Workspace
+spark = local_session(1, spark__checkpoint__dir=r"file://%s/shared")
+Workspace(spark).save(spark.range(5), "x")
+spark.stop()
+""" % tmp_path
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(__file__)))
+    assert [p for p in (tmp_path / "shared").iterdir() if p.name.startswith("effectspark-")] == []

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from effectspark.functions import columns as C
 from effectspark.operators import split
 from effectspark.sources import standin
 
@@ -122,6 +123,58 @@ def test_folds_and_inner_holdout_use_different_digits(flagged):
         assert all(0.05 < r["s"] < 0.15 for r in share)
 
 
+@pytest.mark.parametrize("p", [0.0, 0.0004, 0.0015, 0.1, 0.25, 0.9996, 1.0])
+def test_fractions_are_kept_to_the_row(spark, ws, p):
+    n = 100_000
+    df = spark.range(n).select(F.lit(1).alias("s"), C.row_hash(F.col("id")).alias("h"), F.col("id").alias("k"))
+    df = ws.save(df, "rows").df
+    assert split.exact_holdout(df, ws, "s", "h", ["k"], p).count() == math.ceil(n * p - 1e-6)
+    share = df.filter(split.holdout(F.col("h"), p)).count()
+    assert abs(share - n * p) <= 5 * math.sqrt(n * p * (1 - p)) + (0 if p in (0.0, 1.0) else 1)
+
+
+def test_a_fraction_is_meant_as_written(spark, ws):
+    df = ws.save(spark.range(70).selectExpr("1 AS s", "id AS h", "id AS k"), "rows").df
+    assert split.exact_holdout(df, ws, "s", "h", ["k"], 0.1).count() == 7  # 70 * 0.1 is more than 7 in doubles
+    with pytest.raises(ValueError):
+        split.holdout(F.col("h"), 1.5)
+
+
+def test_null_flags_are_not_held_out(spark, ws):
+    rows = [(1, 1, None), (1, 2, False), (2, 1, True), (1, 1, True), (3, 3, None)]
+    df = spark.createDataFrame(rows, "item_id int, user_id int, temp boolean")
+    flags = split.protected(df, ws).collect()
+    assert sorted((r.item_id, r.user_id, r.is_val) for r in flags) == [
+        (1, 1, False), (1, 1, True), (1, 2, False), (2, 1, False), (3, 3, False)
+    ]
+    train, validation, returned = split.protected_by_joins(df)
+    assert (train.count(), validation.count(), returned.count()) == (4, 1, 1)
+
+
+def test_both_forms_treat_null_keys_alike(spark, ws):
+    rows = [(None, 1, True), (None, 2, False), (3, 1, True), (4, 1, False), (4, None, True), (None, None, True), (3, 2, None)]
+    df = spark.createDataFrame(rows, "item_id int, user_id int, temp boolean")
+    flags = split.protected(df, ws)
+    train, validation, returned = split.protected_by_joins(df)
+    for mine, theirs in (("is_val", validation), ("NOT is_val", train), ("temp AND NOT is_val", returned)):
+        want = Counter((r.item_id, r.user_id) for r in flags.filter(mine).collect())
+        assert Counter((r.item_id, r.user_id) for r in theirs.collect()) == want
+
+
+def test_exact_flags_by_two_strata(flagged, ws):
+    rows = ws.save(split.exact_folds(flagged, "rating", "h", KEY, k=4), "folds").df
+    got = split.exact_flags(rows, ws, ["rating", "fold"], "h", KEY)
+    sizes = got.groupBy("rating", "fold").agg(F.count("*").alias("n"), F.count_if("is_test").alias("t")).collect()
+    assert got.count() == 60000
+    assert all(r["t"] == math.ceil(r["n"] / 10) for r in sizes)
+
+
+def test_flags_with_many_copies_of_a_row(spark, ws):
+    got = split.exact_flags(copies(spark), ws, "rating", "h", ["k"], 0.5)
+    assert got.count() == 3000 and got.filter("is_test").count() == 1500
+    assert max(r.h for r in got.filter("is_test").collect()) <= min(r.h for r in got.filter("NOT is_test").collect())
+
+
 def test_quantile_strata(spark):
     df = spark.range(1000).select((F.col("id") / 10).alias("x"))
     got = Counter(r[0] for r in df.select(split.quantile_strata(df, "x", 5)).collect())

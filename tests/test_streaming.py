@@ -10,7 +10,7 @@ from effectspark.sources import standin
 from effectspark.streaming import live
 
 
-def test_rolling_profile_drops_late_rows_and_keeps_open_windows_back(spark, ws):
+def test_rolling_profile_drops_late_rows(spark, ws):
     def at(day, hour):
         return dt.datetime(2024, 1, day, hour)
 
@@ -25,9 +25,12 @@ def test_rolling_profile_drops_late_rows_and_keeps_open_windows_back(spark, ws):
         df.coalesce(1).write.parquet(f"{path}/batch={i}")
     schema = "ts timestamp, event_type string, value double"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/batch=*")
-    out = live.run_to_table(live.rolling_profile(stream, "ts", "value", ["event_type"], "1 day", "1 hour"), ws, "out")
-    got = {(r["window_start"].day, r["event_type"], r["mean_value"], r["n"]) for r in out.collect()}
-    assert got == {(1, "a", 2.0, 2), (3, "b", 6.0, 2)}
+    rolling = live.rolling_profile(stream, "ts", "value", ["event_type"], "1 day", "1 hour")
+    closed = live.run_to_table(rolling, ws, "closed")
+    rows = lambda df: {(r["window_start"].day, r["event_type"], r["mean_value"], r["n"]) for r in df.collect()}
+    assert rows(closed) == {(1, "a", 2.0, 2), (3, "b", 6.0, 2)}
+    all_windows = live.run_to_table(rolling, ws, "all", ["window_start", "window_end", "event_type"])
+    assert rows(all_windows) == {(1, "a", 2.0, 2), (3, "b", 6.0, 2), (4, "a", 7.0, 1)}
 
 
 def test_sliding_windows(spark, ws):
@@ -49,3 +52,14 @@ def test_stream_scores_equal_batch_scores(spark, ws, tiny):
     scored = live.run_to_table(live.score_stream(arriving, model).select(*columns), ws, "scores")
     assert scored.count() == batch.count() == 561
     assert scored.exceptAll(batch).isEmpty()
+
+
+def test_event_profile_of_a_folder_of_files(spark, tiny, tmp_path):
+    from effectspark.plans import catalog
+
+    events = spark.read.parquet(f"{tiny}/events.parquet")
+    events.repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    profile = catalog.queries()["stream_event_profile"]
+    whole, parts = profile(spark, tiny), profile(spark, str(tmp_path))
+    assert whole.agg(F.sum("n")).first()[0] == events.count()
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))

@@ -59,6 +59,18 @@ def test_kfold_fits_on_the_other_folds(spark, ws, tiny):
         assert r["rmse"] == pytest.approx(S.rmse(S.score(split.filter("out"), model)).first()[0])
 
 
+def test_stratified_frame_is_exact(spark, ws, tiny):
+    train = standin.model_frame(spark, tiny, ws, "h").df.filter("NOT is_val")
+    cv = ws.save(T.stratified_cv_frame(train, ws, standin.ROW_KEY, k=5), "cv").df
+    assert cv.count() == train.count()
+    cells = cv.groupBy("rating", "fold").agg(F.count("*").alias("n"), F.count_if("is_test").alias("t")).collect()
+    by_rating = {}
+    for r in cells:
+        assert r["t"] == -(-r["n"] // 10)
+        by_rating.setdefault(r["rating"], []).append(r["n"])
+    assert all(max(n) - min(n) <= 1 for n in by_rating.values())
+
+
 def test_unknown_mode(spark):
     with pytest.raises(ValueError):
         T.cv_frame(spark.range(1).withColumnRenamed("id", "h"), mode="other")
@@ -66,9 +78,9 @@ def test_unknown_mode(spark):
 
 def test_tie_goes_to_the_smaller_lambda(spark):
     grid = spark.createDataFrame(
-        [(0, 2.0, 0.5), (0, 1.0, 0.5), (0, 3.0, 0.7), (1, 1.0, 0.9), (1, 4.0, 0.1)],
+        [(0, 2.0, 0.5), (0, 1.0, 0.5 + 1e-13), (0, 3.0, 0.7), (1, 1.0, 0.9), (1, 4.0, 0.1)],
         'fold int, `lambda` double, rmse double',
     )
     best = {r["fold"]: (r["lambda"], r["rmse"]) for r in T.best_lambda(grid).collect()}
-    assert best == {0: (1.0, 0.5), 1: (4.0, 0.1)}
+    assert best == {0: (1.0, 0.5 + 1e-13), 1: (4.0, 0.1)}
     assert T.final_lambda(T.best_lambda(grid)).first()[0] == 2.5
