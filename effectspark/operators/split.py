@@ -25,6 +25,7 @@ REST = -(-(1 << 32) // PER_MILLE)  # values that ``h div PER_MILLE`` can take
 INNER_PARTS = 10
 BUCKETS = 1 << 20
 CHUNK = 1 << 20
+ACCURACY = 1_000_000
 
 
 def _exact(p: float) -> Fraction:
@@ -60,9 +61,12 @@ def held_out(flag: Column | str) -> Column:
 
 
 def quantile_strata(df: DataFrame, value: str, groups: int = 5) -> Column:
-    """Index of the value's quantile group, for strata over continuous values."""
+    """Index of the value's quantile group, for strata over continuous values.
+
+    The cuts are off by at most one row in ACCURACY, and exact for fewer rows.
+    """
     levels = [i / groups for i in range(1, groups)]
-    cuts = sorted(set(df.agg(F.percentile_approx(value, levels)).first()[0] or []))
+    cuts = sorted(set(df.agg(F.percentile_approx(value, levels, ACCURACY)).first()[0] or []))
     return reduce(lambda acc, c: acc + (F.col(value) > F.lit(c)).cast("int"), cuts, F.lit(0))
 
 
