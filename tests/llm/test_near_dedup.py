@@ -72,10 +72,9 @@ def test_copies_near_copies_and_chains(documents, prose, tables):
     assert found(documents(rows), tables) == plain(rows)
 
 
-@pytest.mark.parametrize("small", [3, 12])
-def test_nodes_too_large_to_compare_branch_on(documents, prose, tables, monkeypatch, small):
+def test_nodes_too_large_to_compare_branch_on(documents, prose, tables, monkeypatch):
     """A passage in all documents, large groups of near copies, and nodes far over the limit."""
-    monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "SMALL", 12)
     common = prose(0, words=60)
     rows = [(i, f"{common} {prose(500 + i, words=50)}") for i in range(60)]
     rows += [(100 + i, edited(prose(1, words=150), i % 4, i)) for i in range(60)]
@@ -147,7 +146,7 @@ def test_agreement_estimates_similarity():
     assert 0.6 < (sketches[0] == sketches[1]).mean() < 0.9  # 0.75
 
 
-@settings(max_examples=15, deadline=None)
+@settings(max_examples=6, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), max_size=30))
 def test_components(spark, edges):
     from effectspark.llm.tables import start
