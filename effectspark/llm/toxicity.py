@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from effectspark.llm.crf import Chain
 from effectspark.sources.store import Workspace
 
-SAMPLE_ROWS = 1500  # labelled documents per class, the bound of the fit
+SAMPLE_ROWS = 1000  # labelled documents per class, the bound of the fit
 BITS = 18
 WIDTH = 1 << BITS
 WORD = re.compile(r"\w+")
@@ -38,6 +38,7 @@ TOXIC_FROM = 0.7
 # each toxic document is covered up to COVER times.
 LEAST_DOCS, RARE, COVER = 5, 20, 4
 STEPS, RATE, RIDGE = 60, 0.5, 1e-5
+FIT_TOKENS = 1 << 17  # about as many tokens are worked on at once in the fit
 
 SPANS = "array<struct<start:int,end:int,p:double>>"
 
@@ -159,6 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, ws: Workspace, sample_rows: int = SA
     unique = list({r["slots"]: r for r in found if r["slots"]}.values())  # copies teach nothing new
     slots = [np.frombuffer(r["slots"], np.int32).reshape(-1, PER_TOKEN) for r in unique]
     toxic = np.array([r["toxic"] for r in unique], dtype=int)
+    del found, unique
     if not (toxic == 1).any() or not (toxic == 0).any():
         return None
     return _learn(slots, toxic)
@@ -190,45 +192,67 @@ def _markers(slots: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
 def _learn(slots: list[np.ndarray], toxic: np.ndarray) -> Model:
     marked = _markers(slots, toxic)
     sizes = np.array([len(s) for s in slots])
-    stream = np.concatenate(slots)
-    label = marked[stream].any(1) & np.repeat(toxic == 1, sizes)
-    first = np.zeros(len(stream), bool)
-    first[np.cumsum(sizes) - sizes] = True
-    # a missing feature repeats the word's own and counts once
-    counts = np.concatenate([np.ones((len(stream), 1), bool), stream[:, 1:] != stream[:, :1]], axis=1)
-
-    def emissions(weights: np.ndarray, bias: float) -> np.ndarray:
-        return sum((np.where(counts[:, k], weights[stream[:, k]], 0.0) for k in range(PER_TOKEN)), np.full(len(stream), bias))
-
-    def per_slot(values: np.ndarray) -> np.ndarray:
-        return sum(np.bincount(stream[:, k], values * counts[:, k], WIDTH) for k in range(PER_TOKEN))
+    starts = np.cumsum(sizes) - sizes
+    # documents are worked on in parts, so that the arrays of a step stay small
+    cuts = np.searchsorted(starts // FIT_TOKENS, np.unique(starts // FIT_TOKENS))
+    parts = [_Part(slots[a:b], toxic[a:b], marked) for a, b in zip(cuts, [*cuts[1:], len(slots)])]
+    slots.clear()
 
     weights, bias = np.zeros(WIDTH), 0.0
     chain = Chain(np.zeros(2), np.zeros((2, 2)))
-    before = np.concatenate([[False], label[:-1]])
-    seen_pairs = np.array([[(~before & ~label & ~first).sum(), (~before & label & ~first).sum()],
-                           [(before & ~label & ~first).sum(), (before & label & ~first).sum()]], float)
-    seen_start = np.array([(~label & first).sum(), (label & first).sum()], float)
     squares = [np.full(WIDTH, 1e-6), 1e-6, np.full(2, 1e-6), np.full((2, 2), 1e-6)]
-    n = len(stream)
+    n = int(sizes.sum())
     for _ in range(STEPS):
-        p, pairs = chain.expectations(emissions(weights, bias), first)
-        miss = label - p
-        gradients = [
-            per_slot(miss) / n - RIDGE * weights,
-            miss.sum() / n,
-            (seen_start - np.array([(1 - p[first]).sum(), p[first].sum()])) / n,
-            (seen_pairs - pairs.sum(2, where=~first)) / n,
-        ]
+        gradients = [-RIDGE * weights, 0.0, np.zeros(2), np.zeros((2, 2))]
+        for part in parts:
+            p, pairs = chain.expectations(part.emissions(weights, bias), part.first)
+            miss, first = part.label - p, part.first
+            gradients[0] += part.per_slot(miss) / n
+            gradients[1] += miss.sum() / n
+            gradients[2] += (part.seen_start - np.array([(1 - p[first]).sum(), p[first].sum()])) / n
+            gradients[3] += (part.seen_pairs - pairs.sum(2, where=~first)) / n
         values = [weights, bias, chain.start, chain.move]
         for k, g in enumerate(gradients):
             squares[k] = squares[k] + g * g
             values[k] = values[k] + RATE * g / np.sqrt(squares[k])
         weights, bias, chain.start, chain.move = values
 
-    p = chain.marginals(emissions(weights, bias), first)
-    sums = np.array([_sums(own) for own in np.split(p, np.cumsum(sizes)[:-1])])
-    return Model(weights.astype(np.float32), float(bias), chain, _logistic(sums, toxic))
+    sums = []
+    for part in parts:
+        p = chain.marginals(part.emissions(weights, bias), part.first)
+        sums += [_sums(own) for own in np.split(p, np.flatnonzero(part.first)[1:])]
+    return Model(weights.astype(np.float32), float(bias), chain, _logistic(np.array(sums), toxic))
+
+
+class _Part:
+    """Some documents of the sample: their tokens' features and labels."""
+
+    def __init__(self, slots: list[np.ndarray], toxic: np.ndarray, marked: np.ndarray):
+        sizes = np.array([len(s) for s in slots])
+        self.stream = np.concatenate(slots)
+        self.label = marked[self.stream].any(1) & np.repeat(toxic == 1, sizes)
+        self.first = np.zeros(len(self.stream), bool)
+        self.first[np.cumsum(sizes) - sizes] = True
+        # a missing feature repeats the word's own and counts once
+        self.counts = np.concatenate(
+            [np.ones((len(self.stream), 1), bool), self.stream[:, 1:] != self.stream[:, :1]], axis=1
+        )
+        label, inner = self.label, ~self.first
+        before = np.concatenate([[False], label[:-1]])
+        self.seen_pairs = np.array(
+            [[(~before & ~label & inner).sum(), (~before & label & inner).sum()],
+             [(before & ~label & inner).sum(), (before & label & inner).sum()]], float
+        )
+        self.seen_start = np.array([(~label & self.first).sum(), (label & self.first).sum()], float)
+
+    def emissions(self, weights: np.ndarray, bias: float) -> np.ndarray:
+        out = np.full(len(self.stream), bias)
+        for k in range(PER_TOKEN):
+            out += np.where(self.counts[:, k], weights[self.stream[:, k]], 0.0)
+        return out
+
+    def per_slot(self, values: np.ndarray) -> np.ndarray:
+        return sum(np.bincount(self.stream[:, k], values * self.counts[:, k], WIDTH) for k in range(PER_TOKEN))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
