@@ -79,7 +79,7 @@ def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str, ws: Worksp
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ws = start(spark)
+    ws = start(spark, toxicity.BATCH_ROWS)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir, ws))
     return scored.select(

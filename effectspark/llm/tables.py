@@ -16,7 +16,7 @@ BATCH_ROWS = 256
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def start(spark: SparkSession) -> Workspace:
+def start(spark: SparkSession, batch_rows: int = BATCH_ROWS) -> Workspace:
     """Runtime settings of the operators, and a folder for their tables.
 
     Python workers look for this package where the driver found it; on a cluster that
@@ -26,7 +26,7 @@ def start(spark: SparkSession) -> Workspace:
     environment = spark.sparkContext.environment
     paths = [environment.get("PYTHONPATH", ""), str(Path(__file__).resolve().parents[2])]
     environment["PYTHONPATH"] = os.pathsep.join(dict.fromkeys(p for part in paths for p in part.split(os.pathsep) if p))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     return Workspace(spark)
 
 

@@ -31,7 +31,8 @@ WORD = re.compile(r"\w+")
 PREFIXES = (4, 5, 6)
 SUFFIXES = (4,)
 PER_TOKEN = 1 + len(PREFIXES) + len(SUFFIXES)
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
+BATCH_ROWS = 64  # texts scored at once
 SPAN_FROM = 0.5
 TOXIC_FROM = 0.7
 # A feature may mark toxic tokens from LEAST_DOCS toxic documents, if at most one in RARE of its documents is clean;
@@ -281,12 +282,14 @@ def score(docs: DataFrame, model: Model | None, name: str = "score", spans: str
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             if batch.num_rows:
-                found = shared.value.score([t or "" for t in batch.column("text").to_pylist()])
+                found = model.score([t or "" for t in batch.column("text").to_pylist()])
                 columns = [batch.column(c) for c in kept]
                 scores, parts = pa.array([s for s, _ in found], pa.float64()), pa.array([p for _, p in found], kind)
                 yield pa.RecordBatch.from_arrays([*columns, scores, parts], names=[*kept, name, spans])
+        model.cached.clear()  # a worker that waits for its next task holds no words
 
     added = docs.limit(0).withColumns({name: F.lit(0.0), spans: F.array().cast(SPANS)}).select(*kept, name, spans)
     return docs.mapInArrow(task, added.schema)
