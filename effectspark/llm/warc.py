@@ -53,14 +53,15 @@ RECORDS = (
 def decide_revisits(pages: DataFrame) -> DataFrame:
     """Add ``digest`` and ``refers_to`` (NULL: a response) to (page_id, url, payload).
 
-    Payloads are equal if SHA-1, a second hash and length agree. Of at least
+    A NULL payload is empty. Payloads are equal if SHA-1, a second hash and length agree. Of at least
     LEAST_SHARED equal bytes the row with the largest page_id is the response and the
     others refer to it. Rows that repeat the largest page_id are all responses, as are
     all rows of a group without any page_id. A payload's rows meet only as sums; the
     join back splits popular payloads.
     """
     keys = ["digest", "second", "size"]
-    hashed = pages.withColumns(
+    full = pages.withColumn("payload", F.coalesce("payload", F.lit(b"")))
+    hashed = full.withColumns(
         {"digest": F.sha1("payload"), "second": F.xxhash64("payload"), "size": F.octet_length("payload")}
     )
     shared = (
