@@ -10,6 +10,10 @@ Chunks are grouped by digest *and* body, which compares their bytes; partial
 aggregation leaves one row per scan task for a chunk that very many documents
 hold. Only digests and positions travel further: the decisions come back to a
 document as one array of flags, and its text is rebuilt from the kept chunks.
+
+A short passage seldom holds a whole chunk, so :func:`dedup_lines` finds few of those
+with up to eight lines. :func:`dedup_passages` needs no cuts: it compares every two
+neighbouring lines that are not blank, and so finds each repeated passage whole.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ FILLED = 2
 NOT_BLANK = r"[^\x20\x09-\x0D]"
 
 _KEY, _CHUNKS, _FLAGS = "__line_dedup_key", "__line_dedup_chunks", "__line_dedup_flags"
+_LINES, _GONE = "__line_dedup_lines", "__line_dedup_gone"
 
 
 def dedup_lines(docs: DataFrame, ws: Workspace) -> DataFrame:
@@ -125,3 +130,67 @@ def _chunk_rows(keyed: DataFrame) -> DataFrame:
         "c.filled",
         "c.body",
     )
+
+
+def dedup_passages(docs: DataFrame, ws: Workspace) -> DataFrame:
+    """``docs`` with repeated passages taken out of ``text``, and their numbers.
+
+    A passage is FILLED or more neighbouring lines that are not blank, with the blank
+    lines between them. Each two such neighbours are a pair; of equal pairs the first by
+    (doc_id, position) stays, also within a document, and the lines of the others go. So
+    every line of a repeated passage goes, whatever stands around it, but a line of which
+    this is the first copy never does: each line that goes equals an earlier one.
+
+    Adds ``n_lines`` and ``n_removed`` (lines); NULLs, repeated rows and columns of these
+    names are as in :func:`dedup_lines`.
+    """
+    keyed = docs.withColumn(_KEY, row_key())
+    meta = ws.save(_pair_rows(keyed), "pairs").df
+    repeats = (
+        meta.groupBy("digest")
+        .agg(F.min("place").alias("first"), F.max("place").alias("last"))
+        .filter("first <> last")
+        .select("digest", "first")
+    )
+    gone = (
+        meta.join(repeats, "digest")
+        .filter("first <> place")
+        .groupBy(_KEY)
+        .agg(F.collect_set(F.struct("place.line", "stop")).alias("pairs"))
+        .select(_KEY, F.expr("array_distinct(flatten(transform(pairs, p -> sequence(p.line, p.stop))))").alias(_GONE))
+    )
+    split = F.when(F.col("text").isNotNull(), F.split("text", "\n", -1))
+    found = keyed.join(gone, _KEY, "left").withColumn(_LINES, split)
+    kept = f"array_except(sequence(0, size({_LINES}) - 1), {_GONE})"
+    results = {
+        "n_lines": F.expr(f"CASE WHEN {_LINES} IS NULL THEN 0L ELSE CAST(size({_LINES}) AS BIGINT) END"),
+        "n_removed": F.expr(f"CASE WHEN {_GONE} IS NULL THEN 0L ELSE CAST(size({_GONE}) AS BIGINT) END"),
+        "text": F.expr(
+            f"CASE WHEN {_GONE} IS NULL THEN text ELSE array_join(transform({kept}, i -> {_LINES}[i]), '\n') END"
+        ),
+    }
+    return found.withColumns(results).select(*dict.fromkeys([*docs.columns, *results]))
+
+
+def _pair_rows(keyed: DataFrame) -> DataFrame:
+    """A row per two neighbouring lines that are not blank: key, place, last line, digest of all from one to the other."""
+    lines = keyed.select("doc_id", _KEY, "text").filter("text IS NOT NULL").withColumn(_LINES, F.split("text", "\n", -1))
+    filled = lines.withColumn(
+        "__filled",
+        F.expr(f"filter(sequence(0, size({_LINES}) - 1), i -> {_LINES}[i] RLIKE r'{NOT_BLANK}')"),
+    )
+    ends = F.expr("arrays_zip(slice(__filled, 1, greatest(size(__filled) - 1, 0)), slice(__filled, 2, size(__filled)))")
+    body = f"array_join(slice({_LINES}, z['0'] + 1, z['1'] - z['0'] + 1), '\n')"
+    pair = f"named_struct('line', z['0'], 'stop', z['1'], 'digest', unhex(sha2({body}, 256)))"
+    each = (
+        filled.withColumn("__ends", ends)
+        .select("doc_id", _KEY, F.expr(f"transform(__ends, z -> {pair})").alias("__pairs"))
+        .select("doc_id", _KEY, F.explode_outer("__pairs").alias("c"))
+        .filter("c IS NOT NULL")
+    )
+    return each.select(
+        _KEY,
+        F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col(_KEY).alias("key"), "c.line").alias("place"),
+        "c.stop",
+        "c.digest",
+    )

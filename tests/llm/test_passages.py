@@ -1,0 +1,59 @@
+import random
+import re
+
+import pytest
+
+from effectspark.llm import line_dedup
+
+
+def plain(rows):
+    """Texts without repeated pairs of filled lines, straight from the rule."""
+    order = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is None, r[0] or 0))
+    seen, result = {}, {}
+    for i, t in order:
+        lines, gone = t.split("\n"), set()
+        filled = [k for k, x in enumerate(lines) if re.search(r"[^\x20\x09-\x0D]", x)]
+        for a, b in zip(filled, filled[1:]):
+            body = tuple(lines[a : b + 1])
+            if seen.setdefault(body, (i, t, a)) != (i, t, a):
+                gone |= set(range(a, b + 1))
+        result[(i, t)] = ("\n".join(x for k, x in enumerate(lines) if k not in gone), len(lines), len(gone))
+    return sorted(((i, *result.get((i, t), (None, 0, 0))) for i, t in rows), key=str)
+
+
+def found(df, tables):
+    got = line_dedup.dedup_passages(df, tables)
+    assert got.columns[: len(df.columns)] == df.columns
+    return sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()), key=str)
+
+
+@pytest.mark.parametrize("n", range(2, 11))
+def test_short_passages_in_fresh_contexts_go_whole(documents, tables, prose, n):
+    passages = [prose(7000 + 20 * n + k, words=60 // n + 1, lines=n) for k in range(8)]
+    rows = []
+    for k, p in enumerate(passages):
+        for copy in range(3):
+            seed = 1000 * n + 10 * k + copy
+            rows.append((len(rows), f"{prose(seed, lines=copy + 1)}\n{p}\n{prose(seed + 500, lines=2)}"))
+    got = found(documents(rows), tables)
+    assert got == plain(rows)
+    assert [r[3] for r in sorted(got)] == [0, n, n] * len(passages)
+
+
+def test_random_lines_with_blanks_and_odd_rows(documents, tables, prose):
+    r = random.Random(5)
+    rows = [(i, "\n".join(r.choice(["", " ", "a", "b", "c", "dd\r"]) for _ in range(r.randint(1, 9)))) for i in range(40)]
+    block = "\n".join(f"line {i} of a passage" for i in range(12))
+    rows += [(None, None), (None, ""), (100, None), (101, ""), (102, "\n\n \n"), (103, block), (103, block), (None, block),
+             (104, block + "\n" + block), (105, block.replace("\n", "\n\n")), (106, "x\n" + block.replace("\n", "\n\n"))]
+    assert found(documents(rows), tables) == plain(rows)
+
+
+def test_long_text(documents, tables, prose):
+    long = prose(1, words=6, lines=4000)
+    rows = [(1, long), (2, prose(2, lines=3) + "\n" + long), (3, None)]
+    assert found(documents(rows, clash=False), tables) == plain(rows)
+
+
+def test_empty_table(documents, tables):
+    assert not found(documents([]), tables)
