@@ -29,6 +29,11 @@ def ws(spark):
     workspace.drop()
 
 
+@pytest.fixture(scope="session")
+def table_names():
+    return TABLES
+
+
 @pytest.fixture(scope="session")
 def tiny():
     return f"{TESTDATA}/sf0.001"

@@ -4,7 +4,6 @@ from collections import Counter
 
 import duckdb
 import pytest
-from conftest import TABLES
 
 import __spark_entry__ as entry_points
 from effectspark.plans import catalog, oracle
@@ -12,10 +11,11 @@ from effectspark.plans import catalog, oracle
 QUERIES = catalog.queries()
 ORACLES = oracle.queries()
 
+
 @pytest.fixture(scope="module")
-def duck(tiny):
+def duck(tiny, table_names):
     con = duckdb.connect()
-    for table in TABLES:
+    for table in table_names:
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tiny}/{table}.parquet'")
     return con
 
