@@ -41,5 +41,72 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(bare) AS te
 """
 
 
+URL_RULES = r"""
+WITH given(host, path, verdict) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+         ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), rest AS (
+  SELECT page_id, url, CASE WHEN strpos(coalesce(url, ''), '://') > 0
+                            THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), address AS (
+  SELECT row_number() OVER () AS id, page_id, url,
+         translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM rest
+), judged AS (
+  SELECT a.*, max(struct_pack(l := length(g.host || g.path), rule := g.host || g.path, verdict := g.verdict)) AS best
+  FROM address a LEFT JOIN given g ON (a.host = g.host OR a.host LIKE '%.' || g.host) AND starts_with(a.path, g.path)
+  GROUP BY ALL
+), parts AS (
+  SELECT id, page_id, host, path, CASE WHEN best.rule IS NULL THEN NULL ELSE best.rule END AS rule, best.verdict AS given,
+         list_filter(string_split_regex(host, '[.
+]'), lambda x: x != '') AS labels,
+         list_filter(string_split_regex(regexp_replace(path, '[0-9]+', '#', 'g'), '[/
+]'), lambda x: x != '') AS dirs,
+         list_filter(list_transform(string_split_regex(
+           regexp_extract(coalesce(url, ''), '^[^?#]*[?]([^#]*)', 1), '[&
+]'), lambda x: split_part(x, '=', 1)),
+           lambda x: x != '') AS names
+  FROM judged
+), tokens AS (
+  SELECT id, page_id, host, path, rule, given, list_sort(list_distinct(list_concat(
+    list_transform(labels, lambda x: 'host:' || x), list_transform(dirs[1:1], lambda x: 'first:' || x),
+    CASE WHEN len(dirs) > 1 THEN ['last:' || dirs[-1]] ELSE [] END, list_transform(names, lambda x: 'query:' || x)))) AS held
+  FROM parts
+), total AS (
+  SELECT count(*) AS n, greatest(5, (count(*) * 10 + 999) // 1000) AS least,
+         CASE WHEN count(*) FILTER (given = 'block') > count(*) FILTER (given = 'allow') THEN 'block' ELSE 'allow' END AS usual
+  FROM tokens WHERE rule IS NOT NULL
+), masks AS (
+  SELECT given, held, unnest(range(1::BIGINT << len(held))) AS mask FROM tokens WHERE rule IS NOT NULL
+), subsets AS (
+  SELECT list_filter(held, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS items, given FROM masks
+), sets AS (
+  SELECT items, count(*) AS n, count(*) FILTER (given = 'allow') AS allowed, count(*) FILTER (given = 'block') AS blocked
+  FROM subsets GROUP BY items
+), certain AS (
+  SELECT items, 'allow' AS verdict, n, allowed AS hits FROM sets UNION ALL
+  SELECT items, 'block', n, blocked FROM sets
+), frequent AS (
+  SELECT * FROM certain, (SELECT least FROM total) WHERE hits >= least OR items = []
+), shorter AS (
+  SELECT items, verdict, unnest(items) AS gone FROM frequent
+), weaker AS (
+  SELECT s.items, s.verdict, max(p.hits / p.n) AS share
+  FROM shorter s JOIN frequent p ON p.items = list_filter(s.items, lambda x: x != s.gone) AND p.verdict = s.verdict
+  GROUP BY ALL
+), rules AS (
+  SELECT f.items, f.verdict, f.n, f.hits FROM frequent f JOIN weaker w USING (items, verdict)
+  WHERE f.hits * 100 >= f.n * 80 AND f.hits / f.n > w.share
+), matched AS (
+  SELECT id, arg_min(r.verdict, struct_pack(a := -r.hits / r.n, b := -r.hits, c := len(r.items),
+                                            d := array_to_string(r.items, chr(10)), e := r.verdict)) AS verdict
+  FROM tokens t JOIN rules r ON list_has_all(t.held, r.items) WHERE t.rule IS NULL GROUP BY id
+)
+SELECT page_id, host, path, rule, coalesce(given, m.verdict, (SELECT usual FROM total)) AS verdict
+FROM tokens t LEFT JOIN matched m USING (id)
+"""
+
+
 def queries() -> dict[str, str]:
-    return {"op7_line_dedup": LINE_DEDUP, "op10_exact_dedup": EXACT_DEDUP}
+    return {"op7_line_dedup": LINE_DEDUP, "op10_exact_dedup": EXACT_DEDUP, "op13_url_rules": URL_RULES}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effectspark.llm import bpe, decontaminate, exact_dedup, langid, line_dedup, near_dedup, repeats, token_cache, toxicity, warc
+from effectspark.llm import bpe, decontaminate, exact_dedup, langid, line_dedup, near_dedup, repeats, token_cache, toxicity, url_rules, warc
 from effectspark.llm.tables import start, table
 from effectspark.sources.store import Workspace
 
@@ -18,6 +18,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 RANKS = "byte_bpe_multi_50k.tiktoken"
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
+URL_RULES = (
+    url_rules.Rule("org", "/", "allow"),
+    url_rules.Rule("example.org", "/es/", "block"),
+    url_rules.Rule("example.org", "/en/1", "block"),
+    url_rules.Rule("com", "/fr/", "allow"),
+    url_rules.Rule("com", "/de/", "block"),
+)
 
 
 def _held_out(n: int, remainder: int) -> Column:
@@ -125,6 +132,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), ws)
 
 
+def op13_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = start(spark)
+    return url_rules.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, ws)
+
+
 def queries() -> dict[str, Query]:
     return {
         name: query for name, query in sorted(globals().items()) if name.startswith("op") and callable(query)
