@@ -41,6 +41,55 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(bare) AS te
 """
 
 
+# crc32 of a text whose code points are given as a list, all below U+0100
+CRC32 = """
+crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS crcs
+)"""
+
+
+def crc32(text: str) -> str:
+    """crc32 of a text without code points from U+0100; ``crcs`` must be at hand."""
+    codes = f"list_transform(string_split({text}, ''), lambda x: ord(x)::BIGINT)"
+    octets = f"flatten(list_transform({codes}, lambda c: CASE WHEN c < 128 THEN [c] ELSE [195, c - 64] END))"
+    step = "lambda a, x: xor(a >> 8, crcs[(xor(a, x) & 255) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), {step}), 4294967295)"
+
+
+SPELLING = f"""
+WITH {CRC32.strip()}, runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[a-z\u00c0-\u00ff]+')) AS run FROM documents
+), counted AS (
+  SELECT run, {crc32("coalesce(CAST(doc_id AS varchar), '') || ':' || run")} AS h, n
+  FROM (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL), crc_table
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n
+    FROM counted) WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), dropped AS (
+  SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest
+  FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS m FROM dropped a JOIN dropped b USING (i, rest) WHERE a.word != b.word UNION
+  SELECT a.word, a.n, b.word, b.n FROM dropped a JOIN words b ON a.rest = b.word UNION
+  SELECT b.word, b.n, a.word, a.n FROM dropped a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min(other, struct_pack(a := -m, b := other)) AS other, max(m) AS m, any_value(n) AS n
+  FROM near GROUP BY word
+), forms AS (
+  SELECT w.word, CASE WHEN m >= 5 * w.n THEN other END AS form, w.n, coalesce(n_near, 0) AS n_near,
+         CASE WHEN m >= 5 * w.n THEN m END AS form_n FROM words w LEFT JOIN best USING (word)
+), chain AS (
+  WITH RECURSIVE c AS (
+    SELECT word, word AS here FROM forms
+    UNION ALL SELECT c.word, f.form FROM c JOIN forms f ON f.word = c.here WHERE f.form IS NOT NULL
+  ) SELECT c.word, c.here AS root FROM c JOIN forms f ON f.word = c.here WHERE f.form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN chain USING (word)
+"""
+
 URL_RULES = r"""
 WITH given(host, path, verdict) AS (
   VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
@@ -59,12 +108,12 @@ WITH given(host, path, verdict) AS (
   GROUP BY ALL
 ), parts AS (
   SELECT id, page_id, host, path, CASE WHEN best.rule IS NULL THEN NULL ELSE best.rule END AS rule, best.verdict AS given,
-         list_filter(string_split_regex(host, '[.
+         list_filter(string_split_regex(host, '[.
 ]'), lambda x: x != '') AS labels,
-         list_filter(string_split_regex(regexp_replace(path, '[0-9]+', '#', 'g'), '[/
+         list_filter(string_split_regex(regexp_replace(path, '[0-9]+', '#', 'g'), '[/
 ]'), lambda x: x != '') AS dirs,
          list_filter(list_transform(string_split_regex(
-           regexp_extract(coalesce(url, ''), '^[^?#]*[?]([^#]*)', 1), '[&
+           regexp_extract(coalesce(url, ''), '^[^?#]*[?]([^#]*)', 1), '[&
 ]'), lambda x: split_part(x, '=', 1)),
            lambda x: x != '') AS names
   FROM judged
@@ -109,4 +158,4 @@ FROM tokens t LEFT JOIN matched m USING (id)
 
 
 def queries() -> dict[str, str]:
-    return {"op7_line_dedup": LINE_DEDUP, "op10_exact_dedup": EXACT_DEDUP, "op13_url_rules": URL_RULES}
+    return {"op7_line_dedup": LINE_DEDUP, "op10_exact_dedup": EXACT_DEDUP, "op12_spelling": SPELLING, "op13_url_rules": URL_RULES}
