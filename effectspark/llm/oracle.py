@@ -90,6 +90,61 @@ WITH {CRC32.strip()}, runs AS (
 SELECT word, form, root, n, n_near, form_n FROM forms JOIN chain USING (word)
 """
 
+CONVERSATIONS = f"""
+WITH RECURSIVE {CRC32.strip()}, conv AS (
+  SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)
+), spaced AS (
+  SELECT c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {crc32("coalesce(CAST(r.conv_id AS varchar), ' ') || ':' || coalesce(CAST(turn AS varchar), ' ')")} % 20 AS kind
+  FROM conversations r JOIN conv ON r.conv_id IS NOT DISTINCT FROM conv.conv_id, crc_table
+), damaged AS (
+  SELECT c, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM spaced WHERE kind != 0)
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM damaged
+), faulty AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
+                 WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'duplicate'
+                 WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+         lag(left(role, 1)) OVER (PARTITION BY c ORDER BY i) || left(role, 1) AS pair
+  FROM ordered
+), facts AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM faulty GROUP BY c
+), inserts(s, price, letters, t, said) AS (
+  VALUES (0, 0, '', 0, []), (1, 0, '', 1, []), (2, 0, '', 2, []), (3, 0, '', 3, []),
+         (0, 3, 'I', 2, ['user:']), (1, 3, 'I', 2, ['user:']), (2, 3, 'I', 3, ['assistant:']), (3, 3, 'I', 2, ['user:']),
+         (0, 6, 'II', 3, ['user:', 'assistant:']), (1, 6, 'II', 3, ['user:', 'assistant:'])
+), edits(s, letter, initial, t, role) AS (
+  VALUES (0, 'D', NULL, 0, NULL), (1, 'D', NULL, 1, NULL), (2, 'D', NULL, 2, NULL), (3, 'D', NULL, 3, NULL),
+         (0, 'K', 's', 1, NULL), (0, 'K', 'u', 2, NULL), (1, 'K', 'u', 2, NULL), (2, 'K', 'a', 3, NULL), (3, 'K', 'u', 2, NULL),
+         (0, 'R', NULL, 2, 'user'), (1, 'R', NULL, 2, 'user'), (2, 'R', NULL, 3, 'assistant'), (3, 'R', NULL, 2, 'user')
+), walk(c, i, s, price, letters, said) AS (
+  SELECT c, 0::BIGINT, 0, 0, '', []::varchar[] FROM conv
+  UNION ALL
+  SELECT c, i, t, best.price, best.letters, best.said FROM (
+    SELECT f.c, f.i, e.t, min(struct_pack(
+             price := w.price + a.price + CASE WHEN e.letter = 'D' THEN 4 ELSE
+                        CASE WHEN e.letter = 'R' THEN 3 ELSE 0 END + CASE WHEN f.fault = 'truncated' THEN 3 ELSE 0 END END,
+             letters := w.letters || a.letters || e.letter,
+             said := list_concat(w.said, a.said, CASE WHEN e.letter = 'D' THEN [] ELSE [coalesce(e.role, f.role) || ':' || f.text] END)
+           )) AS best
+    FROM walk w JOIN faulty f ON f.c = w.c AND f.i = w.i + 1 JOIN inserts a ON a.s = w.s
+      JOIN edits e ON e.s = a.t AND (e.letter = 'D' OR f.fault IN ('', 'truncated') AND coalesce(e.initial, left(f.role, 1)) = left(f.role, 1))
+    GROUP BY f.c, f.i, e.t)
+), ended AS (
+  SELECT w.c, min(struct_pack(price := w.price + a.price, letters := w.letters || a.letters, said := list_concat(w.said, a.said))) AS best
+  FROM walk w JOIN facts f ON f.c = w.c AND f.n = w.i JOIN inserts a ON a.s = w.s WHERE a.t IN (0, 3) GROUP BY w.c
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.price, 0)::BIGINT AS cost,
+       coalesce(best.letters, '') AS audit, sha256(coalesce(array_to_string(best.said, chr(10)), '')) AS repaired_sha256
+FROM conv LEFT JOIN facts USING (c) LEFT JOIN ended USING (c)
+"""
+
 URL_RULES = r"""
 WITH given(host, path, verdict) AS (
   VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
@@ -158,4 +213,4 @@ FROM tokens t LEFT JOIN matched m USING (id)
 
 
 def queries() -> dict[str, str]:
-    return {"op7_line_dedup": LINE_DEDUP, "op10_exact_dedup": EXACT_DEDUP, "op12_spelling": SPELLING, "op13_url_rules": URL_RULES}
+    return {"op7_line_dedup": LINE_DEDUP, "op10_exact_dedup": EXACT_DEDUP, "op11_conversations": CONVERSATIONS, "op12_spelling": SPELLING, "op13_url_rules": URL_RULES}

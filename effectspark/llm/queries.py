@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effectspark.llm import bpe, decontaminate, exact_dedup, langid, line_dedup, near_dedup, repeats, spelling, token_cache, toxicity, url_rules, warc
+from effectspark.llm import bpe, conversations, decontaminate, exact_dedup, langid, line_dedup, near_dedup, repeats, spelling, token_cache, toxicity, url_rules, warc
 from effectspark.llm.tables import start, table
 from effectspark.sources.store import Workspace
 
@@ -132,6 +132,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), ws)
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = start(spark)
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damage(rows), ws, rows)
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = start(spark)
     return spelling.spelling_variants(table(spark, sf_dir, "documents"), ws)
