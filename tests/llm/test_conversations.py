@@ -1,0 +1,155 @@
+import hashlib
+import random
+import re
+import zlib
+from functools import lru_cache
+
+import pytest
+
+from effectspark.llm import conversations
+from effectspark.llm.conversations import damage, repair
+
+SCHEMA = "conv_id bigint, turn bigint, role string, text string, kind int, number string, costs string, fault int, times int, digest int"
+WORDS = "yes no why. how? well fine! ok".split()
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(*r, None, "x", None, 7, 8, 9) for r in rows], SCHEMA).repartition(3)
+
+
+def plainly_damaged(rows):
+    out = []
+    for conv, turn, role, text in rows:
+        blank = lambda x: " " if x is None else str(x)
+        kind = zlib.crc32(f"{blank(conv)}:{blank(turn)}".encode()) % 20
+        role, text = blank(role), blank(text)
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        role = "user" if kind == 4 else role
+        out += [] if kind == 0 else [(conv, turn, role, text)] * (2 if kind == 3 else 1)
+    return out
+
+
+def plainly_repaired(rows):
+    """Every edit tried at every row, straight from the rules."""
+    order = lambda r: (r[1] is not None, r[1] or 0, r[2], hashlib.sha256(r[3].encode()).digest())
+    rows = sorted(((c, t, r or "", x or "") for c, t, r, x in rows), key=order)
+    faults, seen = [], set()
+    for _, _, role, text in rows:
+        bare = re.sub(r"[\x20\x09-\x0D]+\Z", "", text)
+        if not bare:
+            faults.append("blank")
+        elif (role, text) in seen:
+            faults.append("duplicate")
+        else:
+            faults.append("" if bare[-1] in ".!?" else "truncated")
+        seen.add((role, text))
+    step = {"": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}
+
+    @lru_cache(None)
+    def least(i, state, inserted):
+        ways = []
+        if i == len(rows) and state in ("", "a"):
+            ways.append((0, "", ()))
+        for role in ("user", "assistant") if inserted < 2 else ():
+            if role[0] in step[state]:
+                c, a, lines = least(i, step[state][role[0]], inserted + 1)
+                ways.append((c + 3, "I" + a, (role + ":", *lines)))
+        if i < len(rows):
+            _, _, role, text = rows[i]
+            c, a, lines = least(i + 1, state, 0)
+            ways.append((c + 4, "D" + a, lines))
+            if faults[i] in ("", "truncated"):
+                more = 3 * (faults[i] == "truncated")
+                for letter, price, name in (("K", 0, role), ("R", 3, "user"), ("R", 3, "assistant")):
+                    if name[:1] in step[state]:
+                        c, a, lines = least(i + 1, step[state][name[:1]], 0)
+                        ways.append((c + price + more, letter + a, (f"{name}:{text}", *lines)))
+        return min(ways, default=(10**9, "", ()))
+
+    cost, audit, lines = least(0, "", 0)
+    turns = {t for _, t, _, _ in rows if t is not None}
+    pairs = [a[2][:1] + b[2][:1] for a, b in zip(rows, rows[1:])]
+    return (
+        max(turns) - min(turns) + 1 - len(turns) if turns else 0,
+        *(faults.count(f) for f in ("blank", "duplicate", "truncated")),
+        sum(p not in ("su", "ua", "au") for p in pairs),
+        cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest(),
+    )
+
+
+def check(spark, tables, rows, names=()):
+    data = table(spark, rows)
+    more = table(spark, [(n, None, None, None) for n in names]) if names else None
+    got = {r.conv_id: tuple(r)[1:] for r in repair(data, tables, more).collect()}
+    want = {c: plainly_repaired([r for r in rows if r[0] == c]) for c in {r[0] for r in rows} | set(names)}
+    assert got == want
+    return got
+
+
+def some(seed, conv, turns, roles=("user", "assistant", "system", "tool", "")):
+    r = random.Random(seed)
+    made = []
+    for t in range(turns):
+        role = "user assistant".split()[t % 2] if r.random() < 0.7 else r.choice(roles)
+        text = " ".join(r.choice(WORDS) for _ in range(r.randint(1, 3))) if r.random() < 0.9 else r.choice(["", " \n", None])
+        made.append((conv, r.choice([t, t, t, None, t + 1]), role if r.random() < 0.95 else None, text))
+    return made
+
+
+def test_random_conversations(spark, tables):
+    check(spark, tables, [row for k in range(120) for row in some(k, k, k % 9)])
+
+
+def test_long_conversations_have_many_checkpoints(spark, tables):
+    rows = [(1, t, "user" if t % 3 else "assistant", f"line {t * 7 % 61}{'.' if t % 5 else ''}") for t in range(180)]
+    rows += some(3, 2, 150) + [(3, 0, "user", "same.")] * 90 + [(3, 1, "assistant", "so?")] * 40
+    got = check(spark, tables, rows)
+    assert got[3][:6] == (0, 0, 128, 0, 128, 4 * 128)
+    assert got[3][6] == "K" + "D" * 89 + "K" + "D" * 39
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5, 8, 9, 10, 15, 16, 17])
+def test_around_square_numbers_of_rows(spark, tables, n):
+    check(spark, tables, [(1, t, "system" if t == 0 else "user", f"text {t}!") for t in range(n)], names=[1, None])
+
+
+def test_odd_rows(spark, tables):
+    long = "word " * 300_000
+    rows = [
+        (None, None, None, None), (None, 1, "user", "a."), (1, 3, "user", "a."), (1, 3, "user", "a."), (1, 3, "assistant", "a."),
+        (1, None, "assistant", "b!"), (1, None, "system", "c?"), (2, 0, "user", long), (2, 1, "assistant", long + "!"),
+        (3, -5, "user", "\u00a0"), (3, 10**12, "über", "é 🎉."), (4, 1, "assistant", "no.\r\n\t "), (5, 1, "system", "only."),
+    ]
+    check(spark, tables, rows, names=[9, None])
+
+
+def test_empty_table(spark, tables):
+    assert repair(table(spark, []), tables).collect() == []
+
+
+def test_names_may_be_texts(spark, tables):
+    data = spark.createDataFrame([("x", 0, "user", "a."), ("x", 1, "assistant", "b."), ("y", 0, "user", "c.")], "conv_id string, turn int, role string, text string")
+    got = {r.conv_id: (r.cost, r.audit) for r in repair(data, tables).collect()}
+    assert got == {"x": (0, "KK"), "y": (3, "KI")}
+
+
+def test_damage(spark):
+    rows = [(c, t, "assistant", "One. Two! Three?") for c in range(40) for t in range(6)] + [(None, None, None, None), (None, 3, None, "x.")]
+    got = sorted(map(tuple, damage(table(spark, rows)).collect()), key=str)
+    assert got == sorted(plainly_damaged(rows), key=str)
+    kinds = {zlib.crc32(f"{c}:{t}".encode()) % 20 for c, t, _, _ in rows}
+    assert {conversations.DROP, conversations.EMPTY, conversations.STRIP, conversations.REPEAT, conversations.TO_USER} <= kinds
+
+
+def test_the_query_returns_conversations_that_lost_all_rows(spark, tables, small):
+    from effectspark.llm import queries
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{small}/conversations.parquet").collect()]
+    left = plainly_damaged(rows)
+    got = {r.conv_id: tuple(r)[1:] for r in queries.op11_conversations(spark, small).collect()}
+    assert got == {c: plainly_repaired([r for r in left if r[0] == c]) for c in {r[0] for r in rows}}
+    data = table(spark, [(c, 0, "user", "a.") for c in range(60)])
+    found = {r.conv_id: (r.cost, r.audit, r.repaired_sha256) for r in repair(damage(data), tables, data).collect()}
+    assert found.keys() == set(range(60))
+    empty = (0, "", hashlib.sha256(b"").hexdigest())
+    assert {c for c, r in found.items() if r == empty} >= {c for c in found if zlib.crc32(f"{c}:0".encode()) % 20 == 0} != set()

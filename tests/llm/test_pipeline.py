@@ -10,7 +10,7 @@ from effectspark.llm.near_dedup import PERCENT
 @pytest.fixture(scope="module")
 def duck(small):
     con = duckdb.connect()
-    for table in ("documents", "pages", "benchmark", "labels"):
+    for table in ("documents", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{small}/{table}.parquet'")
     return con
 
@@ -26,7 +26,7 @@ def test_query_equals_sql(spark, duck, small, name):
 
 def test_everything_is_registered():
     names = entry_points.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()}
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()}
     assert "pipeline" in names
 
 

@@ -1,0 +1,121 @@
+import random
+import re
+import zlib
+from collections import Counter
+from itertools import combinations
+
+from pyspark.sql import functions as F
+
+from effectspark.llm import spelling
+from effectspark.llm.spelling import near_pairs, spelling_variants
+
+
+def one_edit(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    return len(a) + 1 == len(b) and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def plain(rows, damaged=spelling.DAMAGED):
+    counts = Counter()
+    for name, text in rows:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", text or ""):
+            run = "".join(c.lower() if c.isascii() else c for c in run)
+            h = zlib.crc32(f"{'' if name is None else name}:{run}".encode())
+            if damaged and h % damaged == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    words = {w: n for w, n in counts.items() if len(w) >= 6 and n >= 5}
+    near = {w: [] for w in words}
+    for a, b in combinations(words, 2):
+        if one_edit(a, b):
+            near[a].append(b)
+            near[b].append(a)
+    form = {}
+    for w, found in near.items():
+        best = min(found, key=lambda x: (-words[x], x), default=None)
+        form[w] = best if best and words[best] >= 5 * words[w] else None
+
+    def root(w):
+        return root(form[w]) if form[w] else w
+
+    return {(w, form[w], root(w), n, len(near[w]), words.get(form[w])) for w, n in words.items()}
+
+
+def found(df, tables, **options):
+    got = [tuple(r) for r in spelling_variants(df, tables, **options).collect()]
+    assert len(got) == len(set(got))
+    return set(got)
+
+
+def variants(seed, n, letters="abcdé÷ÿ"):
+    """Words that are near each other in every way."""
+    r = random.Random(seed)
+    words = {"".join(r.choice(letters[:3]) for _ in range(r.randint(6, 9))) for _ in range(n // 4)}
+    while len(words) < n:
+        w = list(r.choice(sorted(words)))
+        at, kind = r.randrange(len(w)), r.randrange(3)
+        w[at : at + (kind != 1)] = r.choice(letters) if kind < 2 else ""
+        words.add("".join(w))
+    return sorted(words)
+
+
+def test_small_texts(documents, tables):
+    r = random.Random(1)
+    words = variants(2, 300)
+    rows = [(i, " ".join(r.choice(words[: 1 + r.randrange(300)]).capitalize() for _ in range(80))) for i in range(120)]
+    want = plain(rows)
+    assert found(documents(rows), tables) == want
+    assert sum(f is not None for _, f, *_ in want) > 3 and any(near > 1 for *_, near, _ in want)
+
+
+def test_blocks_are_cut_until_they_are_small(spark, tables):
+    words = variants(3, 900, "ab")
+    df = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "word string, n bigint").repartition(4)
+    want = {(a, b) for a in words for b in words if one_edit(a, b)}
+    for most in (2, 7, 50, 5000):
+        got = near_pairs(df, tables, most).select("word", "near").collect()
+        assert len(got) == len(want)
+        assert set(map(tuple, got)) == want
+
+
+def test_words_that_differ_at_one_place_only(spark, tables):
+    letters = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xC0, 0x100)))
+    words = [f"ab{x}cde" for x in letters] + [f"ab{x}{y}cde" for x in letters[::9] for y in letters[::7]] + ["abcde" * 60, "abcde" * 59 + "abxde"]
+    df = spark.createDataFrame([(w, 5) for w in words], "word string, n bigint")
+    got = near_pairs(df, tables, 3).select("word", "near").collect()
+    want = {(a, b) for a in words for b in words if one_edit(a, b)}
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def test_chains_of_forms_are_followed_to_the_end(documents, tables):
+    chain = ["abcdef", "abcdeg", "abcdhg", "abcihg", "abjihg"]
+    rows = [(k, " ".join([w] * 5 ** (k + 1))) for k, w in enumerate(chain)]
+    got = {w: (form, root) for w, form, root, *_ in found(documents(rows), tables, damaged=None)}
+    assert got == {w: (after, "abjihg") for w, after in zip(chain, [*chain[1:], None])}
+
+
+def test_odd_rows(documents, tables, odd_rows):
+    rows = odd_rows + [(None, "Größe×÷ " * 9), (20, "grÖßen grüßen Grüßen " * 7), (21, "ABCDEF\nabcdef\tabcdeé " * 5), (22, "x" * 3000 + " " + "x" * 3001)] * 2
+    rows += [(30 + i, "x" * 3000 + " " + "y" * 200_000) for i in range(6)]
+    assert found(documents(rows), tables) == plain(rows)
+
+
+def test_ties_go_to_the_least_word(documents, tables):
+    rows = [(1, "zbcdef " * 50 + "abcdef " * 50 + "mbcdef " * 10 + "mbcdeffe " * 4)]
+    assert found(documents(rows), tables, damaged=None) == {
+        ("zbcdef", None, "zbcdef", 50, 2, None), ("abcdef", None, "abcdef", 50, 2, None), ("mbcdef", "abcdef", "abcdef", 10, 2, 50),
+    }
+
+
+def test_empty_table(documents, tables):
+    assert found(documents([]), tables) == set()
+    assert found(documents([(1, None), (2, "")]), tables) == set()
+
+
+def test_damage_takes_one_letter(documents, tables, small, spark):
+    docs = spark.read.parquet(f"{small}/documents.parquet").filter(F.col("doc_id") < 60)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert found(docs, tables) == plain(rows)

@@ -1,0 +1,132 @@
+import random
+import re
+from collections import Counter
+from itertools import combinations
+
+import pytest
+
+from effectspark.llm import url_rules
+from effectspark.llm.queries import URL_RULES
+from effectspark.llm.url_rules import Rule, judge_urls
+
+SCHEMA = "page_id bigint, url string, html string, host int, path int, rule string, verdict string, tokens string, n int"
+
+
+def table(spark, urls):
+    return spark.createDataFrame([(i, u, "", 1, 2, "r", "v", "t", 3) for i, u in urls], SCHEMA).repartition(3)
+
+
+def address(url):
+    rest = url.split("://", 1)[1] if "://" in (url or "") else ""
+    host = re.match(r"[^/?#]*", rest).group()
+    path = re.match(r"[^?#]*", rest[len(host) :]).group()
+    return "".join(c.lower() if c.isascii() else c for c in host), path
+
+
+def tokens(url):
+    host, path = address(url)
+    parts = [p for p in re.split("[/\r\n]", re.sub("[0-9]+", "#", path)) if p]
+    query = re.match(r"[^?#]*[?]([^#]*)", url or "")
+    names = [x.split("=", 1)[0] for x in re.split("[&\r\n]", query.group(1))] if query else []
+    found = {"host:" + x for x in re.split("[.\r\n]", host) if x} | {"query:" + x for x in names if x}
+    found |= {"first:" + x for x in parts[:1]} | {"last:" + x for x in parts[1:][-1:]}
+    return frozenset(found)
+
+
+def plain(urls, rules, support=url_rules.SUPPORT, confidence=url_rules.CONFIDENCE):
+    """Every subset of every labelled token set is counted."""
+    given = []
+    for _, url in urls:
+        host, path = address(url)
+        fits = [r for r in rules if ("." + host).endswith("." + r.host) and path.startswith(r.path)]
+        given.append(max(fits, key=lambda r: (len(r.text), r.text), default=None))
+    held, hits, counts = Counter(), Counter(), Counter(r.verdict for r in given if r)
+    for (_, url), rule in zip(urls, given):
+        if rule:
+            found = sorted(tokens(url))
+            for k in range(len(found) + 1):
+                for part in combinations(found, k):
+                    held[frozenset(part)] += 1
+                    hits[frozenset(part), rule.verdict] += 1
+    total = sum(counts.values())
+    least = max(url_rules.LEAST_ROWS, -(-support * total // 1000))
+    mined = []
+    for (part, verdict), n in hits.items():
+        share = n / held[part]
+        if part and n >= least and n * 100 >= held[part] * confidence:
+            if share > max(hits[part - {x}, verdict] / held[part - {x}] for x in part):
+                mined.append((-share, -n, len(part), "\n".join(sorted(part)), verdict, part))
+    usual = "block" if counts["block"] > counts["allow"] else "allow"
+    out = []
+    for (i, url), rule in zip(urls, given):
+        best = min((m for m in mined if m[5] <= tokens(url)), key=lambda m: m[:5], default=None)
+        out.append((i, *address(url), rule.text if rule else None, rule.verdict if rule else best[4] if best else usual))
+    return Counter(out)
+
+
+def check(spark, tables, urls, rules=URL_RULES, **options):
+    got = Counter(map(tuple, judge_urls(table(spark, urls), rules, tables, **options).collect()))
+    assert got == plain(urls, rules, **options)
+    return got
+
+
+def some(seed, n):
+    r = random.Random(seed)
+    pick = lambda *x: r.choice(x)
+    return [
+        (i, f"{pick('http', 'https')}://{pick('www', 'm', 'blog')}.{pick('site', 'shop', 'ads', 'example')}.{pick('com', 'org', 'net', 'co.uk')}/"
+            f"{pick('en', 'de', 'fr', 'es')}/{r.randrange(30)}{pick('', '.html', '/', '/a/b')}{pick('', '?page=2&ref=x', '?utm=1', '#top')}")
+        for i in range(n)
+    ]
+
+
+def test_random_urls(spark, tables):
+    got = check(spark, tables, some(1, 600))
+    undecided = Counter(v for (_, _, _, rule, v), n in got.items() for _ in range(n) if rule is None)
+    assert min(undecided["allow"], undecided["block"]) > 20
+
+
+@pytest.mark.parametrize("options", [{"support": 1}, {"support": 200, "confidence": 51}, {"support": 1000}, {"confidence": 100}])
+def test_other_thresholds(spark, tables, options):
+    check(spark, tables, some(2, 200), **options)
+
+
+def test_a_hot_host(spark, tables):
+    check(spark, tables, [(i, f"https://hot.net/{'de' if i % 3 else 'en'}/{i}") for i in range(400)] + some(3, 200))
+
+
+def test_odd_urls(spark, tables):
+    odd = [
+        None, "", "no scheme", "http://", "http:///en/1", "HTTP://WWW.Example.ORG/es/x", "x://example.org/en/17?u=http://a.com/de/",
+        "http://example.org?x=/es/", "http://example.org#/es/", "http://example.org:80/es/", "http://notexample.org/es/", "http://org/",
+        "http://.org/", "http://a..org/\n/x", "http://ÄÖ.com/de/Ünï", "a://b.com/fr", "http://b.com/fr/", "http://b.com/fr/" + "d/" * 5000,
+        "http://q.net/?a&a=1&=3&&b=2", "http://b.com/de/?" + "k=v&" * 2000,
+    ]
+    urls = [(i, u) for i, u in enumerate(odd)] + [(1, None), (1, None), (None, None), (None, "http://b.com/de/1"), (5, odd[5])]
+    check(spark, tables, urls + some(4, 100))
+
+
+def test_without_labelled_rows_or_rules(spark, tables):
+    urls = [(i, f"http://a.net/{i}") for i in range(20)]
+    assert {r[4] for r in check(spark, tables, urls)} == {"allow"}
+    assert {r[3] for r in check(spark, tables, urls, rules=())} == {None}
+    few = [(i, f"http://a.com/de/{i}") for i in range(3)] + urls  # too few to mine, but they tell what is usual
+    assert {r[4] for r in check(spark, tables, few)} == {"block"}
+
+
+def test_empty_table(spark, tables):
+    assert not check(spark, tables, [])
+
+
+def test_the_longest_rule_wins(spark, tables):
+    rules = [Rule("com", "/", "allow"), Rule("a.com", "/x", "block"), Rule("b.a.com", "/x/y", "allow")]
+    urls = [(i, u) for i, u in enumerate(["http://a.com/xy", "http://b.a.com/x/y", "http://c.b.a.com/x/yz", "http://b.a.com/x", "http://a.com/"])]
+    got = {r[0]: (r[3], r[4]) for r in check(spark, tables, urls, rules)}
+    assert got == {
+        0: ("a.com/x", "block"), 1: ("b.a.com/x/y", "allow"), 2: ("b.a.com/x/y", "allow"), 3: ("a.com/x", "block"), 4: ("com/", "allow"),
+    }
+
+
+def test_the_work_stays_in_the_jvm(spark, tables):
+    plan = judge_urls(table(spark, some(5, 200)), URL_RULES, tables)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
