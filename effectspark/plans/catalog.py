@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from effectspark.operators import effects as E
-from effectspark.operators import features, labels, profile, scoring, split, tuning
+from effectspark.operators import features, label_effects, labels, profile, scoring, split, tuning
 from effectspark.operators.lookup import missing_rows
 from effectspark.session import configure
 from effectspark.sources import delimited, model_store, standin
@@ -397,6 +397,34 @@ def model_roundtrip(run: Run) -> DataFrame:
     return rounded(scoring.score(frame.filter("is_val"), model).select(*KEY, "pred"), "pred")
 
 
+# effects of single labels
+
+
+def label_model(run: Run, tastes: bool = False) -> label_effects.LabelModel:
+    frame = run.frame()
+    base = E.fit(frame, E.SHRUNK_ORDER, run.ws, [LAMBDA])
+    model = label_effects.fit_labels(frame, base, run.ws, LAMBDA)
+    return label_effects.fit_user_labels(frame, model, run.ws, LAMBDA) if tastes else model
+
+
+def fit_labels(run: Run) -> DataFrame:
+    return rounded(label_model(run).effects.df, "b")
+
+
+def fit_user_label(run: Run) -> DataFrame:
+    return rounded(label_model(run, tastes=True).tastes.df.select("user_id", "label", "b", "n"), "b")
+
+
+def rmse_labels(run: Run) -> DataFrame:
+    scored = label_effects.score_labels(run.frame().filter("is_val"), label_model(run), run.ws)
+    return rounded(scoring.rmse(scored), "rmse")
+
+
+def rmse_user_label(run: Run) -> DataFrame:
+    scored = label_effects.score_labels(run.frame().filter("is_val"), label_model(run, tastes=True), run.ws)
+    return rounded(scoring.rmse(scored), "rmse")
+
+
 # tuning
 
 
@@ -517,6 +545,7 @@ def queries() -> dict[str, Query]:
     out["rmse_shrunk"] = rmse_with(E.SHRUNK_ORDER, LAMBDA)
     out["rmse_shrunk_ladder"] = ladder_of(E.SHRUNK_ORDER, LAMBDA)
     add(model_roundtrip)
+    add(fit_labels, rmse_labels, fit_user_label, rmse_user_label)
     add(lambda_grid, cv_rmse_grid, cv_rmse_kfold, cv_rmse_stratified, cv_best_lambda, final_lambda, rmse_final)
     add(stream_scores, stream_event_profile)
     return out

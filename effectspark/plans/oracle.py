@@ -184,6 +184,39 @@ def lambda_grid_sql() -> str:
     )
 
 
+# conjugate gradients over lists: ``rights`` has the residual sum and ``grid`` the counts of pairs, by label
+LABEL_STEPS = 60
+
+
+def label_ctes() -> list[str]:
+    names = "(SELECT list(label ORDER BY label) AS names FROM own)"
+    return [
+        *steps(SHRUNK, str(LAMBDA)),
+        "rest AS (SELECT *, list_distinct(string_split(genres, '|')) AS held FROM s10)",
+        "single AS (SELECT unnest(held) AS label, held, r10 FROM rest WHERE NOT is_val AND genres IS NOT NULL)",
+        "own AS (SELECT label, sum(r10) AS s, count(*) AS n FROM single GROUP BY label)",
+        "together AS (SELECT label, other, count(*) AS g FROM (SELECT label, unnest(held) AS other FROM single) GROUP BY ALL)",
+        "lines AS (SELECT a.label, list(coalesce(g, 0) + CASE WHEN a.label = b.label THEN 5e0 ELSE 0e0 END ORDER BY b.label) AS line"
+        " FROM own a CROSS JOIN own b LEFT JOIN together t ON t.label = a.label AND t.other = b.label GROUP BY a.label)",
+        "matrix AS (SELECT list(line ORDER BY label) AS m FROM lines)",
+        "walk AS (WITH RECURSIVE w AS ("
+        "SELECT 0 AS k, list_transform(list(s ORDER BY label), lambda v: 0e0) AS x, list(s ORDER BY label) AS r, list(s ORDER BY label) AS p FROM own"
+        " UNION ALL SELECT k + 1, x, r, list_transform(list_zip(r, p), lambda z: z[1] + z[2] * list_dot_product(r, r) / greatest(rr, 1e-300)) FROM ("
+        "SELECT k, rr, list_transform(list_zip(x, p), lambda z: z[1] + a * z[2]) AS x, list_transform(list_zip(r, q), lambda z: z[1] - a * z[2]) AS r, p FROM ("
+        "SELECT *, list_dot_product(r, r) AS rr, list_dot_product(r, r) / greatest(list_dot_product(p, q), 1e-300) AS a FROM ("
+        "SELECT w.*, list_transform(m, lambda line: list_dot_product(line, p)) AS q FROM w, matrix WHERE k < "
+        f"{LABEL_STEPS} AND list_dot_product(r, r) > 1e-22)))) SELECT x FROM w ORDER BY k DESC LIMIT 1)",
+        f"effects AS (SELECT label, x[list_position(names, label)] AS c, n FROM own, walk, {names})",
+        "row_effects AS (SELECT user_id, item_id, epoch_s, sum(coalesce(c, 0e0)) AS c FROM "
+        "(SELECT user_id, item_id, epoch_s, unnest(held) AS label FROM rest WHERE genres IS NOT NULL) LEFT JOIN effects USING (label) GROUP BY ALL)",
+        f"after AS (SELECT rest.*, r10 - coalesce(c, 0e0) AS r11 FROM rest LEFT JOIN row_effects USING ({KEY}))",
+        "tastes AS (SELECT user_id, label, sum(r11) / (count(*) + 5e0) AS dev, count(*) AS n FROM "
+        "(SELECT user_id, unnest(held) AS label, r11 FROM after WHERE NOT is_val AND genres IS NOT NULL) GROUP BY ALL)",
+        f"row_tastes AS (SELECT {KEY}, avg(coalesce(dev, 0e0)) AS dev FROM "
+        f"(SELECT {KEY}, unnest(held) AS label FROM after WHERE is_val AND genres IS NOT NULL) LEFT JOIN tastes USING (user_id, label) GROUP BY ALL)",
+    ]
+
+
 def queries() -> dict[str, str]:
     out: dict[str, str] = {}
     out["src_ratings"] = sql(f"SELECT {KEY}, rating FROM ratings_raw")
@@ -338,6 +371,16 @@ def queries() -> dict[str, str]:
     out["rmse_shrunk_ladder"] = ladder_sql(SHRUNK, LAMBDA)
     out["model_roundtrip"] = score_sql(SHRUNK, LAMBDA, effects=False, rating=False)
 
+    out["fit_labels"] = sql(f"SELECT label, {r6('c')} AS b, n FROM effects", *label_ctes())
+    out["rmse_labels"] = sql(f"SELECT {r6('sqrt(avg(r11*r11))')} AS rmse FROM after WHERE is_val", *label_ctes())
+    out["fit_user_label"] = sql(
+        f"SELECT user_id, label, {r6('c + dev')} AS b, t.n FROM tastes t JOIN effects USING (label)", *label_ctes()
+    )
+    out["rmse_user_label"] = sql(
+        f"SELECT {r6('sqrt(avg(pow(r11 - coalesce(dev, 0e0), 2)))')} AS rmse FROM after LEFT JOIN row_tastes USING ({KEY}) WHERE is_val",
+        *label_ctes(),
+    )
+
     out["lambda_grid"] = lambda_grid_sql()
     out["cv_rmse_grid"] = sql(f"SELECT fold, lam AS \"lambda\", {r6('rmse')} AS rmse FROM errors", *grid_ctes())
     out["cv_rmse_kfold"] = sql(
