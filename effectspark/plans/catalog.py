@@ -16,7 +16,7 @@ from effectspark.operators.lookup import missing_rows
 from effectspark.session import configure
 from effectspark.sources import delimited, model_store, standin
 from effectspark.sources.store import Stored, session_workspace
-from effectspark.streaming import live
+from effectspark.streaming import learning, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,7 +70,11 @@ class Run:
     def stored_frame(self, *extra: str) -> Stored:
         """What a fit reads, written once for all queries of the session on this folder."""
         make = lambda: standin.model_frame(self.spark, self.dir, self.ws, *extra)
-        return self.ws.kept("frame", (self.dir, *extra), make)
+        return self.ws.kept("frame", (self.dir, *extra), [f"{self.dir}/{t}.parquet" for t in standin.SOURCES], make)
+
+    def train_rows(self) -> DataFrame:
+        """The training rows with the columns of the frame."""
+        return self.frame().filter(~F.col("is_val"))
 
     def events(self) -> DataFrame:
         return standin.table(self.spark, self.dir, "events")
@@ -210,7 +214,7 @@ def split_protected(run: Run) -> DataFrame:
 
 
 def profile_summary(run: Run) -> DataFrame:
-    return rounded(profile.summary(run.train()), "mean_rating", "sd_rating")
+    return rounded(profile.summary(run.train_rows()), "mean_rating", "sd_rating")
 
 
 def count_by_genres(run: Run) -> DataFrame:
@@ -218,7 +222,7 @@ def count_by_genres(run: Run) -> DataFrame:
 
 
 def count_by_rating(run: Run) -> DataFrame:
-    return profile.count_by(run.train(), "rating").orderBy(F.col("n").desc(), "rating")
+    return profile.count_by(run.train_rows(), "rating").orderBy(F.col("n").desc(), "rating")
 
 
 def top_titles(run: Run) -> DataFrame:
@@ -227,13 +231,7 @@ def top_titles(run: Run) -> DataFrame:
 
 
 def profile_of(key: str) -> Query:
-    def make(run: Run) -> DataFrame:
-        rows = run.train()
-        if key in features.CALENDAR:
-            rows = features.add_calendar(rows)
-        return rounded(profile.profile_by(rows, key), "mean_rating")
-
-    return query(make)
+    return query(lambda run: rounded(profile.profile_by(run.train_rows(), key), "mean_rating"))
 
 
 def profile_release_year(run: Run) -> DataFrame:
@@ -255,7 +253,7 @@ def profile_genres(run: Run) -> DataFrame:
 
 
 def mean_of_user_means(run: Run) -> DataFrame:
-    return rounded(profile.mean_of_means(run.train(), "user_id"), "mean_of_user_id_means")
+    return rounded(profile.mean_of_means(run.train_rows(), "user_id"), "mean_of_user_id_means")
 
 
 EXTREME = ["title", "rating", "release_year", "review_year", "age_at_review"]
@@ -274,11 +272,11 @@ def oldest_release(run: Run) -> DataFrame:
 
 
 def hist_rating(run: Run) -> DataFrame:
-    return profile.histogram(run.train(), "rating", 0.5)
+    return profile.histogram(run.train_rows(), "rating", 0.5)
 
 
 def density_grid(run: Run) -> DataFrame:
-    means = profile.profile_by(run.train(), "item_id")
+    means = profile.profile_by(run.train_rows(), "item_id")
     return profile.density_grid(means, "item_id", "mean_rating", 100, 0.25)
 
 
@@ -492,6 +490,29 @@ def stream_scores(run: Run) -> DataFrame:
     return rounded(live.run_to_table(scored, run.ws, "scores"), "pred")
 
 
+LEARNED = (E.ITEM, E.USER, E.RELEASE_YEAR, E.REVIEW_YEAR, E.REVIEW_WDAY)
+FILES_A_BATCH = 3
+
+
+def learned(run: Run) -> E.EffectModel:
+    """A model of the training rows, learned batch by batch as they arrive."""
+    stored = run.stored_frame()
+    arriving = run.spark.readStream.schema(stored.df.schema).option("maxFilesPerTrigger", FILES_A_BATCH)
+    rows = arriving.parquet(stored.path).filter(~F.col("is_val"))
+    state = learning.LearningState(run.ws, run.ws.path("state"), LEARNED)
+    learning.learn_stream(rows, state, run.ws.path("state-progress")).awaitTermination()
+    return state.model(LAMBDA)
+
+
+def stream_learn(run: Run) -> DataFrame:
+    return rounded(learned(run).long(), "b")
+
+
+def rmse_stream_learn(run: Run) -> DataFrame:
+    scored = scoring.score(run.frame().filter("is_val"), learned(run))
+    return rounded(scoring.rmse(scored), "rmse")
+
+
 def stream_event_profile(run: Run) -> DataFrame:
     # the table may be one file or a folder of files: a stream takes either from a pattern only
     arriving = run.spark.readStream.schema(run.events().schema).parquet(f"{run.dir}/events.parque[t]")
@@ -547,5 +568,5 @@ def queries() -> dict[str, Query]:
     add(model_roundtrip)
     add(fit_labels, rmse_labels, fit_user_label, rmse_user_label)
     add(lambda_grid, cv_rmse_grid, cv_rmse_kfold, cv_rmse_stratified, cv_best_lambda, final_lambda, rmse_final)
-    add(stream_scores, stream_event_profile)
+    add(stream_scores, stream_learn, rmse_stream_learn, stream_event_profile)
     return out

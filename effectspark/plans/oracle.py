@@ -394,6 +394,9 @@ def queries() -> dict[str, str]:
     out["rmse_final"] = rmse_final_sql()
 
     out["stream_scores"] = score_sql(SHRUNK, LAMBDA, effects=False, rating=False)
+    learned = [*SHRUNK[:3], ("review_year", "review_year"), ("review_wday", "review_wday")]
+    out["stream_learn"] = fit_all_sql(learned, LAMBDA)
+    out["rmse_stream_learn"] = rmse_sql(learned, LAMBDA)
     out["stream_event_profile"] = (
         "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, "
         "(date_trunc('day', ts) + INTERVAL 1 DAY)::TIMESTAMP AS window_end, event_type, "

@@ -1,20 +1,25 @@
-"""Save and load fitted models."""
+"""Save and load fitted models, as committed versions below one folder."""
 
 from __future__ import annotations
 
 import json
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from effectspark.operators.effects import EffectModel, EffectSpec, EffectTable
 from effectspark.sources.store import Stored, Workspace
+from effectspark.sources.versions import Versions
 
 
 def save_model(model: EffectModel, path: str) -> str:
-    """Write one parquet table per effect and a one-line description."""
+    """Write one parquet table per effect, then commit them as the next version.
+
+    Until the commit, readers find the version before; two writers give two versions.
+    """
     spark = model.tables[0].stored.df.sparkSession if model.tables else SparkSession.active()
+    versions = Versions(spark, path)
+    folder = versions.new_folder()
     about = {
         "lambdas": list(model.lambdas),
         "by": model.by,
@@ -22,25 +27,30 @@ def save_model(model: EffectModel, path: str) -> str:
         "effects": [],
     }
     for t in model.tables:
-        t.stored.df.write.parquet(f"{path}/effect={t.spec.name}")
+        where = f"{folder}/effect={t.spec.name}"
+        t.stored.df.write.parquet(where)
         about["effects"].append(
             {
                 "name": t.spec.name, "key": t.spec.key, "wide": t.spec.wide, "shared_dev": t.shared_dev,
-                "rows": t.stored.rows, "bytes": t.stored.bytes, "schema": t.stored.df.schema.json(),
+                "path": where, "rows": t.stored.rows, "bytes": t.stored.bytes, "schema": t.stored.df.schema.json(),
             }
         )
-    spark.range(1).select(F.lit(json.dumps(about)).alias("value")).coalesce(1).write.text(f"{path}/about")
+    versions.commit_next(about)
     return path
 
 
-def load_model(spark: SparkSession, path: str, ws: Workspace) -> EffectModel:
-    about = json.loads(spark.read.text(f"{path}/about").first()["value"])
+def load_model(spark: SparkSession, path: str, ws: Workspace, version: int | None = None) -> EffectModel:
+    """The newest committed model, or a given version of it."""
+    versions = Versions(spark, path)
+    version = versions.latest() if version is None else version
+    if version is None:
+        raise FileNotFoundError(f"no model has been saved to {path}")
+    about = versions.read(version)
     tables = []
     for e in about["effects"]:
-        folder = f"{path}/effect={e['name']}"
-        df = spark.read.schema(StructType.fromJson(json.loads(e["schema"]))).parquet(folder)
+        df = spark.read.schema(StructType.fromJson(json.loads(e["schema"]))).parquet(e["path"])
         spec = EffectSpec(e["name"], e["key"], e["wide"])
-        tables.append(EffectTable(spec, Stored(df, folder, e["rows"], e["bytes"]), e["shared_dev"]))
+        tables.append(EffectTable(spec, Stored(df, e["path"], e["rows"], e["bytes"]), e["shared_dev"]))
     return EffectModel(
         specs=tuple(t.spec for t in tables),
         lambdas=tuple(about["lambdas"]),

@@ -32,6 +32,9 @@ EPOCH_RULE = """
 COLD_RULE = "item_id % 97 = 3 OR user_id % 89 = 5"
 
 
+# The tables that the rating log and its items come from.
+SOURCES = ("lineitem", "orders", "part")
+
 # The columns read from each table; a stated schema saves a job per read.
 SCHEMAS = {
     "lineitem": "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_quantity double, l_shipdate timestamp_ntz",

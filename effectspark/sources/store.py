@@ -30,7 +30,7 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 _local_folders: dict[str, str] = {}
 _open: dict[str, Workspace] = {}
 _of_session: dict[str, Workspace] = {}
-_kept: dict[tuple, Stored] = {}
+_kept: dict[tuple, tuple[tuple, Stored]] = {}
 
 
 @dataclass(frozen=True)
@@ -94,29 +94,51 @@ class Workspace:
         """The table, marked for broadcast only if its measured size allows it."""
         return F.broadcast(table.df) if table.fits(self.broadcast_bytes) else table.df
 
-    def kept(self, name: str, about: tuple, make: Callable[[], Stored]) -> Stored:
-        """A table that queries of one session share: made once for the same name and input."""
-        key = (self.root, name, *about)
-        found = _kept.get(key)
-        if found is None or not self.exists(found.path):
-            found = _kept[key] = make()
+    def kept(self, name: str, about: tuple, inputs: Sequence[str], make: Callable[[], Stored]) -> Stored:
+        """A table that queries of one session share: made once for the same name and unchanged input files.
+
+        After a change the old copy is deleted, so that a result still to be computed from
+        it fails instead of mixing old rows with new ones.
+        """
+        key, now = (self.root, name, *about), self.fingerprint(inputs)
+        seen, found = _kept.get(key, (None, None))
+        if found is not None and seen != now:
+            self.delete(found.path)
+        if seen != now or not self.exists(found.path):
+            found = make()
+            _kept[key] = (now, found)
         return found
 
+    def fingerprint(self, paths: Sequence[str]) -> tuple:
+        """One value for names, lengths and modification times of all files below ``paths``; no content is read."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
+        about = F.xxhash64("path", "length", "modificationTime")
+        row = files.agg(F.count(F.lit(1)), F.sum("length"), F.bit_xor(about), F.sum(F.pmod(about, F.lit(1 << 30)))).first()
+        return tuple(row)
+
+    def delete(self, path: str) -> None:
+        store, place = self._place(path)
+        store.delete(place, True)
+
     def exists(self, path: str) -> bool:
         store, place = self._place(path)
         return store.exists(place)
 
     def drop(self) -> None:
         """Delete this run's folder, once no DataFrame reads from it any more."""
-        store, place = self._place(self.root)
-        store.delete(place, True)
+        self.delete(self.root)
         _open.pop(self.root, None)
 
     def _place(self, path: str):
-        context = self.spark.sparkContext
-        place = context._jvm.org.apache.hadoop.fs.Path(path)
-        conf = context._jsc.hadoopConfiguration() if context._jsc else context._jvm.org.apache.hadoop.conf.Configuration()
-        return place.getFileSystem(conf), place
+        return file_system(self.spark, path)
+
+
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as the JVM has them."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    conf = context._jsc.hadoopConfiguration() if context._jsc else context._jvm.org.apache.hadoop.conf.Configuration()
+    return place.getFileSystem(conf), place
 
 
 def session_workspace(spark: SparkSession) -> Workspace:

@@ -126,8 +126,9 @@ def test_tables_of_a_session_are_made_once(spark, ws):
         made.append(1)
         return ws.save(spark.range(3), "x")
 
-    assert ws.kept("x", ("a",), make).path == ws.kept("x", ("a",), make).path
-    assert ws.kept("x", ("b",), make).rows == 3
+    source = ws.save(spark.range(1), "source").path
+    assert ws.kept("x", ("a",), [source], make).path == ws.kept("x", ("a",), [source], make).path
+    assert ws.kept("x", ("b",), [source], make).rows == 3
     assert len(made) == 2
     store.session_workspace(spark)
     assert store.session_workspace(spark) is store.session_workspace(spark)
