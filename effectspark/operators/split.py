@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from effectspark.functions import columns as C
 from effectspark.operators.lookup import attach, same
+from effectspark.operators.quantiles import exact_quantiles
 from effectspark.sources.store import Stored, Workspace
 
 PER_MILLE = 1000
@@ -25,7 +26,6 @@ REST = -(-(1 << 32) // PER_MILLE)  # values that ``h div PER_MILLE`` can take
 INNER_PARTS = 10
 BUCKETS = 1 << 20
 CHUNK = 1 << 20
-ACCURACY = 1_000_000
 
 
 def _exact(p: float) -> Fraction:
@@ -60,14 +60,15 @@ def held_out(flag: Column | str) -> Column:
     return F.coalesce(F.col(flag) if isinstance(flag, str) else flag, F.lit(False))
 
 
-def quantile_strata(df: DataFrame, value: str, groups: int = 5) -> Column:
-    """Index of the value's quantile group, for strata over continuous values.
+def quantile_strata(df: DataFrame, value: str, ws: Workspace, groups: int = 5) -> Column:
+    """Index of the value's quantile group, for strata over continuous values; the cuts are exact."""
+    return quantile_index(F.col(value), exact_quantiles(df, [value], groups, ws)[value])
 
-    The cuts are off by at most one row in ACCURACY, and exact for fewer rows.
-    """
-    levels = [i / groups for i in range(1, groups)]
-    cuts = sorted(set(df.agg(F.percentile_approx(value, levels, ACCURACY)).first()[0] or []))
-    return reduce(lambda acc, c: acc + (F.col(value) > F.lit(c)).cast("int"), cuts, F.lit(0))
+
+def quantile_index(value: Column, cuts: Sequence) -> Column:
+    """How many distinct cuts the value exceeds."""
+    distinct = list(dict.fromkeys(cuts))
+    return reduce(lambda acc, c: acc + (value > F.lit(c)).cast("int"), distinct, F.lit(0))
 
 
 def _names(strata: str | Sequence[str]) -> list[str]:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from effectspark.operators import effects as E
-from effectspark.operators import features, label_effects, labels, profile, scoring, split, tuning
+from effectspark.operators import features, forest, label_effects, labels, profile, scoring, split, tuning
 from effectspark.operators.lookup import missing_rows
 from effectspark.session import configure
 from effectspark.sources import delimited, model_store, standin
@@ -162,7 +162,7 @@ def split_hash_fraction(run: Run) -> DataFrame:
 def split_quantile(run: Run) -> DataFrame:
     """Exact holdout with strata of a continuous outcome: here the time of the rating."""
     rows = hashed(run)
-    strata = rows.withColumn("stratum", split.quantile_strata(rows, "epoch_s"))
+    strata = rows.withColumn("stratum", split.quantile_strata(rows, "epoch_s", run.ws))
     return split.exact_flags(strata, run.ws, "stratum", "h", KEY, flag="held").select(*KEY, "stratum", "held")
 
 
@@ -423,6 +423,33 @@ def rmse_user_label(run: Run) -> DataFrame:
     return rounded(scoring.rmse(scored), "rmse")
 
 
+# trees
+
+FOREST_FEATURES = ("b_item", "b_user", "release_year", "age_at_review", "review_year", "review_month", "review_wday", "review_hour")
+FEATURES_EACH = 5
+
+
+def forest_rows(run: Run) -> DataFrame:
+    """The frame with the effects of item and user as two more numbers."""
+    frame = run.frame()
+    scored = scoring.score(frame, E.fit(frame, (E.ITEM, E.USER), run.ws, [LAMBDA]))
+    shown = scored.withColumns({c: F.round(c, 9) for c in ("b_item", "b_user")})
+    return run.ws.save(shown.select(*KEY, "rating", "is_val", *FOREST_FEATURES), "forest-rows").df
+
+
+def fit_tree(run: Run) -> DataFrame:
+    """One tree of depth 2 on all rows and features."""
+    tree = forest.fit_forest(forest_rows(run), FOREST_FEATURES, KEY, run.ws, trees=1, depth=2, row_share=1000)
+    cuts = tree.table(run.ws).withColumn("cut", F.col("cut").cast("double"))
+    return rounded(cuts, "cut", "mean_left", "mean_right")
+
+
+def rmse_forest(run: Run) -> DataFrame:
+    rows = forest_rows(run)
+    model = forest.fit_forest(rows, FOREST_FEATURES, KEY, run.ws, features_each=FEATURES_EACH)
+    return rounded(scoring.rmse(model.predict(rows.filter("is_val"))), "rmse")
+
+
 # tuning
 
 
@@ -567,6 +594,7 @@ def queries() -> dict[str, Query]:
     out["rmse_shrunk_ladder"] = ladder_of(E.SHRUNK_ORDER, LAMBDA)
     add(model_roundtrip)
     add(fit_labels, rmse_labels, fit_user_label, rmse_user_label)
+    add(fit_tree, rmse_forest)
     add(lambda_grid, cv_rmse_grid, cv_rmse_kfold, cv_rmse_stratified, cv_best_lambda, final_lambda, rmse_final)
     add(stream_scores, stream_learn, rmse_stream_learn, stream_event_profile)
     return out

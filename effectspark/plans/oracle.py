@@ -184,6 +184,50 @@ def lambda_grid_sql() -> str:
     )
 
 
+FOREST_FEATURES = ("b_item", "b_user", "release_year", "age_at_review", "review_year", "review_month", "review_wday", "review_hour")
+# five features for each of four trees: the least by md5 of tree|feature
+FOREST_CHOICE = (
+    "SELECT t, f FROM (SELECT t, f, row_number() OVER (PARTITION BY t ORDER BY md5(t || '|' || f)) AS k "
+    "FROM (SELECT unnest(range(4))::INT AS t), (SELECT unnest(range(8))::INT AS f)) WHERE k <= 5"
+)
+
+
+def forest_ctes(choice: str, depth: int, share: int) -> list[str]:
+    """Rows with the node they reach in each tree (``n0`` ... ), and the best cut per node (``best0`` ...)."""
+    made = [f"round({c}, 9) AS {c}" if c.startswith("b_") else c for c in FOREST_FEATURES]
+    levels = ", ".join(f"{i}e0 / 16" for i in range(1, 16))
+    cuts = [f"list_distinct(quantile_disc({c}, [{levels}])) AS q{k}" for k, c in enumerate(FOREST_FEATURES)]
+    bins = [
+        f"CASE WHEN {c} IS NULL THEN -1 ELSE len(list_filter(q{k}, lambda v: {c} > v))::INT END AS x{k}"
+        for k, c in enumerate(FOREST_FEATURES)
+    ]
+    bin_of = "CASE {} " + " ".join(f"WHEN {k} THEN x{k}" for k in range(len(FOREST_FEATURES))) + " END"
+    used = "TRUE" if share >= 1000 else (
+        f"('0x' || substr(md5(concat_ws('|', t, user_id, item_id, epoch_s)), 1, 8))::BIGINT % 1000 < {share}"
+    )
+    out = [
+        *steps(SHRUNK[:2], str(LAMBDA)),
+        f"f AS (SELECT {KEY}, rating, is_val, {', '.join(made)} FROM s2)",
+        f"cuts AS (SELECT {', '.join(cuts)} FROM f WHERE NOT is_val)",
+        f"binned AS (SELECT {KEY}, rating, is_val, {', '.join(bins)} FROM f, cuts)",
+        f"choice AS ({choice})",
+        f"n0 AS (SELECT *, {used} AND NOT is_val AS learns, 1 AS node FROM binned, (SELECT DISTINCT t FROM choice))",
+    ]
+    for d in range(depth):
+        out += [
+            f"h{d} AS (SELECT t, node, f, {bin_of.format('f')} AS bin, count(*) AS n, sum(rating) AS s "
+            f"FROM n{d} JOIN choice USING (t) WHERE learns GROUP BY ALL)",
+            f"c{d} AS (SELECT t, node, f, bin, sum(n) OVER u AS nl, sum(s) OVER u AS sl, sum(n) OVER w AS n, sum(s) OVER w AS s "
+            f"FROM h{d} WINDOW w AS (PARTITION BY t, node, f), u AS (PARTITION BY t, node, f ORDER BY bin))",
+            f"best{d} AS (SELECT t, node, min(struct_pack(loss := -gain, f := f, bin := bin, n := n, nl := nl, s := s, sl := sl)) AS b FROM ("
+            f"SELECT *, round(sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n, 6) AS gain FROM c{d} WHERE nl >= 20 AND n - nl >= 20) "
+            "WHERE gain > 0 GROUP BY t, node)",
+            f"n{d+1} AS (SELECT n{d}.* EXCLUDE (node), CASE WHEN b IS NULL THEN n{d}.node ELSE 2 * n{d}.node + ({bin_of.format('b.f')} > b.bin)::INT END AS node "
+            f"FROM n{d} LEFT JOIN best{d} ON best{d}.t = n{d}.t AND best{d}.node = n{d}.node)",
+        ]
+    return out
+
+
 # conjugate gradients over lists: ``rights`` has the residual sum and ``grid`` the counts of pairs, by label
 LABEL_STEPS = 60
 
@@ -381,6 +425,22 @@ def queries() -> dict[str, str]:
         *label_ctes(),
     )
 
+    names = "[" + ", ".join(f"'{c}'" for c in FOREST_FEATURES) + "]"
+    lists = "[" + ", ".join(f"[v::DOUBLE for v in q{k}]" for k in range(len(FOREST_FEATURES))) + "]"
+    cut_rows = " UNION ALL ".join(f"SELECT t, node, b FROM best{d}" for d in range(2))
+    out["fit_tree"] = sql(
+        f"SELECT t AS tree, node::INT AS node, {names}[b.f + 1] AS feature, b.bin AS bin, "
+        f"CASE WHEN b.bin >= 0 THEN {r6(f'list_sort({lists}[b.f + 1])[b.bin + 1]')} END AS cut, b.n::BIGINT AS n, b.nl::BIGINT AS n_left, "
+        f"{r6('b.sl / b.nl')} AS mean_left, {r6('(b.s - b.sl) / (b.n - b.nl)')} AS mean_right FROM ({cut_rows}), cuts",
+        *forest_ctes("SELECT 0 AS t, unnest(range(8))::INT AS f", 2, 1000),
+    )
+    out["rmse_forest"] = sql(
+        f"SELECT {r6('sqrt(avg(pow(rating - pred, 2)))')} AS rmse FROM (SELECT {KEY}, any_value(rating) AS rating, avg(mean) AS pred "
+        f"FROM n3 JOIN leaves USING (t, node) WHERE is_val GROUP BY {KEY})",
+        *forest_ctes(FOREST_CHOICE, 3, 632),
+        "leaves AS (SELECT t, node, avg(rating) AS mean FROM n3 WHERE learns GROUP BY t, node)",
+    )
+
     out["lambda_grid"] = lambda_grid_sql()
     out["cv_rmse_grid"] = sql(f"SELECT fold, lam AS \"lambda\", {r6('rmse')} AS rmse FROM errors", *grid_ctes())
     out["cv_rmse_kfold"] = sql(

@@ -175,9 +175,9 @@ def test_flags_with_many_copies_of_a_row(spark, ws):
     assert max(r.h for r in got.filter("is_test").collect()) <= min(r.h for r in got.filter("NOT is_test").collect())
 
 
-def test_quantile_strata(spark):
+def test_quantile_strata(spark, ws):
     df = spark.range(1000).select((F.col("id") / 10).alias("x"))
-    got = Counter(r[0] for r in df.select(split.quantile_strata(df, "x", 5)).collect())
+    got = Counter(r[0] for r in df.select(split.quantile_strata(df, "x", ws, 5)).collect())
     assert set(got) == {0, 1, 2, 3, 4} and all(190 <= n <= 210 for n in got.values())
 
 
