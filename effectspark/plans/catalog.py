@@ -16,7 +16,7 @@ from effectspark.operators.lookup import missing_rows
 from effectspark.session import configure
 from effectspark.sources import delimited, model_store, standin
 from effectspark.sources.store import Stored, session_workspace
-from effectspark.streaming import learning, live
+from effectspark.streaming import lateness, learning, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -550,6 +550,31 @@ def stream_event_profile(run: Run) -> DataFrame:
     return rounded(out.select(*ends, "event_type", "mean_value", "n"), "mean_value")
 
 
+LATE_EVENTS = "event_id % 10 = 0"  # these arrive when all others have been seen
+ALLOWED_S = 3600
+
+
+def stream_late_windows(run: Run) -> DataFrame:
+    """Daily windows of events of which a tenth arrives late, after a restart of the stream."""
+    events = run.events().withColumn("ts", F.col("ts").cast("timestamp"))
+    folder, progress = run.ws.path("arriving"), run.ws.path("late-progress")
+    state = run.ws.path("late-windows")
+    for late in (False, True):
+        part = events.filter(LATE_EVENTS) if late else events.filter(f"NOT {LATE_EVENTS}")
+        part.write.mode("append").parquet(folder)
+        windows = lateness.LateWindows(run.ws, state, events.schema, "ts", "value", ["event_type"], "1 day", ALLOWED_S)
+        arriving = run.spark.readStream.schema(events.schema).parquet(folder)
+        lateness.window_stream(arriving, windows, progress).awaitTermination()
+    on = ["window_start", "event_type"]
+    late_rows = windows.late().groupBy(*on).agg(F.count(F.lit(1)).alias("n_late"), F.max("seconds_behind").alias("most_behind"))
+    seen = windows.closed().unionByName(windows.open()).select(*on, "mean_value", "n")
+    both = seen.join(late_rows, on, "full").select(
+        F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "mean_value",
+        F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_late", F.lit(0)).alias("n_late"), "most_behind",
+    )
+    return rounded(both, "mean_value", "most_behind")
+
+
 def _up_to(order: tuple[E.EffectSpec, ...], last: E.EffectSpec) -> tuple[E.EffectSpec, ...]:
     return order[: order.index(last) + 1]
 
@@ -596,5 +621,5 @@ def queries() -> dict[str, Query]:
     add(fit_labels, rmse_labels, fit_user_label, rmse_user_label)
     add(fit_tree, rmse_forest)
     add(lambda_grid, cv_rmse_grid, cv_rmse_kfold, cv_rmse_stratified, cv_best_lambda, final_lambda, rmse_final)
-    add(stream_scores, stream_learn, rmse_stream_learn, stream_event_profile)
+    add(stream_scores, stream_learn, rmse_stream_learn, stream_event_profile, stream_late_windows)
     return out

@@ -462,4 +462,11 @@ def queries() -> dict[str, str]:
         "(date_trunc('day', ts) + INTERVAL 1 DAY)::TIMESTAMP AS window_end, event_type, "
         f"{r6('avg(value)')} AS mean_value, count(*) AS n FROM events GROUP BY 1, 2, 3"
     )
+    out["stream_late_windows"] = f"""
+        WITH e AS (SELECT *, date_trunc('day', ts)::TIMESTAMP AS window_start, event_id % 10 = 0 AS tardy FROM events),
+        seen AS (SELECT max(ts) AS newest FROM e WHERE NOT tardy),
+        judged AS (SELECT *, tardy AND window_start + INTERVAL 1 DAY <= newest - INTERVAL 1 HOUR AS late FROM e, seen)
+        SELECT window_start, event_type, {r6('avg(value) FILTER (NOT late)')} AS mean_value, count(*) FILTER (NOT late) AS n,
+               count(*) FILTER (late) AS n_late,
+               {r6("max((epoch_us(newest) - epoch_us(ts)) / 1e6) FILTER (late)")} AS most_behind FROM judged GROUP BY 1, 2"""
     return out

@@ -54,5 +54,7 @@ def run_to_table(stream: DataFrame, ws: Workspace, name: str, keys: Sequence[str
     writer.outputMode("update").foreachBatch(write).start().awaitTermination()
     schema = stream.schema.add("__batch", "long")
     values = [c for c in stream.columns if c not in keys]
+    if not ws.exists(path):  # no batch: nothing has arrived
+        return ws.spark.createDataFrame([], stream.schema)
     last = F.max_by(F.struct(*values), "__batch").alias("__last")
     return ws.read(f"{path}/*", schema).groupBy(*keys).agg(last).select(*keys, "__last.*").select(*stream.columns)
