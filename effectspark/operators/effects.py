@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 
 from effectspark.functions import aggregates as A
 from effectspark.operators.lookup import attach
+from effectspark.operators.parts import PART, Parts
 from effectspark.sources.store import Stored, Workspace
 
 KEY_TYPES = (T.IntegralType, T.StringType)
@@ -104,6 +105,7 @@ class EffectModel:
     mu: dict
     tables: tuple[EffectTable, ...]
     broadcast_bytes: int
+    parts: Parts | None = None
 
     @property
     def on(self) -> list[str]:
@@ -145,7 +147,13 @@ class EffectModel:
         size = lambda t: (t.stored.bytes, t.spec.name)
         return sum(t.stored.bytes for t in self.tables if size(t) <= size(table)) <= self.broadcast_bytes
 
+    def brings(self, table: EffectTable) -> bool:
+        """Whether the table is too large to broadcast but can be brought to the parts of the log."""
+        return self.parts is not None and table.spec.key in self.parts.values and not self.broadcasts(table)
+
     def attach(self, rows: DataFrame, table: EffectTable) -> DataFrame:
+        if self.brings(table) and PART in rows.columns:
+            return self.parts.attach(rows, table.stored, table.spec.key, table.payload(self.lambdas), prefix=FOUND)
         limit = self.broadcast_bytes if self.broadcasts(table) else -1
         on = [*self.on, table.spec.key]
         return attach(rows, table.stored, on, table.payload(self.lambdas), limit, prefix=FOUND)
@@ -175,29 +183,34 @@ def fit(
     lambdas: Sequence[float] = (0.0,),
     held: str | None = "is_val",
     by: str | None = None,
+    parts: Parts | None = None,
 ) -> EffectModel:
     """Fit the effects in the given order on the rows that are not ``held`` out.
 
     ``frame`` is read several times; pass a stored table. Rows without a rating
     are left out; a NULL flag does not hold a row out. ``by`` fits every value of that
     column (a fold number: few values) on its own. Without specs the model is the
-    mean alone.
+    mean alone. With ``parts``, whose ``frame`` is then the one to pass, effects too large
+    to broadcast are brought to the parts of the log, which is not shuffled.
     """
+    if parts and by:
+        raise ValueError("parts serve one fit at a time: leave out either parts or by")
     specs, lambdas = tuple(specs), tuple(float(x) for x in lambdas)
     _check(frame, specs, lambdas, by)
     train = frame.filter("rating IS NOT NULL")
     train = train.filter(~F.coalesce(F.col(held), F.lit(False))) if held else train
     declared = specs
     specs = _widen(train, specs)
-    model = EffectModel(specs, lambdas, by, {}, (), ws.broadcast_bytes)
+    model = EffectModel(specs, lambdas, by, {}, (), ws.broadcast_bytes, parts)
     last_wide = max((i for i, s in enumerate(specs) if s.wide), default=-1)
     narrow = specs[last_wide + 1 :]
+    place = [PART] if parts else []
 
     counts = _pair_counts(train, [s.key for s in narrow], model) if len(narrow) > 1 else None
     with ws.saving(counts, "pair-counts") as pairs:
         rest: Rest | None = None
         for i, spec in enumerate(specs[: last_wide + 1]):
-            later = [s.key for s in specs[i + 1 :]]
+            later = [*(s.key for s in specs[i + 1 :]), *place]
             if rest is None:
                 model = _fit_first(train, spec, model, ws)
                 rest = Rest.start(train, model, [spec.key, *later])
@@ -216,7 +229,7 @@ def _move_on(rest: Rest, model: EffectModel, later: Sequence[str], ws: Workspace
     """Take the newest effect off; written out if its table is too large to be joined again and again."""
     table = model.tables[-1]
     rest = rest.minus(table, model, later)
-    if not later or model.broadcasts(table):
+    if not later or model.broadcasts(table) or model.brings(table):
         return rest
     return replace(rest, df=ws.save(rest.df, f"rest-{table.spec.name}").df)
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from effectspark.operators import effects as E
-from effectspark.operators import features, forest, label_effects, labels, profile, scoring, split, tuning
+from effectspark.operators import features, forest, label_effects, labels, parts, profile, scoring, sketches, split, tuning
 from effectspark.operators.lookup import missing_rows
 from effectspark.session import configure
 from effectspark.sources import delimited, model_store, standin
@@ -271,6 +271,22 @@ def oldest_release(run: Run) -> DataFrame:
     return profile.least_row(rows, "release_year", KEY).select("title", "rating", "release_year")
 
 
+SKETCHED = ["user_id", "item_id"]
+
+
+def distinct_by_year(run: Run) -> DataFrame:
+    """Distinct users and items per year, and whether the merged sketches of its days are within their error."""
+    rows = run.train_rows().withColumn("day", F.floor(F.col("epoch_s") / 86400))
+    days = run.ws.save(sketches.summarize(rows, ["day", "review_year"], SKETCHED), "day-sketches").df
+    estimated = sketches.distinct_counts(days, ["review_year"], SKETCHED)
+    exact = rows.groupBy("review_year").agg(F.count_distinct("user_id").alias("users"), F.count_distinct("item_id").alias("items"))
+    near = lambda estimate, count: F.abs(F.col(estimate) - F.col(count)) <= F.col(count) * sketches.ERROR
+    return estimated.join(exact, "review_year").select(
+        "review_year", "n", "users", "items",
+        near("distinct_user_id", "users").alias("users_near"), near("distinct_item_id", "items").alias("items_near"),
+    )
+
+
 def hist_rating(run: Run) -> DataFrame:
     return profile.histogram(run.train_rows(), "rating", 0.5)
 
@@ -395,6 +411,19 @@ def model_roundtrip(run: Run) -> DataFrame:
     return rounded(scoring.score(frame.filter("is_val"), model).select(*KEY, "pred"), "pred")
 
 
+PARTS = 8
+
+
+def rmse_parts(run: Run) -> DataFrame:
+    """Item and user effects fitted and scored on a log in parts, without broadcasts of effects."""
+    ws = run.ws.limited(0)
+    keys = [s.key for s in (E.USER, E.ITEM)]
+    with parts.deal(run.frame(), ws, keys, PARTS) as dealt:
+        model = E.fit(dealt.frame, E.SHRUNK_ORDER, ws, [LAMBDA], parts=dealt)
+        found = ws.save(scoring.rmse(scoring.score(dealt.frame.filter("is_val"), model)), "rmse").df
+    return rounded(found, "rmse")
+
+
 # effects of single labels
 
 
@@ -600,7 +629,7 @@ def queries() -> dict[str, Query]:
     for part in features.CALENDAR:
         out[f"profile_{part}"] = profile_of(part)
     add(profile_release_year, profile_age, profile_genres, mean_of_user_means)
-    add(oldest_at_review, oldest_release, hist_rating, density_grid, profile_events)
+    add(distinct_by_year, oldest_at_review, oldest_release, hist_rating, density_grid, profile_events)
     add(label_explode, profile_label, label_contains_counts, label_indicators)
     for name, specs in plain.items():
         out[f"fit_{name}"] = fit_last(specs)
@@ -617,7 +646,7 @@ def queries() -> dict[str, Query]:
     add(score_cold_keys, unseen_counts, effect_means)
     out["rmse_shrunk"] = rmse_with(E.SHRUNK_ORDER, LAMBDA)
     out["rmse_shrunk_ladder"] = ladder_of(E.SHRUNK_ORDER, LAMBDA)
-    add(model_roundtrip)
+    add(model_roundtrip, rmse_parts)
     add(fit_labels, rmse_labels, fit_user_label, rmse_user_label)
     add(fit_tree, rmse_forest)
     add(lambda_grid, cv_rmse_grid, cv_rmse_kfold, cv_rmse_stratified, cv_best_lambda, final_lambda, rmse_final)

