@@ -1,196 +1,132 @@
 """Removal of multi-line passages that occur elsewhere, in DataFrame operations only.
 
-Lines are cut into chunks where their content says so: a hash rolls over the
-hashes of two neighbouring lines, and a chunk starts where it falls into the lower
-half of its range and did not do so a line before. Lines inserted before a passage
-shift it but not its cuts, so the passage yields the same chunks wherever it stands;
-and no chunk has one line only, but for the last of a text.
-
-Chunks are grouped by digest *and* body, which compares their bytes; partial
-aggregation leaves one row per scan task for a chunk that very many documents
-hold. Only digests and positions travel further: the decisions come back to a
-document as one array of flags, and its text is rebuilt from the kept chunks.
-
-A short passage seldom holds a whole chunk, so :func:`dedup_lines` finds few of those
-with up to eight lines. :func:`dedup_passages` needs no cuts: it compares every two
-neighbouring lines that are not blank, and so finds each repeated passage whole.
+Lines are cut into chunks where their content says so. A hash rolls over the hashes of
+every two neighbouring lines; one part of it tells whether a chunk may start with the
+first of them, another whether one may end with the second. Both edges of a chunk thus
+depend on its own lines alone, so a passage yields the same chunks whatever stands around
+it. Nearly all places are edges, for a chunk must not be longer than the shortest passage
+to be found; the few that are not are made up for by RULES independent cuts, each with
+its own parts of the hash, whose chunks overlap. Blank lines are passed over: they belong
+to a chunk if they stand inside it.
+
+1. Chunks are compared by digest, (document, first line, last line, digest), which leaves
+   of a passage that very many documents hold one row per scan task before the shuffle.
+2. The bodies of first copies, one per repeated digest, are sent to the other copies and
+   compared byte by byte with what stands there.
+3. The lines of all repeats of a document, taken together, are cut out of its text.
+
+A passage of two lines is a chunk of its own with probability 0.998, and one of four
+lines goes whole with 0.996: an edge is missed by a rule in 1 - (15/16) ** 2 of all places.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from effectspark.llm.tables import row_key
 from effectspark.sources.store import Workspace
 
-# The rolling hash is low if it begins with a digit below CUT (half of them: about four lines a chunk),
-# and a chunk counts as multi-line from FILLED lines that are not blank.
-CUT = "8"
-FILLED = 2
+# Fixed values of the cut: a place is no edge if its digit of the rolling hash is NO_EDGE (one in 16).
+RULES = 3
+NO_EDGE = "0"
+LONGEST = 5  # lines of a chunk that are not blank, where no end comes earlier
 NOT_BLANK = r"[^\x20\x09-\x0D]"
 
-_KEY, _CHUNKS, _FLAGS = "__line_dedup_key", "__line_dedup_chunks", "__line_dedup_flags"
-_LINES, _GONE = "__line_dedup_lines", "__line_dedup_gone"
+_DIGEST = "unhex(md5({}))"
+
+_P = "__line_dedup_"
+_KEY, _LINES, _GONE = _P + "key", _P + "lines", _P + "gone"
 
 
 def dedup_lines(docs: DataFrame, ws: Workspace) -> DataFrame:
     """``docs`` with repeated chunks taken out of ``text``, and their numbers.
 
-    Adds ``n_lines``, ``n_removed`` (lines) and ``n_chunks_removed``; a column of
-    that name in ``docs`` is replaced. Of equal chunks the first by (doc_id,
-    position) stays, also within a document; a NULL doc_id comes last. Every row
-    stays, with an empty text if nothing is left; a NULL text stays NULL and has no
-    lines. Rows equal in doc_id and text are one document, so one is not a repeat of
-    the other.
-    """
-    keyed = docs.withColumn(_KEY, row_key())
-    rows = _chunk_rows(keyed)
-    meta = ws.save(rows.drop("body"), "chunks").df
-    repeats = (
-        rows.filter(F.col("filled") >= FILLED)
-        .groupBy("digest", "body")
-        .agg(F.min("place").alias("first"), F.max("place").alias("last"))
-        .filter("first <> last")
-        .select("digest", "first")
-    )
-    flagged = meta.join(repeats, "digest", "left").select(
-        _KEY, "place.chunk", "lines", F.coalesce(F.col("first") != F.col("place"), F.lit(False)).alias("drop")
-    )
-    # sets, because rows that are one document have the same chunks
-    decided = (
-        flagged.groupBy(_KEY)
-        .agg(F.array_sort(F.collect_set(F.struct("chunk", "lines", "drop"))).alias("parts"))
-        .withColumns(
-            {
-                "__n_lines": F.expr("aggregate(parts, 0L, (a, p) -> a + p.lines)"),
-                "__n_removed": F.expr("aggregate(parts, 0L, (a, p) -> a + if(p.drop, p.lines, 0))"),
-                "__n_chunks": F.expr("aggregate(parts, 0L, (a, p) -> a + if(p.drop, 1, 0))"),
-            }
-        )
-        .withColumn(_FLAGS, F.expr("CASE WHEN __n_chunks > 0 THEN parts.drop END"))
-        .drop("parts")
-    )
-    found = _with_chunks(keyed.join(decided, _KEY, "left"), F.col(_FLAGS).isNotNull())
-    kept = f"filter(arrays_zip({_CHUNKS}, {_FLAGS}), z -> NOT z.{_FLAGS})"
-    results = {
-        "n_lines": F.coalesce("__n_lines", F.lit(0)),
-        "n_removed": F.coalesce("__n_removed", F.lit(0)),
-        "n_chunks_removed": F.coalesce("__n_chunks", F.lit(0)),
-        "text": F.expr(
-            f"CASE WHEN {_FLAGS} IS NULL THEN text ELSE array_join(transform({kept}, z -> z.{_CHUNKS}.body), '\n') END"
-        ),
-    }
-    return found.withColumns(results).select(*dict.fromkeys([*docs.columns, *results]))
-
-
-def _with_chunks(docs: DataFrame, where: Column) -> DataFrame:
-    """Add the chunks of the texts ``where`` holds, as an array of (lines, filled, body).
-
-    Each step is a projection of its own, and names ``lines`` or ``starts`` more
-    than once, so that a text is split once and not once per chunk.
-    """
-    wanted = where & F.col("text").isNotNull()
-    split = docs.withColumn(
-        "__lines", F.when(wanted, F.split("text", "\n", -1)).otherwise(F.array().cast("array<string>"))
-    ).withColumn("__hashes", F.expr("transform(__lines, x -> md5(x))"))
-    neighbours = "arrays_zip(slice(__hashes, 1, greatest(size(__hashes) - 1, 0)), slice(__hashes, 2, size(__hashes)))"
-    low = f"transform({neighbours}, z -> md5(concat(z['0'], z['1'])) < '{CUT}')"
-    before = "slice(concat(array(true), __low), 1, size(__low))"
-    cuts = f"transform(arrays_zip(__low, {before}), (z, i) -> CASE WHEN z.__low AND NOT z['1'] THEN i + 1 END)"
-    ranges = split.withColumn("__low", F.expr(low)).withColumn(
-        "__starts", F.expr(f"CASE WHEN size(__lines) = 0 THEN array() ELSE concat(array(0), array_compact({cuts})) END")
-    ).withColumn(
-        "__ends",
-        F.expr("CASE WHEN size(__starts) = 0 THEN array() "
-               "ELSE concat(slice(__starts, 2, size(__starts)), array(size(__lines))) END"),
-    )
-    part = "slice(__lines, z.__starts + 1, z.__ends - z.__starts)"
-    chunk = (
-        f"named_struct('lines', z.__ends - z.__starts, 'filled', size(filter({part}, l -> l RLIKE r'{NOT_BLANK}')), "
-        f"'body', array_join({part}, '\n'))"
-    )
-    chunks = F.expr(f"transform(arrays_zip(__starts, __ends), z -> {chunk})")
-    return ranges.withColumn(_CHUNKS, chunks).drop("__lines", "__hashes", "__low", "__starts", "__ends")
-
+    A chunk has two lines or more that are not blank. Of equal chunks the first by
+    (doc_id, position) stays, also within a document; a NULL doc_id comes last. All lines
+    of the others go, so each line that goes equals an earlier one, and a line of which
+    there is no earlier copy stays.
 
-def _chunk_rows(keyed: DataFrame) -> DataFrame:
-    """A row per chunk: key of the document, place, digest, body."""
-    # the outer form: from the inner one the optimiser derives a filter that computes the chunks once more
-    each = (
-        _with_chunks(keyed.select("doc_id", "text", _KEY), F.lit(True))
-        .select("doc_id", _KEY, F.posexplode_outer(_CHUNKS).alias("chunk", "c"))
-        .filter("chunk IS NOT NULL")
-    )
-    return each.select(
-        _KEY,
-        F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col(_KEY).alias("key"), "chunk").alias("place"),
-        F.unhex(F.sha2("c.body", 256)).alias("digest"),
-        "c.lines",
-        "c.filled",
-        "c.body",
-    )
-
-
-def dedup_passages(docs: DataFrame, ws: Workspace) -> DataFrame:
-    """``docs`` with repeated passages taken out of ``text``, and their numbers.
-
-    A passage is FILLED or more neighbouring lines that are not blank, with the blank
-    lines between them. Each two such neighbours are a pair; of equal pairs the first by
-    (doc_id, position) stays, also within a document, and the lines of the others go. So
-    every line of a repeated passage goes, whatever stands around it, but a line of which
-    this is the first copy never does: each line that goes equals an earlier one.
-
-    Adds ``n_lines`` and ``n_removed`` (lines); NULLs, repeated rows and columns of these
-    names are as in :func:`dedup_lines`.
+    Adds ``n_lines``, ``n_removed`` (lines) and ``n_chunks_removed``; a column of
+    that name in ``docs`` is replaced. Every row stays, with an empty text if nothing is
+    left; a NULL text stays NULL and has no lines. Rows equal in doc_id and text are one
+    document, so one is not a repeat of the other. An empty table gives no rows.
     """
-    keyed = docs.withColumn(_KEY, row_key())
-    meta = ws.save(_pair_rows(keyed), "pairs").df
-    repeats = (
-        meta.groupBy("digest")
-        .agg(F.min("place").alias("first"), F.max("place").alias("last"))
-        .filter("first <> last")
-        .select("digest", "first")
+    keyed = docs.withColumn(_KEY, F.unhex(row_key()))
+    meta = ws.save(_chunk_rows(keyed), "chunks").df
+    copies = (
+        meta.groupBy("digest").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first <> last")
     )
-    gone = (
+    repeats = ws.save(copies.select("digest", "first"), "repeated-chunks").df
+    bodies = _bodies(keyed, repeats)
+    cut = (
         meta.join(repeats, "digest")
         .filter("first <> place")
+        .select(F.col("place.key").alias(_KEY), "place.start", "place.stop", "digest")
+        .join(bodies, "digest")
         .groupBy(_KEY)
-        .agg(F.collect_set(F.struct("place.line", "stop")).alias("pairs"))
-        .select(_KEY, F.expr("array_distinct(flatten(transform(pairs, p -> sequence(p.line, p.stop))))").alias(_GONE))
+        .agg(F.collect_set(F.struct("start", "stop", "body")).alias(_GONE))
     )
     split = F.when(F.col("text").isNotNull(), F.split("text", "\n", -1))
-    found = keyed.join(gone, _KEY, "left").withColumn(_LINES, split)
-    kept = f"array_except(sequence(0, size({_LINES}) - 1), {_GONE})"
+    found = keyed.join(cut, _KEY, "left").withColumn(_LINES, split)
+    equal = f"filter({_GONE}, c -> {_body('c.start', 'c.stop')} = c.body)"
+    found = found.withColumn(_GONE, F.expr(f"CASE WHEN {_GONE} IS NOT NULL THEN {equal} END"))
+    lines = f"array_distinct(flatten(transform({_GONE}, c -> sequence(c.start, c.stop))))"
+    found = found.withColumn(_P + "cut", F.expr(f"CASE WHEN size({_GONE}) > 0 THEN {lines} END"))
+    kept = f"array_except(sequence(0, size({_LINES}) - 1), {_P}cut)"
     results = {
         "n_lines": F.expr(f"CASE WHEN {_LINES} IS NULL THEN 0L ELSE CAST(size({_LINES}) AS BIGINT) END"),
-        "n_removed": F.expr(f"CASE WHEN {_GONE} IS NULL THEN 0L ELSE CAST(size({_GONE}) AS BIGINT) END"),
+        "n_removed": F.expr(f"CASE WHEN {_P}cut IS NULL THEN 0L ELSE CAST(size({_P}cut) AS BIGINT) END"),
+        "n_chunks_removed": F.expr(f"CASE WHEN {_P}cut IS NULL THEN 0L ELSE CAST(size({_GONE}) AS BIGINT) END"),
         "text": F.expr(
-            f"CASE WHEN {_GONE} IS NULL THEN text ELSE array_join(transform({kept}, i -> {_LINES}[i]), '\n') END"
+            f"CASE WHEN {_P}cut IS NULL THEN text ELSE array_join(transform({kept}, i -> {_LINES}[i]), '\n') END"
         ),
     }
     return found.withColumns(results).select(*dict.fromkeys([*docs.columns, *results]))
 
 
-def _pair_rows(keyed: DataFrame) -> DataFrame:
-    """A row per two neighbouring lines that are not blank: key, place, last line, digest of all from one to the other."""
-    lines = keyed.select("doc_id", _KEY, "text").filter("text IS NOT NULL").withColumn(_LINES, F.split("text", "\n", -1))
-    filled = lines.withColumn(
-        "__filled",
-        F.expr(f"filter(sequence(0, size({_LINES}) - 1), i -> {_LINES}[i] RLIKE r'{NOT_BLANK}')"),
-    )
-    ends = F.expr("arrays_zip(slice(__filled, 1, greatest(size(__filled) - 1, 0)), slice(__filled, 2, size(__filled)))")
-    body = f"array_join(slice({_LINES}, z['0'] + 1, z['1'] - z['0'] + 1), '\n')"
-    pair = f"named_struct('line', z['0'], 'stop', z['1'], 'digest', unhex(sha2({body}, 256)))"
-    each = (
-        filled.withColumn("__ends", ends)
-        .select("doc_id", _KEY, F.expr(f"transform(__ends, z -> {pair})").alias("__pairs"))
-        .select("doc_id", _KEY, F.explode_outer("__pairs").alias("c"))
-        .filter("c IS NOT NULL")
-    )
-    return each.select(
-        _KEY,
-        F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col(_KEY).alias("key"), "c.line").alias("place"),
-        "c.stop",
-        "c.digest",
+def _body(start: str, stop: str) -> str:
+    return f"array_join(slice({_LINES}, {start} + 1, {stop} - {start} + 1), '\n')"
+
+
+def _chunk_rows(keyed: DataFrame) -> DataFrame:
+    """A row per chunk: place (with the document's key, the first and the last line) and digest.
+
+    Each step is a projection of its own, so that a text is split once and not once per chunk.
+    """
+    rows = keyed.select("doc_id", _KEY, F.split("text", "\n", -1).alias(_LINES)).filter(F.col(_LINES).isNotNull())
+    rows = rows.withColumn(
+        "filled", F.expr(f"filter(sequence(0, size({_LINES}) - 1), i -> {_LINES}[i] RLIKE r'{NOT_BLANK}')")
     )
+    rows = rows.withColumn("hashes", F.expr(f"transform(filled, i -> md5({_LINES}[i]))"))
+    pairs = "arrays_zip(slice(hashes, 1, greatest(size(hashes) - 1, 0)), slice(hashes, 2, size(hashes)))"
+    rows = rows.withColumn("rolled", F.expr(f"transform({pairs}, z -> md5(concat(z['0'], z['1'])))")).drop("hashes")
+    each = rows.withColumn("ranges", F.expr(f"array_distinct(flatten(array({', '.join(_ranges(r) for r in range(RULES))})))"))
+    chunk = f"named_struct('start', z.a, 'stop', z.b, 'digest', {_DIGEST.format(_body('z.a', 'z.b'))})"
+    chunks = each.select("doc_id", _KEY, F.expr(f"transform(ranges, z -> {chunk})").alias("chunks"))
+    # the outer form: from the inner one the optimiser derives a filter that computes the chunks once more
+    flat = chunks.select("doc_id", _KEY, F.explode_outer("chunks").alias("c")).filter("c IS NOT NULL")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col(_KEY).alias("key"), "c.start", "c.stop")
+    return flat.select(place.alias("place"), "c.digest")
+
+
+def _ranges(rule: int) -> str:
+    """(a, b): first and last line of each chunk of one rule, over ``filled`` and ``rolled``."""
+    starts = f"filter(sequence(0, size(rolled) - 1), i -> substr(rolled[i], {2 * rule + 1}, 1) != '{NO_EDGE}')"
+    # the end of the text ends a chunk as well: there is no hash, hence NULL
+    ends = lambda d: f"coalesce(substr(get(rolled, i + {d}), {2 * rule + 2}, 1), 'x') != '{NO_EDGE}' OR i + {d + 1} >= size(rolled)"
+    last = " ".join(f"WHEN {ends(d)} THEN filled[i + {d + 1}]" for d in range(LONGEST - 2))
+    one = f"named_struct('a', filled[i], 'b', CASE {last} ELSE filled[i + {LONGEST - 1}] END)"
+    none = "CAST(array() AS array<struct<a: int, b: int>>)"
+    return f"CASE WHEN size(rolled) = 0 THEN {none} ELSE transform({starts}, i -> {one}) END"
+
+
+def _bodies(keyed: DataFrame, repeats: DataFrame) -> DataFrame:
+    """(digest, body): the first copy of each repeated chunk."""
+    first = F.struct("digest", "first.start", "first.stop")
+    wanted = repeats.groupBy(F.col("first.key").alias(_KEY)).agg(F.collect_list(first).alias("firsts"))
+    # rows of one key are one document
+    held = keyed.select(_KEY, "text").join(wanted, _KEY).dropDuplicates([_KEY])
+    lines = held.select(F.split("text", "\n", -1).alias(_LINES), "firsts")
+    bodies = F.expr(f"transform(firsts, c -> named_struct('digest', c.digest, 'body', {_body('c.start', 'c.stop')}))")
+    return lines.select(F.inline(bodies))

@@ -6,25 +6,35 @@ LINE_DEDUP = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
   FROM documents WHERE text IS NOT NULL
+), filled AS (
+  SELECT *, row_number() OVER w AS k, lead(line) OVER w AS next FROM l
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') WINDOW w AS (PARTITION BY doc_id ORDER BY i)
 ), rolled AS (
-  SELECT *, i = 1 OR md5(md5(lag(line) OVER w) || md5(line)) < '8' AS low
-  FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)
-), cut AS (
-  SELECT *, CASE WHEN i = 1 OR low AND NOT lag(low) OVER w THEN 1 ELSE 0 END AS starts
-  FROM rolled WINDOW w AS (PARTITION BY doc_id ORDER BY i)
-), numbered AS (
-  SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY i) AS chunk FROM cut
+  SELECT doc_id, i, k, CASE WHEN next IS NOT NULL THEN md5(md5(line) || md5(next)) END AS p FROM filled
+), edges AS (
+  SELECT doc_id, i, k, r, p IS NOT NULL AND substr(p, 2 * r + 1, 1) != '0' AS starts,
+         CASE WHEN substr(p, 2 * r + 2, 1) != '0' OR p2 IS NULL THEN 1
+              WHEN substr(p2, 2 * r + 2, 1) != '0' OR p3 IS NULL THEN 2
+              WHEN substr(p3, 2 * r + 2, 1) != '0' OR p4 IS NULL THEN 3 ELSE 4 END AS more
+  FROM (SELECT *, lead(p, 1) OVER w AS p2, lead(p, 2) OVER w AS p3, lead(p, 3) OVER w AS p4
+        FROM rolled WINDOW w AS (PARTITION BY doc_id ORDER BY k)), (SELECT unnest(range(3)) AS r)
+), ranges AS (
+  SELECT DISTINCT e.doc_id, e.i AS a, f.i AS b FROM edges e JOIN filled f ON f.doc_id = e.doc_id AND f.k = e.k + more WHERE starts
 ), chunks AS (
-  SELECT doc_id, chunk, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS lines,
-         count(*) FILTER (regexp_matches(line, '[^\x20\x09-\x0D]')) AS filled
-  FROM numbered GROUP BY doc_id, chunk
-), judged AS (
-  SELECT *, filled >= 2 AND row_number() OVER (PARTITION BY body ORDER BY doc_id, chunk) > 1 AS gone FROM chunks
+  SELECT r.doc_id, a, b, string_agg(line, chr(10) ORDER BY i) AS body
+  FROM ranges r JOIN l ON l.doc_id = r.doc_id AND l.i BETWEEN a AND b GROUP BY ALL
+), gone AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, a, b) AS copy FROM chunks) WHERE copy > 1
+), cut AS (
+  SELECT DISTINCT g.doc_id, l.i FROM gone g JOIN l ON l.doc_id = g.doc_id AND l.i BETWEEN a AND b
+), texts AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(c.i) AS n_removed,
+         coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (c.i IS NULL), '') AS kept
+  FROM l LEFT JOIN cut c ON c.doc_id = l.doc_id AND c.i = l.i GROUP BY l.doc_id
 )
-SELECT d.doc_id, coalesce(sum(lines), 0)::BIGINT AS n_lines, coalesce(sum(lines) FILTER (gone), 0)::BIGINT AS n_removed,
-       count(*) FILTER (gone) AS n_chunks_removed,
-       sha256(coalesce(string_agg(body, chr(10) ORDER BY chunk) FILTER (NOT gone), '')) AS kept_sha256
-FROM documents d LEFT JOIN judged USING (doc_id) GROUP BY d.doc_id
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+       (SELECT count(*) FROM gone g WHERE g.doc_id = d.doc_id) AS n_chunks_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN texts USING (doc_id)
 """
 
 EXACT_DEDUP = r"""

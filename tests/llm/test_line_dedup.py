@@ -1,37 +1,42 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
+import pytest
+
 from effectspark.llm import line_dedup
 
 
-def cut(text):
-    """Chunks of a text, straight from the rule."""
-    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
-    lines = text.split("\n")
-    chunks = [[lines[0]]]
-    low = True
-    for before, line in zip(lines, lines[1:]):
-        was, low = low, md5(md5(before) + md5(line)) < line_dedup.CUT
-        if low and not was:
-            chunks.append([])
-        chunks[-1].append(line)
-    return chunks
+def md5(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
+def ranges(lines):
+    """First and last lines of the chunks of all rules, straight from the rule."""
+    filled = [k for k, x in enumerate(lines) if re.search(r"[^\x20\x09-\x0D]", x)]
+    rolled = [md5(md5(lines[a]) + md5(lines[b])) for a, b in zip(filled, filled[1:])]
+    found = set()
+    for rule in range(line_dedup.RULES):
+        for i, start in enumerate(rolled):
+            if start[2 * rule] != line_dedup.NO_EDGE:
+                j = i
+                while j + 1 < len(rolled) and rolled[j][2 * rule + 1] == line_dedup.NO_EDGE and j - i + 2 < line_dedup.LONGEST:
+                    j += 1
+                found.add((filled[i], filled[j + 1]))
+    return sorted(found)
 
 
 def plain(rows):
     order = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is None, r[0] or 0))
     seen, result = {}, {}
     for i, t in order:
-        kept, gone, n = [], 0, 0
-        for k, c in enumerate(cut(t)):
-            body = "\n".join(c)
-            filled = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in c)
-            if filled >= line_dedup.FILLED and seen.setdefault(body, (i, t, k)) != (i, t, k):
-                gone, n = gone + len(c), n + 1
-            else:
-                kept.append(body)
-        result[(i, t)] = ("\n".join(kept), t.count("\n") + 1, gone, n)
+        lines, gone, n = t.split("\n"), set(), 0
+        for a, b in ranges(lines):
+            if seen.setdefault(tuple(lines[a : b + 1]), (i, t, a)) != (i, t, a):
+                gone |= set(range(a, b + 1))
+                n += 1
+        result[(i, t)] = ("\n".join(x for k, x in enumerate(lines) if k not in gone), len(lines), len(gone), n)
     return Counter((i, *result.get((i, t), (None, 0, 0, 0))) for i, t in rows)
 
 
@@ -63,7 +68,7 @@ def test_a_passage_is_found_wherever_it_stands(documents, tables, prose):
     rows = [(i, prose(100 + i, words=5, lines=i % 7) + "\n" + passage + "\n" + prose(200 + i)) for i in range(30)]
     got = {r[0]: r for r in found(documents(rows), tables)}
     assert got[0][3] == 0
-    assert all(got[i][3] >= 30 for i in range(1, 30))
+    assert all(got[i][3] >= 39 for i in range(1, 30))
 
 
 def test_empty_table(documents, tables):
@@ -75,8 +80,48 @@ def test_clean_texts_stay(documents, tables, prose):
     assert found(documents(rows), tables) == Counter((i, t, 9, 0, 0) for i, t in rows)
 
 
-def test_texts_are_split_once_and_stay_in_the_jvm(documents, tables, prose):
+def test_random_lines_with_blanks(documents, tables):
+    r = random.Random(5)
+    rows = [(i, "\n".join(r.choice(["", " ", "a", "b", "c", "dd\r"]) for _ in range(r.randint(1, 9)))) for i in range(60)]
+    assert found(documents(rows), tables) == plain(rows)
+
+
+def test_chunks_of_all_lengths(documents, tables, monkeypatch):
+    """With few edges chunks grow up to the longest."""
+    monkeypatch.setattr(line_dedup, "RULES", 1)
+    lines = [f"line {k}" for k in range(4000)]
+    at = [k for k, (a, b) in enumerate(zip(lines, lines[1:])) if md5(md5(a) + md5(b))[1] == line_dedup.NO_EDGE]
+    runs = [k for k in at if k + 1 in at]
+    assert runs
+    rows = [(1, "\n".join(lines)), (2, "\n".join(lines[runs[0] - 3 : runs[0] + 9])), (3, "\n".join(lines[at[0] : at[0] + 2]))]
+    assert found(documents(rows), tables) == plain(rows)
+    assert max(b - a for a, b in ranges(lines)) >= 3
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 6, 10])
+def test_short_passages_in_fresh_contexts_go_whole(documents, tables, prose, n):
+    passages = [prose(7000 + 50 * n + k, words=60 // n + 1, lines=n) for k in range(300)]
+    rows = []
+    for k, p in enumerate(passages):
+        for copy in range(2):
+            seed = 100_000 * n + 10 * k + copy
+            rows.append((len(rows), f"{prose(seed, words=9, lines=copy + 1)}\n{p}\n{prose(seed + 5, words=9, lines=2)}"))
+    got = found(documents(rows), tables)
+    assert got == plain(rows)
+    whole = sum(r[3] == n for r in got)
+    assert whole >= 0.99 * len(passages) and sum(r[3] > 0 for r in got) <= len(passages)
+
+
+def test_bodies_are_compared_by_bytes(documents, tables, prose, monkeypatch):
+    """With a digest that is always the same, only what is really equal goes."""
+    monkeypatch.setattr(line_dedup, "_DIGEST", "unhex(md5(concat('x', left({}, 0))))")
+    block = "\n".join(f"line {i} of a passage" for i in range(2))
+    rows = [(1, block), (2, prose(2, lines=2)), (3, block), (4, prose(4, lines=3))]
+    got = {r[0]: r[1] for r in found(documents(rows), tables)}
+    assert got == {1: block, 2: rows[1][1], 3: "", 4: rows[3][1]}
+
+
+def test_texts_stay_in_the_jvm(documents, tables, prose):
     got = line_dedup.dedup_lines(documents([(1, prose(1, lines=4))]), tables)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
-    assert plan.count("split(text") == 2
