@@ -1,12 +1,12 @@
 """Toxic spans and document scores from a conditional random field.
 
 Learning runs on a bounded sample of labelled documents. Their labels concern whole
-documents, so tokens are labelled first: features that stand in toxic documents and
-hardly in others are taken greedily until each toxic document is covered by several,
-and the tokens that carry one are toxic. A linear-chain CRF learns the tokens' labels
-from their words, prefixes and suffixes. Scoring runs over every text, whole: its
-forward-backward marginals give the spans, and a logistic regression of their sums,
-fitted on the same sample, the document's score.
+documents, so tokens are labelled first: features that are many times as frequent in
+toxic documents as in others are taken greedily until each toxic document is covered by
+several, and the tokens that carry one are toxic. A linear-chain CRF learns the tokens'
+labels from their words, prefixes and suffixes. Scoring runs over every text, whole: its
+forward-backward marginals give the spans, and a logistic regression of their squares' sum
+and of the two largest, fitted on the same sample, the document's score.
 """
 
 from __future__ import annotations
@@ -18,13 +18,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from effectspark.llm.crf import Chain
 from effectspark.sources.store import Workspace
 
-SAMPLE_ROWS = 1000  # labelled documents per class, the bound of the fit
+SAMPLE_ROWS = 1500  # different labelled texts per class, the bound of the fit
+SAMPLE_BYTES = 32 << 20  # and their bytes per class
 BITS = 18
 WIDTH = 1 << BITS
 WORD = re.compile(r"\w+")
@@ -35,10 +36,12 @@ CACHED_WORDS = 100_000
 BATCH_ROWS = 64  # texts scored at once
 SPAN_FROM = 0.5
 TOXIC_FROM = 0.7
-# A feature may mark toxic tokens from LEAST_DOCS toxic documents, if at most one in RARE of its documents is clean;
-# each toxic document is covered up to COVER times.
-LEAST_DOCS, RARE, COVER = 5, 20, 4
-STEPS, RATE, RIDGE = 60, 0.5, 1e-5
+# A feature may mark toxic tokens if it stands in LEAST_SHARE of the toxic documents, in LEAST_DOCS at least, and so many
+# times as often, by documents and by tokens, in a toxic document as in another; each toxic document is covered up to
+# COVER times.
+LEAST_DOCS, LEAST_SHARE, DOC_LIFT, TOKEN_LIFT, COVER = 3, 0.02, 4, 20, 8
+STEPS, RATE, RIDGE = 60, 1.0, 1e-5
+FOLDS = 2  # the document score is fitted on marginals of held-back documents
 FIT_TOKENS = 1 << 17  # about as many tokens are worked on at once in the fit
 
 SPANS = "array<struct<start:int,end:int,p:double>>"
@@ -102,11 +105,18 @@ class Model:
 LIMIT = 30.0
 
 
+_SUMS = 5
+
+
 def _sums(p: np.ndarray) -> np.ndarray:
-    """What a document's score sees of its marginals: constant, expected toxic tokens, the largest marginal."""
+    """What a document's score sees of its marginals: their squares' sum, the two largest, and how sure the largest is.
+
+    Squares, because many tokens that are hardly toxic must not make a long text toxic.
+    """
     if not len(p):
-        return np.array([1.0, 0.0, 0.0])
-    return np.array([1.0, np.log1p(p.sum()), p.max()])
+        return np.array([1.0, 0.0, 0.0, 0.0, 0.0])
+    largest = np.partition(p, len(p) - 2)[-2:] if len(p) > 1 else np.array([0.0, p[0]])
+    return np.array([1.0, np.log1p(p @ p), largest[1], largest[0], -np.log(1.001 - largest[1])])
 
 
 def _spans(text: str, p: np.ndarray) -> list[dict]:
@@ -132,15 +142,22 @@ def _spans(text: str, p: np.ndarray) -> list[dict]:
 def fit(docs: DataFrame, labels: DataFrame, ws: Workspace, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); None if a class has no row.
 
-    Per class the ``sample_rows`` documents with the smallest hash of their id are
-    taken. NULL labels and documents with contradictory labels are left out. Sample ids
+    Per class the ``sample_rows`` different texts with the smallest hashes are taken, as far
+    as they have SAMPLE_BYTES together; of copies the document with the least id stands for
+    all. NULL labels and documents with contradictory labels are left out. Sample ids
     are bounded by that number, and so are the broadcast of them and the fit.
     """
     clear = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.min("toxic").alias("toxic"), F.max("toxic").alias("most")
-    ).filter("toxic = most").select(F.col("doc_id").alias("__id"), "toxic", F.xxhash64("doc_id").alias("__h"))
-    parts = [clear.filter(F.col("toxic") == y).orderBy("__h", "__id").limit(sample_rows) for y in (0, 1)]
-    ids = ws.save(parts[0].unionByName(parts[1]), "sample-ids").df
+    ).filter("toxic = most").select(F.col("doc_id").alias("__id"), "toxic")
+    hashed = docs.filter("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("__h"), F.octet_length("text").alias("bytes"))
+    texts = hashed.join(clear, F.col("doc_id") == F.col("__id")).groupBy("toxic", "__h").agg(
+        F.min("__id").alias("__id"), F.first("bytes").alias("bytes")
+    )
+    upto = Window.partitionBy("toxic").orderBy("__h").rowsBetween(Window.unboundedPreceding, 0)
+    parts = [texts.filter(F.col("toxic") == y).orderBy("__h").limit(sample_rows) for y in (0, 1)]
+    bounded = parts[0].unionByName(parts[1]).withColumn("upto", F.sum("bytes").over(upto)).filter(F.col("upto") <= SAMPLE_BYTES)
+    ids = ws.save(bounded.select("__id", "toxic"), "sample-ids").df
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,24 +173,68 @@ def fit(docs: DataFrame, labels: DataFrame, ws: Workspace, sample_rows: int = SA
                 [batch.column("__id"), batch.column("toxic"), pa.array(out, pa.binary())], ["id", "toxic", "slots"]
             )
 
-    found = rows.select("__id", "toxic", "text").mapInArrow(task, "id bigint, toxic int, slots binary").collect()
-    found.sort(key=lambda r: (r["id"], r["slots"]))
-    unique = list({r["slots"]: r for r in found if r["slots"]}.values())  # copies teach nothing new
-    slots = [np.frombuffer(r["slots"], np.int32).reshape(-1, PER_TOKEN) for r in unique]
-    toxic = np.array([r["toxic"] for r in unique], dtype=int)
-    del found, unique
-    if not (toxic == 1).any() or not (toxic == 0).any():
+    sample = ws.save(rows.select("__id", "toxic", "text").mapInArrow(task, "id bigint, toxic int, slots binary"), "sample").df
+    # one fit without each fold, and one of all; each is a task that gets the bounded sample
+    fits = sample.select("*", F.explode(F.array(*[F.lit(k) for k in range(FOLDS + 1)])).alias("fold"))
+    found = {r["fold"]: r for r in fits.groupBy("fold").applyInArrow(_fit_fold, _FITTED).collect()}
+    if FOLDS not in found:
         return None
-    return _learn(slots, toxic)
+    numbers = lambda raw, kind=np.float64: np.frombuffer(raw, kind)
+    held = [r for k, r in found.items() if k < FOLDS] or [found[FOLDS]]  # too few documents to hold any back
+    sums = np.concatenate([numbers(r["sums"]).reshape(-1, _SUMS) for r in held])
+    scale = _logistic(sums, np.concatenate([numbers(r["toxic"], np.int64) for r in held]))
+    whole = found[FOLDS]
+    chain = Chain(numbers(whole["start"]).copy(), numbers(whole["move"]).reshape(2, 2).copy())
+    return Model(numbers(whole["weights"], np.float32).copy(), whole["bias"], chain, scale)
+
+
+_FITTED = "fold int, weights binary, bias double, start binary, move binary, sums binary, toxic binary"
+
+
+def _fit_fold(sample: pa.Table) -> pa.Table:
+    """A field learned without one fold of the sample (or from all of it), and what its marginals say of that fold."""
+    fold = sample["fold"][0].as_py()
+    rows = sorted(zip(sample["id"].to_pylist(), sample["slots"].to_pylist(), sample["toxic"].to_pylist()))
+    unique = list({r[1]: r for r in rows if r[1]}.values())  # copies but for case or punctuation teach nothing new
+    slots = [np.frombuffer(r[1], np.int32).reshape(-1, PER_TOKEN) for r in unique]
+    toxic = np.array([r[2] for r in unique], dtype=np.int64)
+    folds = _folds(toxic)
+    learn = np.flatnonzero(folds != fold)
+    own = np.flatnonzero(folds == fold) if fold < FOLDS else learn
+    out = []
+    if (toxic[learn] == 1).any() and (toxic[learn] == 0).any() and len(own):
+        weights, bias, chain = _field([slots[i] for i in learn], toxic[learn])
+        sums = _sums_of([slots[i] for i in own], weights, bias, chain)
+        parts = (weights.astype(np.float32), chain.start, chain.move, sums, toxic[own])
+        raw = [np.ascontiguousarray(x).tobytes() for x in parts]
+        out = [{"fold": fold, "weights": raw[0], "bias": bias, "start": raw[1], "move": raw[2], "sums": raw[3], "toxic": raw[4]}]
+    binary = ("weights", "start", "move", "sums", "toxic")
+    fields = [("fold", pa.int32()), ("weights", pa.binary()), ("bias", pa.float64()), *[(c, pa.binary()) for c in binary[1:]]]
+    return pa.Table.from_pylist(out, pa.schema(fields))
+
+
+def _frequencies(slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and tokens per feature."""
+    docs, tokens = np.zeros(WIDTH), np.zeros(WIDTH)
+    for s in slots:
+        docs += np.bincount(np.unique(s), minlength=WIDTH)
+        # a missing feature repeats the word's own and counts once
+        tokens += np.bincount(s[:, 0], minlength=WIDTH) + np.bincount(s[:, 1:][s[:, 1:] != s[:, :1]], minlength=WIDTH)
+    return docs, tokens
 
 
 def _markers(slots: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     """Features that mark toxic tokens: greedily, each for the documents not yet covered often enough."""
-    per_doc = [np.unique(s) for s in slots]
-    clean = np.bincount(np.concatenate([p for p, y in zip(per_doc, toxic) if not y]), minlength=WIDTH)
-    bad = [p for p, y in zip(per_doc, toxic) if y]
-    dirty = np.bincount(np.concatenate(bad), minlength=WIDTH)
-    usable = (dirty >= min(LEAST_DOCS, max(1, len(bad) // 4))) & (clean * RARE <= dirty)
+    bad_slots = [s for s, y in zip(slots, toxic) if y]
+    (dirty, dirty_tokens), n_dirty = _frequencies(bad_slots), len(bad_slots)
+    (clean, clean_tokens), n_clean = _frequencies([s for s, y in zip(slots, toxic) if not y]), len(slots) - n_dirty
+    least = min(max(LEAST_DOCS, int(LEAST_SHARE * n_dirty)), max(1, n_dirty // 4))
+    usable = (
+        (dirty >= least)
+        & (dirty * n_clean >= DOC_LIFT * clean * n_dirty)
+        & (dirty_tokens * n_clean >= TOKEN_LIFT * clean_tokens * n_dirty)
+    )
+    bad = [np.unique(s) for s in bad_slots]
     holders: dict[int, list[int]] = {}
     for k, p in enumerate(bad):
         for s in p[usable[p]].tolist():
@@ -183,26 +244,45 @@ def _markers(slots: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     while lists:
         gains = {s: int((covered[ks] < COVER).sum()) for s, ks in lists.items()}
         best = max(gains, key=lambda s: (gains[s], s))
-        if gains[best] < min(LEAST_DOCS, max(1, len(bad) // 4)):
+        if gains[best] < least:
             break
         marked[best] = True
         covered[lists.pop(best)] += 1
     return marked
 
 
-def _learn(slots: list[np.ndarray], toxic: np.ndarray) -> Model:
-    marked = _markers(slots, toxic)
+def _folds(toxic: np.ndarray) -> np.ndarray:
+    """Each class dealt out in turn."""
+    out = np.zeros(len(toxic), int)
+    for y in (0, 1):
+        at = np.flatnonzero(toxic == y)
+        out[at] = np.arange(len(at)) % FOLDS
+    return out
+
+
+def _parts(slots: list[np.ndarray], toxic: np.ndarray, marked: np.ndarray) -> list[_Part]:
+    """Documents are worked on in parts, so that the arrays of a step stay small."""
     sizes = np.array([len(s) for s in slots])
     starts = np.cumsum(sizes) - sizes
-    # documents are worked on in parts, so that the arrays of a step stay small
     cuts = np.searchsorted(starts // FIT_TOKENS, np.unique(starts // FIT_TOKENS))
-    parts = [_Part(slots[a:b], toxic[a:b], marked) for a, b in zip(cuts, [*cuts[1:], len(slots)])]
-    slots.clear()
+    return [_Part(slots[a:b], toxic[a:b], marked) for a, b in zip(cuts, [*cuts[1:], len(slots)])]
 
+
+def _sums_of(slots: list[np.ndarray], weights: np.ndarray, bias: float, chain: Chain) -> np.ndarray:
+    found = []
+    for part in _parts(slots, np.zeros(len(slots), int), np.zeros(WIDTH, bool)):
+        p = chain.marginals(part.emissions(weights, bias), part.first)
+        found += [_sums(own) for own in np.split(p, np.flatnonzero(part.first)[1:])]
+    return np.array(found)
+
+
+def _field(slots: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, float, Chain]:
+    """Weights, bias and chain that make the tokens' labels likeliest."""
+    parts = _parts(slots, toxic, _markers(slots, toxic))
     weights, bias = np.zeros(WIDTH), 0.0
     chain = Chain(np.zeros(2), np.zeros((2, 2)))
     squares = [np.full(WIDTH, 1e-6), 1e-6, np.full(2, 1e-6), np.full((2, 2), 1e-6)]
-    n = int(sizes.sum())
+    n = sum(len(part.stream) for part in parts)
     for _ in range(STEPS):
         gradients = [-RIDGE * weights, 0.0, np.zeros(2), np.zeros((2, 2))]
         for part in parts:
@@ -217,12 +297,7 @@ def _learn(slots: list[np.ndarray], toxic: np.ndarray) -> Model:
             squares[k] = squares[k] + g * g
             values[k] = values[k] + RATE * g / np.sqrt(squares[k])
         weights, bias, chain.start, chain.move = values
-
-    sums = []
-    for part in parts:
-        p = chain.marginals(part.emissions(weights, bias), part.first)
-        sums += [_sums(own) for own in np.split(p, np.flatnonzero(part.first)[1:])]
-    return Model(weights.astype(np.float32), float(bias), chain, _logistic(np.array(sums), toxic))
+    return weights, float(bias), chain
 
 
 class _Part:
