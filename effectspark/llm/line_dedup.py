@@ -25,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from effectspark.llm.tables import row_key
-from effectspark.sources.store import Workspace
+from effectspark.sources.store import Stored, Workspace
 
 # Fixed values of the cut: a place is no edge if its digit of the rolling hash is NO_EDGE (one in 16).
 RULES = 3
 NO_EDGE = "0"
+REPEAT_BYTES = 96  # of a first copy in a broadcast: key, digest, two places, and what rows take
 LONGEST = 5  # lines of a chunk that are not blank, where no end comes earlier
 NOT_BLANK = r"[^\x20\x09-\x0D]"
 
@@ -57,8 +58,9 @@ def dedup_lines(docs: DataFrame, ws: Workspace) -> DataFrame:
     copies = (
         meta.groupBy("digest").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first <> last")
     )
-    repeats = ws.save(copies.select("digest", "first"), "repeated-chunks").df
-    bodies = _bodies(keyed, repeats)
+    stored = ws.save(copies.select("digest", "first"), "repeated-chunks")
+    repeats = stored.df
+    bodies = _bodies(keyed, stored, ws)
     cut = (
         meta.join(repeats, "digest")
         .filter("first <> place")
@@ -121,12 +123,17 @@ def _ranges(rule: int) -> str:
     return f"CASE WHEN size(rolled) = 0 THEN {none} ELSE transform({starts}, i -> {one}) END"
 
 
-def _bodies(keyed: DataFrame, repeats: DataFrame) -> DataFrame:
-    """(digest, body): the first copy of each repeated chunk."""
+def _bodies(keyed: DataFrame, repeats: Stored, ws: Workspace) -> DataFrame:
+    """(digest, body): the first copy of each repeated chunk.
+
+    While the list of first copies can be broadcast, no text moves for it.
+    """
     first = F.struct("digest", "first.start", "first.stop")
-    wanted = repeats.groupBy(F.col("first.key").alias(_KEY)).agg(F.collect_list(first).alias("firsts"))
-    # rows of one key are one document
-    held = keyed.select(_KEY, "text").join(wanted, _KEY).dropDuplicates([_KEY])
+    wanted = repeats.df.groupBy(F.col("first.key").alias(_KEY)).agg(F.collect_list(first).alias("firsts"))
+    wanted = F.broadcast(wanted) if repeats.rows * REPEAT_BYTES <= ws.broadcast_bytes else wanted
+    # a chunk has two lines
+    held = keyed.select(_KEY, "text").filter(F.col("text").contains("\n")).join(wanted, _KEY)
     lines = held.select(F.split("text", "\n", -1).alias(_LINES), "firsts")
     bodies = F.expr(f"transform(firsts, c -> named_struct('digest', c.digest, 'body', {_body('c.start', 'c.stop')}))")
-    return lines.select(F.inline(bodies))
+    # rows of one key are one document
+    return lines.select(F.inline(bodies)).dropDuplicates(["digest"])
