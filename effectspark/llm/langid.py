@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from effectspark.sources.store import Workspace
@@ -26,8 +26,8 @@ BITS = 15
 FEATURES = 1 << BITS
 ORDERS = 3
 BLOCK = 1 << 19  # characters of a long text handled at once
-SAMPLE_ROWS = 1500  # training rows per language, the bound of the fit
-MOST_LANGUAGES = 256  # languages learned, the most frequent ones; the model's size depends on it
+SAMPLE_ROWS = 1500  # different training texts per language, the bound of the fit
+MOST_LANGUAGES = 1024  # the model's size depends on it; more languages are refused, none is left out
 EPOCHS = 3
 HELD_BACK = 5  # every fifth sampled row serves the temperature
 UNKNOWN = "und"
@@ -100,18 +100,24 @@ def _softmax(scores: np.ndarray) -> np.ndarray:
 def fit(training: DataFrame, ws: Workspace, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from the columns ``text`` and ``lang``; rows without a language are left out.
 
-    Languages beyond the MOST_LANGUAGES most frequent are not learned; ties go to the
-    first by name. Texts without a letter count for nothing. Without any row to learn
-    from, the model predicts UNKNOWN for every text.
+    Every language is learned; more than MOST_LANGUAGES are an error. Per language the
+    ``sample_rows`` different texts with the least hashes teach, whatever their copies.
+    Texts without a letter count for nothing. Without any row to learn from, the model
+    predicts UNKNOWN for every text.
     """
     rows = training.filter("lang IS NOT NULL").select("text", "lang")
+    hashed = rows.filter("text IS NOT NULL").withColumn("h", F.xxhash64("text"))
     per_language = (
-        rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES)
-    ).collect()
+        hashed.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    )
+    if len(per_language) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: raise MOST_LANGUAGES, whose size the model has")
     if not per_language:
         return Model((), np.zeros((0, FEATURES)), np.zeros(0), np.ones(FEATURES), 1.0)
     idf = _inverse_frequencies(rows.select("text"))
-    at, values, y, languages = _sample(rows, {r["lang"]: r["n"] for r in per_language}, idf, sample_rows)
+    at, values, y, languages = _sample(hashed, {r["lang"]: r["n"] for r in per_language}, idf, sample_rows)
+    if not languages:
+        return Model((), np.zeros((0, FEATURES)), np.zeros(0), np.ones(FEATURES), 1.0)
     held = np.arange(len(y)) % HELD_BACK == HELD_BACK - 1
     weights, bias = _ftrl(at, values, y, np.flatnonzero(~held), len(languages))
     scores = np.array([weights[:, at[i]] @ values[i] + bias for i in np.flatnonzero(held)])
@@ -140,12 +146,16 @@ def _inverse_frequencies(texts: DataFrame) -> np.ndarray:
 
 
 def _sample(rows: DataFrame, sizes: dict[str, int], idf: np.ndarray, most: int):
-    """Feature vectors of at most ``most`` rows of each language, chosen by the hash of the text."""
-    places = 1 << 20
-    share = F.lit(0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(places, math.ceil(1.1 * most * places / n)))).otherwise(share)
-    chosen = rows.filter(F.pmod(F.xxhash64("text"), F.lit(places)) < share)
+    """Feature vectors of the ``most`` different texts of each language that have the least hashes."""
+    places = 1 << 40
+    # a share of the hashes that surely holds enough: the number of texts is known to some percent
+    wanted = 1.2 * most + 8 * math.sqrt(most) + 20
+    shares = [(lang, min(places, math.ceil(wanted * places / max(1, n)))) for lang, n in sizes.items()]
+    limits = F.broadcast(rows.sparkSession.createDataFrame(shares, "lang string, share bigint"))
+    near = rows.join(limits, "lang").filter(F.pmod("h", F.lit(places)) < F.col("share"))
+    distinct = near.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(places)), "h"))
+    chosen = distinct.withColumn("place", place).filter(F.col("place") <= most).select("text", "lang")
     shared = rows.sparkSession.sparkContext.broadcast(idf)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +170,7 @@ def _sample(rows: DataFrame, sizes: dict[str, int], idf: np.ndarray, most: int):
                 yield pa.RecordBatch.from_pylist(out)
 
     found = chosen.mapInArrow(task, "lang string, at binary, x binary")
-    found = found.withColumn("h", F.xxhash64("at", "x")).orderBy("h").limit(most * len(sizes)).collect()
+    found = sorted(found.collect(), key=lambda r: (r["x"], r["at"], r["lang"]))  # at most ``most`` rows a language
     languages = tuple(sorted({r["lang"] for r in found}))
     at = [np.frombuffer(r["at"], np.int32) for r in found]
     values = [np.frombuffer(r["x"], np.float32) for r in found]

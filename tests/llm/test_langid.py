@@ -67,3 +67,26 @@ def test_document_frequencies_cover_all_rows(spark, tables):
     idf = langid._inverse_frequencies(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5))
     counts = np.array([langid.ngram_counts(t) > 0 for t in texts if t and t != "!!"]).sum(0)
     assert np.allclose(idf, np.log((1 + 60) / (1 + counts)) + 1)
+
+
+def test_every_language_is_learned_and_too_many_are_refused(spark, tables, monkeypatch):
+    rows = [(f"{chr(97 + k % 26) * 3}{chr(97 + k // 26) * 2} " * 5 + str(j), f"l{k:03}") for k in range(300) for j in range(4)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    assert len(langid.fit(df, tables).languages) == 300
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 299)
+    with pytest.raises(ValueError, match="299"):
+        langid.fit(df, tables)
+
+
+def test_the_sample_is_drawn_within_each_language(spark, tables):
+    """Copies of one text, however many, are one; a rare language is not thinned out by a frequent one."""
+    hot = [("ka to mi ra " * 9, "aa")] * 3000
+    rows = hot + [(sentence("aa", k), "aa") for k in range(700)] + [(sentence("bb", k), "bb") for k in range(40)]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(4).withColumn("h", langid.F.xxhash64("text"))
+    at, values, y, languages = langid._sample(df, {"aa": 701, "bb": 40}, np.ones(langid.FEATURES), 100)
+    assert languages == ("aa", "bb")
+    assert list(np.bincount(y)) == [100, 40]
+    assert len({(a.tobytes(), v.tobytes()) for a, v in zip(at, values)}) == 140
+    least = sorted(df.filter("lang = 'aa'").select("text", "h").distinct().collect(), key=lambda r: r["h"] % (1 << 40))[:100]
+    own = {langid.features(langid.ngram_counts(r["text"]), np.ones(langid.FEATURES))[0].tobytes() for r in least}
+    assert own == {a.tobytes() for a, k in zip(at, y) if k == 0}
