@@ -114,10 +114,15 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", "n_chunks_removed", F.sha2(text, 256).alias("kept_sha256"))
 
 
+def token_cache_folder(spark: SparkSession) -> str:
+    """The lasting cache of counts, beside the folders of single runs."""
+    return f"{Workspace(spark).root.rpartition('/')[0]}/effectspark-token-counts"
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = start(spark)
     counts = token_cache.token_counts(
-        table(spark, sf_dir, "documents"), ws, public_tokenizers.path(TOKENIZER), ws.path("token-cache")
+        table(spark, sf_dir, "documents"), ws, public_tokenizers.path(TOKENIZER), token_cache_folder(spark)
     )
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 

@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from effectspark.llm import token_cache
+from effectspark.sources.versions import Versions
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -44,14 +45,46 @@ def test_stored_counts_are_used_and_only_misses_added(spark, documents, tables,
     cache = f"file://{tmp_path}/cache"
     count = lambda rows: {r.doc_id: r.n_tokens for r in token_cache.token_counts(documents(rows), tables, PATH, cache).collect()}
     first = count([(1, "a b c"), (2, prose(1))])
-    folder = f"{cache}/{token_cache.tokenizer_version(open(PATH, 'rb').read())}"
-    stored = spark.read.parquet(folder)
+    versions = Versions(spark, f"{cache}/{token_cache.tokenizer_version(open(PATH, 'rb').read())}")
+    stored = token_cache.stored_counts(versions)
     assert stored.count() == 2
     # a count that is stored is believed: make it recognisable
-    stored.selectExpr("digest", "n_tokens + 1000 AS n_tokens").write.mode("append").parquet(folder)
+    changed = versions.new_folder()
+    stored.selectExpr("digest", "n_tokens + 1000 AS n_tokens").write.parquet(changed)
+    versions.commit_next({"tables": [changed]})
     second = count([(1, " a\tb  c\n"), (2, prose(1)), (3, "new"), (4, "new")])
     assert second == {1: first[1] + 1000, 2: first[2] + 1000, 3: 1, 4: 1}
-    assert spark.read.parquet(folder).select("digest").distinct().count() == 3
+    assert token_cache.stored_counts(versions).count() == 3
+    before = versions.latest()
+    assert count([(9, "new"), (8, "a b c")]) == {9: 1, 8: first[1] + 1000}
+    assert versions.latest() == before  # nothing was encoded
+
+
+def test_appends_are_whole_and_merged(spark, documents, tables, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_cache, "TABLES", 2)
+    cache = f"file://{tmp_path}/cache"
+    count = lambda rows: {r.doc_id: r.n_tokens for r in token_cache.token_counts(documents(rows), tables, PATH, cache).collect()}
+    versions = Versions(spark, f"{cache}/{token_cache.tokenizer_version(open(PATH, 'rb').read())}")
+    for k in range(4):
+        assert count([(k, "word " * (k + 1)), (99, "always")]) == {k: k + 1, 99: 1}
+        assert len(versions.read(versions.latest())["tables"]) <= 2
+    assert token_cache.stored_counts(versions).count() == 5
+    with monkeypatch.context() as patch:
+        patch.setattr(Versions, "commit", lambda *_: (_ for _ in ()).throw(OSError("gone")))
+        with pytest.raises(OSError):
+            count([(1, "never seen before")])
+    assert token_cache.stored_counts(versions).count() == 5
+
+
+def test_the_query_keeps_its_cache(spark, tmp_path):
+    from effectspark.llm import queries
+
+    spark.range(30).selectExpr("id AS doc_id", f"concat('{tmp_path.name} ', id % 20) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    first = sorted(map(tuple, queries.op8_token_counts(spark, str(tmp_path)).collect()))
+    cache = Versions(spark, f"{queries.token_cache_folder(spark)}/{token_cache.tokenizer_version(open(PATH, 'rb').read())}")
+    before = cache.latest()
+    again = sorted(map(tuple, queries.op8_token_counts(spark.newSession(), str(tmp_path)).collect()))
+    assert again == first and cache.latest() == before is not None
 
 
 def test_empty_table(documents, tables, tmp_path):
