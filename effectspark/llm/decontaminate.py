@@ -74,7 +74,7 @@ class SeedIndex:
         self.ids = [i for i, _ in items]
         self.items = [codes for _, codes in items]
         # an item shorter than an overlap is searched for as a whole
-        short = sorted({len(c) for c in self.items if SHORTEST <= len(c) < OVERLAP})
+        short = sorted({len(c) for c in self.items if len(c) < OVERLAP})
         self.tables = []
         for mask, length in [(m, None) for m in MASKS] + [(m, n) for n in short for m in whole_masks(n)]:
             found = [
@@ -106,20 +106,6 @@ class SeedIndex:
         return best
 
 
-def overlap(document: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int]:
-    """Words and place of the best overlap with the item laid over the document from word ``shift`` on."""
-    lo, hi = max(0, -shift), min(len(item), len(document) - shift)
-    equal = document[lo + shift : hi + shift] == item[lo:hi]
-    # the stretch with the greatest sum, where a word that differs costs what its allowance of equal ones earns
-    price = IDENTITY / (1 - IDENTITY)
-    total = np.concatenate([[0.0], np.cumsum(np.where(equal, 1.0, -price))])
-    lowest = np.minimum.accumulate(total)
-    stop = int(np.argmax(total - lowest))
-    start = int(np.flatnonzero(total[: stop + 1] == lowest[stop])[0])
-    same = int(equal[start:stop].sum())
-    return (stop - start if same >= IDENTITY * (stop - start) else 0), lo + shift + start
-
-
 def longest(document: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int]:
     """Words and place of the longest stretch, of the item laid over the document from ``shift`` on, with IDENTITY equal words."""
     lo, hi = max(0, -shift), min(len(item), len(document) - shift)
@@ -133,14 +119,17 @@ def longest(document: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, in
     return int(words[stop]), lo + shift + int(first[stop])
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_overlaps(
+    docs: DataFrame, benchmark: DataFrame, ws: Workspace, block_bytes: int = BLOCK_BYTES, shortest: int = SHORTEST
+) -> DataFrame:
     """(key, item_id, words, start): per document and item the longest overlap, in words.
 
     ``key`` is :func:`row_key` of the document. Items without a text or with fewer than
-    SHORTEST words are not searched for; items may repeat.
+    ``shortest`` words are not searched for; items may repeat, and are then searched for once.
+    Blocks of the benchmark are collected, sent out and freed one after the other.
     """
     spark = docs.sparkSession
-    items = benchmark.filter("text IS NOT NULL").select("item_id", "text")
+    items = benchmark.filter("text IS NOT NULL").select("item_id", "text").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
     texts = docs.select(row_key().alias("key"), "text").filter("text IS NOT NULL")
@@ -149,18 +138,19 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     for b in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         shared = spark.sparkContext.broadcast([tuple(r) for r in own.collect()])  # about block_bytes
-        search = _search(shared, to_arrow_type(items.schema["item_id"].dataType))
-        part = texts.mapInArrow(search, f"key string, item_id {kind}, words int, start bigint")
+        search = _search(shared, to_arrow_type(items.schema["item_id"].dataType), shortest)
+        part = ws.save(texts.mapInArrow(search, f"key string, item_id {kind}, words int, start bigint"), "overlaps").df
+        shared.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _search(shared, kind: pa.DataType):
+def _search(shared, kind: pa.DataType, shortest: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, index = WordCodes(), None
         for batch in batches:
             if index is None:
-                index = SeedIndex([(i, c) for i, t in shared.value if len(c := words.plain(t)) >= SHORTEST])
+                index = SeedIndex([(i, c) for i, t in shared.value if len(c := words.plain(t)) >= shortest])
             rows = []
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
                 for item, (count, start) in index.overlaps(words.plain(text)).items():
@@ -180,7 +170,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, ws: Workspace) -> DataF
     with a NULL or empty text, and any document if the benchmark is empty. Columns of
     these names in ``docs`` are replaced; repeated rows get the same answer.
     """
-    found = ws.save(find_overlaps(docs, benchmark), "overlaps").df
+    found = find_overlaps(docs, benchmark, ws)
     per_document = found.groupBy("key").agg(
         F.countDistinct("item_id").alias("__n"), F.max("words").alias("__longest"),
         F.array_sort(F.collect_set("item_id")).alias("__items"), F.count(F.lit(1)).alias("__rows"),

@@ -76,24 +76,25 @@ def test_ids_of_another_type(documents, benchmark, tables):
 def test_blocks_of_items_change_nothing(documents, benchmark, prose, tables):
     items = [(k, prose(50 + k, words=30)) for k in range(20)]
     docs = documents([(k, f"{prose(k)} {t} {prose(300 + k)}") for k, t in items])
-    rows = lambda size: sorted(map(tuple, D.find_overlaps(docs, benchmark(items), size).select("item_id", "words", "start").collect()))
+    rows = lambda size: sorted(map(tuple, D.find_overlaps(docs, benchmark(items), tables, size).select("item_id", "words", "start").collect()))
     assert rows(1 << 20) == rows(500)
     assert len(rows(500)) == 20
 
 
-def test_overlap_is_the_best_stretch():
-    import numpy as np
+def test_an_item_repeated_very_often_is_searched_for_once(documents, benchmark, prose, tables, monkeypatch):
+    sent = []
+    search = D._search
+    monkeypatch.setattr(D, "_search", lambda shared, *a: sent.append(shared.value) or search(shared, *a))
+    text = prose(1, words=30)
+    got = found(documents([(1, f"x {text} y")]), benchmark([(1, text)] * 500 + [(2, text)] * 3), tables)
+    assert got == {1: (True, 2, 30, [1, 2])}
+    assert sum(map(len, sent)) == 2
 
-    r = random.Random(3)
-    for _ in range(200):
-        item = np.array([r.randint(0, 9) for _ in range(30)], np.uint64)
-        doc = np.array([r.randint(0, 9) if r.random() < 0.3 else int(x) for x in item], np.uint64)
-        words, start = D.overlap(doc, item, 0)
-        equal = doc == item
-        score = lambda a, b: equal[a:b].sum() - 4 * (~equal[a:b]).sum()
-        best = max(score(a, b) for a in range(31) for b in range(a, 31))
-        assert score(start, start + words) == best
-        assert words == 0 or equal[start : start + words].mean() >= D.IDENTITY
+
+def test_the_shortest_item_is_a_parameter(documents, benchmark, tables):
+    docs, items = documents([(1, "a b c d e f")]), benchmark([(1, "b c d")])
+    assert D.find_overlaps(docs, items, tables).count() == 0
+    assert [r.words for r in D.find_overlaps(docs, items, tables, shortest=3).collect()] == [3]
 
 
 def test_long_document(documents, benchmark, prose, tables):
