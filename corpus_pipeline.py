@@ -48,15 +48,15 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; texts that are NULL or empty stay."""
     ws = start(spark)
-    overlaps = ws.save(decontaminate.find_overlaps(docs, table(spark, sf_dir, "benchmark")), "overlaps").df
+    overlaps = decontaminate.find_overlaps(docs, table(spark, sf_dir, "benchmark"), ws)
     gone = overlaps.select(F.col("key").alias("__key")).distinct()
     return docs.withColumn("__key", row_key()).join(gone, "__key", "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each remaining document."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each remaining document; a NULL text is an empty one."""
     start(spark)
     return bpe_digests(docs)
 
