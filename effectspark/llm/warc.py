@@ -57,23 +57,26 @@ def decide_revisits(pages: DataFrame) -> DataFrame:
     LEAST_SHARED equal bytes the row with the largest page_id is the response and the
     others refer to it. Rows that repeat the largest page_id are all responses, as are
     all rows of a group without any page_id. A payload's rows meet only as sums; the
-    join back splits popular payloads.
+    join back, of large payloads only, splits popular ones.
     """
     keys = ["digest", "second", "size"]
-    full = pages.withColumn("payload", F.coalesce("payload", F.lit(b"")))
-    hashed = full.withColumns(
+    full = pages.select("page_id", "url", F.coalesce("payload", F.lit(b"")).alias("payload"))
+    large = F.octet_length("payload") >= LEAST_SHARED
+    hashed = full.filter(large).withColumns(
         {"digest": F.sha1("payload"), "second": F.xxhash64("payload"), "size": F.octet_length("payload")}
     )
     shared = (
-        hashed.filter(F.col("size") >= LEAST_SHARED)
-        .groupBy(*keys)
+        hashed.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("copies"), F.max("page_id").alias("head"))
         .filter("copies > 1 AND head IS NOT NULL")
         .drop("copies")
     )
     joined = hashed.join(shared, keys, "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("head")), F.col("head"))
-    return joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    decided = joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    never = F.lit(None).cast(pages.schema["page_id"].dataType)
+    small = full.filter(~large).select("page_id", "url", "payload", F.sha1("payload").alias("digest"), never.alias("refers_to"))
+    return decided.unionByName(small)
 
 
 def write(pages: DataFrame, ws: Workspace, folder: str, level: int = 1) -> Stored:
