@@ -215,11 +215,10 @@ def _fit_fold(sample: pa.Table) -> pa.Table:
 
 def _frequencies(slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Documents and tokens per feature."""
-    docs, tokens = np.zeros(WIDTH), np.zeros(WIDTH)
-    for s in slots:
-        docs += np.bincount(np.unique(s), minlength=WIDTH)
-        # a missing feature repeats the word's own and counts once
-        tokens += np.bincount(s[:, 0], minlength=WIDTH) + np.bincount(s[:, 1:][s[:, 1:] != s[:, :1]], minlength=WIDTH)
+    stream = np.concatenate([np.zeros((0, PER_TOKEN), np.int32), *slots])
+    docs = np.bincount(np.concatenate([np.zeros(0, np.int32), *(np.unique(s) for s in slots)]), minlength=WIDTH)
+    # a missing feature repeats the word's own and counts once
+    tokens = np.bincount(stream[:, 0], minlength=WIDTH) + np.bincount(stream[:, 1:][stream[:, 1:] != stream[:, :1]], minlength=WIDTH)
     return docs, tokens
 
 
@@ -309,9 +308,12 @@ class _Part:
         self.label = marked[self.stream].any(1) & np.repeat(toxic == 1, sizes)
         self.first = np.zeros(len(self.stream), bool)
         self.first[np.cumsum(sizes) - sizes] = True
+        # the words are worked on once each, whatever their number of tokens
+        self.words, self.word = np.unique(self.stream, axis=0, return_inverse=True)
+        self.word = self.word.reshape(-1)
         # a missing feature repeats the word's own and counts once
         self.counts = np.concatenate(
-            [np.ones((len(self.stream), 1), bool), self.stream[:, 1:] != self.stream[:, :1]], axis=1
+            [np.ones((len(self.words), 1), bool), self.words[:, 1:] != self.words[:, :1]], axis=1
         )
         label, inner = self.label, ~self.first
         before = np.concatenate([[False], label[:-1]])
@@ -322,13 +324,14 @@ class _Part:
         self.seen_start = np.array([(~label & self.first).sum(), (label & self.first).sum()], float)
 
     def emissions(self, weights: np.ndarray, bias: float) -> np.ndarray:
-        out = np.full(len(self.stream), bias)
+        out = np.full(len(self.words), bias)
         for k in range(PER_TOKEN):
-            out += np.where(self.counts[:, k], weights[self.stream[:, k]], 0.0)
-        return out
+            out += np.where(self.counts[:, k], weights[self.words[:, k]], 0.0)
+        return out[self.word]
 
     def per_slot(self, values: np.ndarray) -> np.ndarray:
-        return sum(np.bincount(self.stream[:, k], values * self.counts[:, k], WIDTH) for k in range(PER_TOKEN))
+        total = np.bincount(self.word, values, len(self.words))
+        return sum(np.bincount(self.words[:, k], total * self.counts[:, k], WIDTH) for k in range(PER_TOKEN))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
