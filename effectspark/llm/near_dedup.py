@@ -10,16 +10,19 @@ hardly ever, so most nodes are small after the first level.
   coordinate the value that most members have is counted, and the member with most of
   these leads. Large groups of copies are found by this with as many pairs as members.
 * Nodes whose members are all linked by then need no more.
-* Small nodes are compared exhaustively, between different components. So are nodes of
+* Small nodes are compared exhaustively, between different components; a set of members
+  that several trees bring together is compared once. So are nodes of
   any size with few members outside their main component: in parts of bounded size,
   each with all of those few. Sketches tell which members may be linked at all; their
   full sets are compared in one task, which returns no more links than members.
-* The others branch on, until none is left. They are never gathered in a task.
-
-A few trees go first, so that the others need not look at what those have linked. Links
-are confirmed on the full sets, made anew from the texts. A pair at the threshold is
-missed by all trees with probability 0.25 ** TREES at the first level, which is below
-1e-7, and its sketch fails with about 1e-5.
+* The others branch on. They are never gathered in a task.
+* A pair at the threshold shares a path of LEVELS steps with probability 0.75 ** LEVELS
+  only, so no node goes deeper: what is still large at the last level is compared
+  exhaustively too, in parts of two tiles each.
+
+Links are confirmed on the full sets, made anew from the texts. A pair at the threshold
+is missed by all trees with probability (1 - 0.75 ** LEVELS) ** TREES, which is 5e-5, however
+large its nodes are, and its sketch fails with about 1e-5.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ from effectspark.sources.store import Stored, Workspace
 
 PERCENT = 75
 TREES = 12
-WAVES = (3, 12)  # the trees done after each wave
+LEVELS = 2  # of each tree
 COORDINATES = 128
 # Sketch coordinates that must agree: 4 standard deviations below the 96 expected at similarity 0.75.
 AGREE = 76
@@ -138,19 +141,22 @@ def _link(keyed: DataFrame, classes: DataFrame, ws: Workspace, percent: int) ->
     ).df
     first = ws.save(_inner_nodes(paths), "nodes").df
     texts = _class_texts(keyed, classes, first, ws)
-    links, done = _Links(nothing), 0
-    for until in WAVES:
-        inner, level = first.filter(F.col("tree").between(done, until - 1)), 1
-        while inner is not None:
+    links, inner = _Links(nothing), first
+    try:
+        for level in range(1, LEVELS + 1):
             star = _star(inner.filter(F.col("members") > SMALL), classes, ws)
             if star is not None:
                 links.confirm(_by_sketch(links.apart(star), classes, percent), texts, ws, percent)
             mixed = _mixed_nodes(inner, links.roots, ws, level)
-            links.add(ws.save(_exhaustive(_parts(mixed.df), classes, texts, percent), "links"), ws)
-            inner = _branch(mixed.df.filter(~_comparable()), classes, ws, level)
-            level += 1
-        done = until
-    texts.drop()
+            parts = _parts(mixed.df)
+            if level == LEVELS:
+                parts = parts.unionByName(_tiles(mixed.df))
+            links.add(ws.save(_exhaustive(parts, classes, texts, percent), "links"), ws)
+            inner = _branch(mixed.df.filter(~_comparable()), classes, ws, level) if level < LEVELS else None
+            if inner is None:
+                break
+    finally:
+        texts.drop()
     return links.roots
 
 
@@ -163,13 +169,12 @@ def _star(large: DataFrame, classes: DataFrame, ws: Workspace) -> DataFrame | No
         return None
     rows = sketched.df
     step = COORDINATES // MODES
-    values = F.array(*[F.substring("sketch", k * step + 1, 1) for k in range(MODES)])
-    counts = rows.select("path", F.posexplode(values).alias("k", "v")).groupBy("path", "k", "v").agg(F.count("*").alias("n"))
-    modes = counts.groupBy("path", "k").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
-    modes = modes.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("modes"))
+    value = lambda k: F.substring("sketch", k * step + 1, 1)
+    # at most 256 values each, whatever the size of the node
+    modes = rows.groupBy("path").agg(*[F.mode(value(k), True).alias(f"mode_{k}") for k in range(MODES)])
     alike = sum(
-        (F.when(F.get("modes.v", F.lit(k)) == F.get(values, F.lit(k)), 1).otherwise(0) for k in range(1, MODES)),
-        F.when(F.get("modes.v", F.lit(0)) == F.get(values, F.lit(0)), 1).otherwise(0),
+        (F.when(F.col(f"mode_{k}") == value(k), 1).otherwise(0) for k in range(1, MODES)),
+        F.when(F.col("mode_0") == value(0), 1).otherwise(0),
     )
     leaders = rows.join(modes, "path").groupBy("path").agg(F.max_by("node", F.struct(alike, "node")).alias("leader"))
     led = rows.select("path", "node").join(leaders, "path").filter("node <> leader")
@@ -177,9 +182,16 @@ def _star(large: DataFrame, classes: DataFrame, ws: Workspace) -> DataFrame | No
 
 
 def _inner_nodes(branches: DataFrame) -> DataFrame:
-    """The members of nodes that hold more than one class, with the node's size."""
-    nodes = branches.groupBy("path").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    return branches.join(nodes, "path")
+    """The members of nodes that hold more than one class, with the node's size.
+
+    Of small nodes with the same members, in different trees, one is kept: it is compared
+    as a whole.
+    """
+    own = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("own")
+    nodes = branches.groupBy("path").agg(F.count(F.lit(1)).alias("members"), own).filter("members > 1")
+    once = F.when(F.col("members") > SMALL, F.col("path")).otherwise(F.lit(0))
+    kept = nodes.groupBy("members", "own", once.alias("apart")).agg(F.min("path").alias("path")).select("path", "members")
+    return branches.join(kept, "path")
 
 
 def _mixed_nodes(inner: DataFrame, roots: DataFrame, ws: Workspace, level: int) -> Stored:
@@ -208,13 +220,29 @@ def _parts(mixed: DataFrame) -> DataFrame:
     each = F.when(F.col("members") <= SMALL, F.array(F.lit(0))).otherwise(
         F.coalesce(one, F.sequence(F.lit(0), parts - 1))
     )
-    return mixed.filter(_comparable()).select("path", "node", "root", F.explode(each).alias("part"))
+    return mixed.filter(_comparable()).select("path", "node", "root", F.explode(each.cast("array<bigint>")).alias("part"))
+
+
+def _tiles(mixed: DataFrame) -> DataFrame:
+    """Members of the nodes that are not comparable, in parts of two tiles of SMALL / 2 members.
+
+    Every two tiles meet, but for two of the main component: all pairs are compared of
+    which one is outside it.
+    """
+    half = SMALL // 2
+    outer = F.ceil(F.col("outside") / half).cast("bigint")
+    inner = F.ceil((F.col("members") - F.col("outside")) / half).cast("bigint")
+    hashed, is_main = F.xxhash64("node"), F.col("root") == F.col("main")
+    own = F.when(is_main, outer + F.pmod(hashed, inner)).otherwise(F.pmod(hashed, outer))
+    placed = mixed.filter(~_comparable()).select("path", "node", "root", is_main.alias("is_main"), outer.alias("outer"), (outer + inner).alias("tiles"), own.alias("own"))
+    part = "CASE WHEN is_main THEN transform(sequence(0L, outer - 1), x -> x * tiles + own) " \
+           "ELSE transform(sequence(0L, tiles - 1), x -> least(x, own) * tiles + greatest(x, own)) END"
+    # parts of comparable nodes count from 0, these from -1 downwards
+    return placed.select("path", "node", "root", F.explode(F.expr(part)).alias("part")).withColumn("part", -F.col("part") - 1)
 
 
 def _branch(large: DataFrame, classes: DataFrame, ws: Workspace, level: int) -> DataFrame | None:
     """The inner nodes one step down in each tree, by the sketch coordinate chosen for this tree and level."""
-    if level > COORDINATES:
-        return None
     joined = large.select("tree", "path", "node").join(classes.select(F.col("class").alias("node"), "sketch"), "node")
     coordinate = F.pmod(F.col("tree") * 11 + F.lit(level * 17), F.lit(COORDINATES)) + 1
     step = F.substring(F.col("sketch"), coordinate, F.lit(1))
@@ -381,15 +409,14 @@ class _class_texts:
 
 
 class _Links:
-    """The links found so far, as (a, b) pairs that span their components, and (node, root)."""
+    """The components that the links found so far make: (node, root) of every class with a link."""
 
     def __init__(self, nothing: DataFrame):
-        self.edges: DataFrame | None = None
-        self.roots = nothing
+        self.roots, self.known = nothing, False
 
     def apart(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose ends are not yet in one component."""
-        if self.edges is None:
+        if not self.known:
             return pairs
         of_a, of_b = (
             self.roots.select(F.col("node").alias(c), F.col("root").alias(f"__r{c}")) for c in ("a", "b")
@@ -419,8 +446,16 @@ class _Links:
         self.add(ws.save(both.mapInArrow(task, _LINK), "links"), ws)
 
     def add(self, links: Stored, ws: Workspace) -> None:
-        """Take in links (a, b) and update the components."""
-        if links.rows:
-            joined = components(links.df if self.edges is None else self.edges.unionByName(links.df), ws)
-            self.roots = joined.df
-            self.edges = joined.df.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        """Take in links (a, b) and update the components: those that the links join become one."""
+        if not links.rows:
+            return
+        if not self.known:
+            self.roots, self.known = components(links.df, ws).df, True
+            return
+        of_a, of_b = (self.roots.select(F.col("node").alias(c), F.col("root").alias(f"__r{c}")) for c in ("a", "b"))
+        met = links.df.join(of_a, "a", "left").join(of_b, "b", "left")
+        joined = components(met.select(F.coalesce("__ra", "a").alias("a"), F.coalesce("__rb", "b").alias("b")), ws).df
+        above = joined.select(F.col("node").alias("root"), F.col("root").alias("__top"))
+        old = self.roots.join(above, "root", "left").select("node", F.coalesce("__top", "root").alias("root"))
+        new = joined.join(self.roots.select("node"), "node", "left_anti")
+        self.roots = ws.save(old.unionByName(new), "roots").df

@@ -82,6 +82,43 @@ def test_nodes_too_large_to_compare_branch_on(documents, prose, tables, monkeypa
     assert found(documents(rows), tables) == plain(rows)
 
 
+@pytest.mark.parametrize("share", [0.81, 0.85])
+def test_no_link_is_lost_in_a_large_template_group(documents, prose, tables, monkeypatch, share):
+    """Members are too different to be linked among themselves (0.68 to 0.74), and far too many for one comparison."""
+    monkeypatch.setattr(near_dedup, "SMALL", 16)
+    template, r = prose(0, words=400).split(), random.Random(8)
+    rows = []
+    for k in range(220):
+        own = prose(1000 + k, words=400).split()
+        cut = int(404 * share)
+        rows.append((k, " ".join(template[:cut] + own[cut:])))
+    for k in range(60):  # planted links, just above the threshold
+        words = rows[r.randrange(220)][1].split()
+        at = r.randrange(10, 200)
+        words[at : at + 44] = [f"q{k}x{j}" for j in range(44)]
+        rows.append((500 + k, " ".join(words)))
+    want = plain(rows)
+    assert 20 < sum(not kept for _, _, _, kept in want) < 200
+    assert found(documents(rows), tables) == want
+
+
+def test_tiles_bring_every_pair_together(spark):
+    rows = [(1, f"n{k}".encode(), b"m" if k < 70 else f"r{k % 90}".encode(), b"m", 160, 90) for k in range(160)]
+    df = spark.createDataFrame(rows, "path bigint, node binary, root binary, main binary, members bigint, outside bigint")
+    near_dedup.SMALL, kept = 20, near_dedup.SMALL
+    try:
+        parts = near_dedup._tiles(df).collect()
+    finally:
+        near_dedup.SMALL = kept
+    members = defaultdict(set)
+    for r in parts:
+        members[r.part].add(bytes(r.node))
+    assert max(map(len, members.values())) <= 60  # about 20, in tiles dealt by hash
+    met = {(a, b) for group in members.values() for a in group for b in group}
+    outside = {f"n{k}".encode() for k in range(70, 160)}
+    assert all((a, f"n{k}".encode()) in met for a in outside for k in range(160))
+
+
 def test_the_limit_itself_is_linked(documents, tables):
     words = [f"w{i}" for i in range(200)]
     base = " ".join(words[:104])  # 100 shingles
@@ -168,6 +205,20 @@ def test_components(spark, edges):
     ws.drop()
 
 
+def test_links_join_the_components_found_before(spark, tables):
+    """Batch after batch of links gives the components of all of them."""
+    r = random.Random(4)
+    edges = [(f"n{r.randrange(60):02}".encode(), f"n{r.randrange(60):02}".encode()) for _ in range(45)]
+    nothing = spark.createDataFrame([], "node binary, root binary")
+    links = near_dedup._Links(nothing)
+    for at in range(0, 45, 9):
+        links.add(tables.save(spark.createDataFrame(edges[at : at + 9], "a binary, b binary"), "links"), tables)
+    got = sorted(map(tuple, links.roots.collect()))
+    want = sorted(map(tuple, components(spark.createDataFrame(edges, "a binary, b binary"), tables).df.collect()))
+    groups = lambda rows: sorted(sorted(n for n, q in rows if q == x) for x in {x for _, x in rows})
+    assert groups(got) == groups(want)
+
+
 def test_a_long_path_is_one_component(spark, tables):
     edges = spark.range(300).selectExpr("(id * 7919) % 307 AS a", "((id + 1) * 7919) % 307 AS b")
     got = components(edges, tables).df
