@@ -27,6 +27,7 @@ from effectspark.operators.lookup import HOT_KEYS, same
 from effectspark.sources.store import Stored, Workspace
 
 PART = "__part"
+PART_ROWS = 1 << 19  # a task sorts a part
 CO_PLACED = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
@@ -85,6 +86,11 @@ class Parts:
         self.close()
 
 
+def enough(rows: int, least: int) -> int:
+    """Parts for a log of so many rows: at least ``least``, and as many as keep each near ``PART_ROWS``."""
+    return max(least, -(-rows // PART_ROWS))
+
+
 def deal(frame: DataFrame, ws: Workspace, keys: Sequence[str], count: int | None = None) -> Parts:
     """Write ``frame`` in parts by the first of ``keys``; all of ``keys`` can be joined later.
 

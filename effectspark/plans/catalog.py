@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from effectspark.operators import effects as E
 from effectspark.operators import features, forest, label_effects, labels, parts, profile, scoring, sketches, split, tuning
 from effectspark.operators.lookup import missing_rows
-from effectspark.session import configure
+from effectspark.session import configure, size_shuffles
 from effectspark.sources import delimited, model_store, standin
 from effectspark.sources.store import Stored, session_workspace
 from effectspark.streaming import lateness, learning, live
@@ -42,6 +42,7 @@ class Run:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = configure(spark), sf_dir
         self.ws = session_workspace(spark)
+        size_shuffles(spark, self.ws.size([f"{sf_dir}/{t}.parquet" for t in standin.SCHEMAS]))
 
     def ratings(self) -> DataFrame:
         return standin.ratings(self.spark, self.dir)
@@ -411,14 +412,15 @@ def model_roundtrip(run: Run) -> DataFrame:
     return rounded(scoring.score(frame.filter("is_val"), model).select(*KEY, "pred"), "pred")
 
 
-PARTS = 8
+PARTS = 8  # at least; a larger log gets more, so that a part stays small
 
 
 def rmse_parts(run: Run) -> DataFrame:
     """Item and user effects fitted and scored on a log in parts, without broadcasts of effects."""
     ws = run.ws.limited(0)
     keys = [s.key for s in (E.USER, E.ITEM)]
-    with parts.deal(run.frame(), ws, keys, PARTS) as dealt:
+    stored = run.stored_frame()
+    with parts.deal(stored.df, ws, keys, parts.enough(stored.rows, PARTS)) as dealt:
         model = E.fit(dealt.frame, E.SHRUNK_ORDER, ws, [LAMBDA], parts=dealt)
         found = ws.save(scoring.rmse(scoring.score(dealt.frame.filter("is_val"), model)), "rmse").df
     return rounded(found, "rmse")

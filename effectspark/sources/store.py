@@ -123,6 +123,11 @@ class Workspace:
         row = files.agg(F.count(F.lit(1)), F.sum("length"), F.bit_xor(about), F.sum(F.pmod(about, F.lit(1 << 30)))).first()
         return tuple(row)
 
+    def size(self, paths: Sequence[str]) -> int:
+        """Bytes of all files below the ``paths`` that exist."""
+        places = [self._place(p) for p in paths]
+        return sum(store.getContentSummary(at).getLength() for store, at in places if store.exists(at))
+
     def delete(self, path: str) -> None:
         store, place = self._place(path)
         store.delete(place, True)
