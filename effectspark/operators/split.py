@@ -175,19 +175,32 @@ def exact_folds(
 
     A row's rank in its stratum is the number of rows in lower hash ranges plus
     its rank inside its own range, so no stratum is ever sorted in one task;
-    consecutive copies of one row go to consecutive folds.
+    consecutive copies of one row go to consecutive folds. Rows move once, to the others of
+    their range. Only ranges of more than ``CHUNK`` rows, which are copies of few rows, are
+    first reduced to distinct rows and counts.
     """
     names = _names(strata)
-    offsets = _bucket_offsets(df, names, h).selectExpr(
-        *[f"{s} AS __stratum_{i}" for i, s in enumerate(names)], "bucket AS __range", "before"
-    )
-    rows = _with_copies(df).withColumn("__bucket", _bucket(h))
-    match = [same(F.col(s), F.col(f"__stratum_{i}")) for i, s in enumerate(names)]
-    joined = rows.join(offsets, reduce(lambda a, b: a & b, match, F.col("__bucket") == F.col("__range")), "left")
-    upto = Window.partitionBy(*names, "__bucket").orderBy(h, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    at = F.struct(*names, _bucket(h).alias("bucket"))
+    offsets = _bucket_offsets(df, names, h).select(F.struct(*names, "bucket").alias("__range"), "before")
+    counts = df.groupBy(*names, _bucket(h).alias("bucket")).agg(F.count(F.lit(1)).alias("__rows"))
+    crowded = counts.filter(F.col("__rows") > CHUNK).select(F.struct(*names, "bucket").alias("__range"), "__rows")
+    placed = df.withColumn("__at", at).join(F.broadcast(crowded), F.col("__at") == F.col("__range"), "left")
+    columns = [*df.columns, "fold"]
+    number = F.row_number().over(Window.partitionBy("__at").orderBy(h, *ties)) - 1
+    sparse = placed.filter("__rows IS NULL").drop("__range", "__rows")
+    ranked = sparse.join(offsets, F.col("__at") == F.col("__range"), "left").withColumn("__first", F.col("before") + number)
+    folded = ranked.withColumn("fold", F.pmod("__first", F.lit(k)).cast("int")).select(*columns)
+    return folded.unionByName(_folds_of_copies(placed.filter("__rows IS NOT NULL").select(*df.columns, "__at"), offsets, h, ties, k))
+
+
+def _folds_of_copies(df: DataFrame, offsets: DataFrame, h: str, ties: Sequence[str], k: int) -> DataFrame:
+    """:func:`exact_folds` of rows with their place ``__at``, of which many are copies."""
+    rows = _with_copies(df)
+    joined = rows.join(offsets, F.col("__at") == F.col("__range"), "left")
+    upto = Window.partitionBy("__at").orderBy(h, *ties).rowsBetween(Window.unboundedPreceding, 0)
     first = F.col("before") + F.sum("__copies").over(upto) - F.col("__copies")
     ranked = joined.withColumn("__first", first)
-    columns = [*df.columns, "fold"]
+    columns = [*[c for c in df.columns if c != "__at"], "fold"]
     single = ranked.filter("__copies = 1").withColumn("fold", F.pmod("__first", F.lit(k)).cast("int"))
     # a row with copies goes to as many folds as it has copies, at most all of them
     turns = F.sequence(F.lit(0), F.least(F.lit(k).cast("bigint"), F.col("__copies")).cast("int") - 1)
