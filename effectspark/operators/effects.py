@@ -412,8 +412,20 @@ def _fit_narrow(
     ws: Workspace,
 ) -> EffectModel:
     keys = [s.key for s in narrow]
-    types = {k: train.schema[k].dataType for k in keys}
     sums = ws.save(_value_sums(rest.final(model, keys), keys, model), "value-sums")
+    return _fit_sums(train, sums, narrow, pairs, model, ws)
+
+
+def _fit_sums(
+    train: DataFrame,
+    sums: Stored,
+    narrow: Sequence[EffectSpec],
+    pairs: Callable[[], Stored | None],
+    model: EffectModel,
+    ws: Workspace,
+) -> EffectModel:
+    """The narrow effects from value sums and pair counts; of ``train`` only the schema is taken."""
+    types = {s.key: train.schema[s.key].dataType for s in narrow}
     solved: list[Stored] = []
     for k, spec in enumerate(narrow):
         stored = ws.save(_solve(k, sums, pairs(), solved, model, ws), f"effect-{spec.name}")

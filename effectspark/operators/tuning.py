@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from effectspark.functions.aggregates import double_sql
-from effectspark.operators import split
+from effectspark.operators import all_but_one, split
 from effectspark.operators.effects import EffectModel, EffectSpec, fit, residuals
 from effectspark.sources.store import Workspace
 
@@ -103,25 +103,25 @@ def kfold_rmse_grid(
 ) -> DataFrame:
     """:func:`cv_rmse_grid` of folds that are each tested on a fit of all others.
 
-    ``at_once`` fits all runs together, on ``k`` times the rows. Else one run follows the other,
-    and what a run has written is deleted before the next, so that ``k`` adds nothing to what
-    is stored at a time, and the effects of one run may be small enough to broadcast.
+    ``at_once`` fits all runs together, on ``k`` times the rows. Else rows are moved and written once for
+    all runs (:mod:`all_but_one`), and what the fit has written is deleted when the grid is there.
     """
     if at_once:
         return cv_rmse_grid(cv_frame(train, k, "kfold"), specs, ws, lambdas)
-    out = None
-    for run in range(k):
-        own = Workspace(ws.spark, ws.broadcast_bytes)
-        part = ws.save(cv_rmse_grid(cv_frame(train, k, "kfold", run=run), specs, own, lambdas), "grid-run").df
-        own.drop()
-        ws.forget_shuffles()
-        out = part if out is None else out.unionByName(part)
-    return out
+    own = Workspace(ws.spark, ws.broadcast_bytes)
+    rest, model = all_but_one.residuals(cv_frame(train, k).drop("is_test"), specs, own, lambdas or grid_values(), k)
+    grid = ws.save(_errors(rest, model), "grid").df
+    own.drop()
+    ws.forget_shuffles()
+    return grid
 
 
 def grid_rmse(rows: DataFrame, model: EffectModel) -> DataFrame:
     """Error of each lambda of the model per value of ``by``."""
-    rest = residuals(rows, model, [])
+    return _errors(residuals(rows, model, []), model)
+
+
+def _errors(rest: DataFrame, model: EffectModel) -> DataFrame:
     count = len(model.lambdas)
     errors = rest.groupBy(*model.on).agg(*[F.expr(f"sqrt(avg(r_{i} * r_{i})) AS e_{i}") for i in range(count)])
     cells = ", ".join(

@@ -107,6 +107,31 @@ def test_runs_of_kfold_one_by_one_give_the_same_grid_and_leave_nothing(spark, sh
     assert set(store._open) == before
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 26])
+@pytest.mark.parametrize(
+    "specs", [(E.REVIEW_WDAY,), (E.USER, E.REVIEW_WDAY), (E.ITEM, E.USER, E.EffectSpec("review_wday", "review_wday", wide=True))]
+)
+def test_runs_of_kfold_agree_for_any_number_of_wide_effects(spark, shared, specs, limit):
+    rows = [(*r[:4], None if k % 9 == 0 else r[6]) for k, r in enumerate(some(900, seed=8))]
+    train = shared.save(spark.createDataFrame(rows, "user_id bigint, item_id bigint, rating double, review_wday int, h bigint"), "train").df
+    found = [
+        [tuple(r) for r in T.kfold_rmse_grid(train, specs, shared.limited(limit), [0.0, 5.0], 3, at_once=at_once).orderBy("fold", "lambda").collect()]
+        for at_once in (False, True)
+    ]
+    assert len(found[0]) == 6
+    assert [r[:2] for r in found[0]] == [r[:2] for r in found[1]]
+    assert [r[2] for r in found[0]] == pytest.approx([r[2] for r in found[1]], abs=1e-9)
+
+
+def test_runs_of_kfold_write_the_rows_once(spark, shared, monkeypatch):
+    train = shared.save(spark.createDataFrame(some(1500), SCHEMA).drop("fold", "is_test"), "train").df
+    written = []
+    save = Workspace.save
+    monkeypatch.setattr(Workspace, "save", lambda self, df, name, *a: (written.append(name), save(self, df, name, *a))[1])
+    T.kfold_rmse_grid(train, (E.ITEM, E.USER, E.REVIEW_WDAY), shared, [1.0, 5.0], 3, at_once=False).collect()
+    assert written.count("rest-item") == 1 and len(written) == len(set(written))
+
+
 @pytest.mark.parametrize("chunk", [1, 2, split.CHUNK])
 def test_exact_folds_of_crowded_and_other_ranges_are_even(spark, monkeypatch, chunk):
     monkeypatch.setattr(split, "CHUNK", chunk)
