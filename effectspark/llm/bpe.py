@@ -3,8 +3,9 @@
 A task keeps the distinct words of its texts as one small corpus. An inverted
 index leads from the rank of a token pair to all positions where the pair stands;
 ranks are replayed in ascending order, each over all its positions at once, and
-after a merge only the two pairs that touch it are entered anew. A word is
-replayed once per worker; texts are then put together from their words.
+after a merge only the two pairs that touch it are entered anew; which tokens merge
+with a token is listed once per worker. A word is replayed once per worker for as long
+as it is kept; texts are then put together from their words.
 
 Nothing is shuffled, and a task holds one batch of texts, its words, and at most
 ``CACHED_WORDS`` words of earlier batches.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 CACHED_WORDS = 300_000
 LONG_TEXT = 1 << 20  # characters; longer texts are matched in blocks of words
 BLOCK = 200_000  # words or ids handled at once in a long text
-_SHIFT = 24  # bits of a token id within a pair's code
+_ID_BITS = 24
 _CODE = np.dtype("<u4")
 
 
@@ -36,14 +37,26 @@ class ByteBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"the rank table lacks single bytes: {missing[:5]}")
-        if max(ranks.values()) >= 1 << _SHIFT:
+        if max(ranks.values()) >= 1 << _ID_BITS:
             raise ValueError("token ids are too large")
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        # ranks of merges: of two bytes; by the left token those of each right one, and the other way round
+        self.byte_pairs = np.full((256, 256), -1, dtype=np.int64)
+        self.followers: dict[int, dict[int, int]] = {}
+        self.leaders: dict[int, dict[int, int]] = {}
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.byte_pairs[token[0], token[1]] = rank
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    self.followers.setdefault(left, {})[right] = rank
+                    self.leaders.setdefault(right, {})[left] = rank
         self.pattern = regex.compile(pattern)
         self.words: dict[str, bytes] = {}
-        self.pairs: dict[int, int] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit integers."""
@@ -82,11 +95,12 @@ class ByteBPE:
         )
 
     def _replay_new(self, words: set[str]) -> None:
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        if len(self.pairs) > 4 * CACHED_WORDS:
-            self.pairs.clear()
-        new = [w for w in words if w not in self.words]
+        if len(self.words) > CACHED_WORDS // 2:  # words met since then are kept, the others go
+            self.words, self.older = {}, self.words
+        new = list(words.difference(self.words))
+        if self.older:
+            self.words.update((w, self.older[w]) for w in new if w in self.older)
+            new = [w for w in new if w not in self.older]
         texts = [w.encode() for w in new]
         # a word that is a token itself needs no merges
         whole = [self.ranks.get(t) for t in texts]
@@ -95,16 +109,11 @@ class ByteBPE:
         if rest:
             self.words.update(zip((w for w, _ in rest), self._replay([t for _, t in rest])))
 
-    def _rank(self, code: int) -> int:
-        """Rank of a pair's merge, -1 if it has none."""
-        left, right = code >> _SHIFT, code & ((1 << _SHIFT) - 1)
-        found = self.pairs[code] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
-        return found
-
     def _replay(self, words: list[bytes]) -> list[bytes]:
         lengths = np.array([len(w) for w in words])
         ends = np.cumsum(lengths)
-        start_ids = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        start_ids = self.byte_ids[raw]
         size = len(start_ids)
         last = np.zeros(size, bool)
         last[ends - 1] = True
@@ -113,15 +122,16 @@ class ByteBPE:
         prv_at[ends[:-1]] = -1
 
         at = np.flatnonzero(~last)
-        codes, which = np.unique((start_ids[at] << _SHIFT) | start_ids[at + 1], return_inverse=True)
-        known, rank_of = self.pairs, self._rank
-        ranks = np.array([known[c] if c in known else rank_of(c) for c in codes.tolist()], dtype=np.int64)[which]
+        ranks = self.byte_pairs[raw[at], raw[at + 1]]
         at, ranks = at[ranks >= 0], ranks[ranks >= 0]
         order = np.argsort(ranks, kind="stable")
         found, first = np.unique(ranks[order], return_index=True)
         index = {r: part.tolist() for r, part in zip(found.tolist(), np.split(at[order], first[1:]))}
+        rank_at = np.full(size, -1)  # of the pair that starts here now
+        rank_at[at] = ranks
 
-        ids, nxt, prv = start_ids.tolist(), nxt_at.tolist(), prv_at.tolist()
+        none: dict[int, int] = {}
+        ids, nxt, prv, now = start_ids.tolist(), nxt_at.tolist(), prv_at.tolist(), rank_at.tolist()
         queue = list(index)
         heapify(queue)
         while queue:
@@ -130,32 +140,34 @@ class ByteBPE:
             if positions is None:
                 continue
             positions.sort()
+            followed, led = self.followers.get(rank, none).get, self.leaders.get(rank, none).get
             for done, p in enumerate(positions, 1):
-                q = nxt[p]
-                if q < 0 or ids[p] < 0:
-                    continue
-                code = (ids[p] << _SHIFT) | ids[q]
-                if (known[code] if code in known else rank_of(code)) != rank:
+                if now[p] != rank:
                     continue
-                after, before = nxt[q], prv[p]
-                ids[p], ids[q], nxt[p] = rank, -1, after
-                touched = []
+                q, before = nxt[p], prv[p]
+                after = nxt[q]
+                ids[p], ids[q], now[q], nxt[p] = rank, -1, -1, after
+                sooner, new = False, -1
                 if after >= 0:
                     prv[after] = p
-                    touched.append((p, (rank << _SHIFT) | ids[after]))
+                    new = followed(ids[after], -1)
+                    if new >= 0:
+                        sooner = new <= rank
+                        if new in index:
+                            index[new].append(p)
+                        else:
+                            index[new] = [p]
+                            heappush(queue, new)
+                now[p] = new
                 if before >= 0:
-                    touched.append((before, (ids[before] << _SHIFT) | rank))
-                sooner = False
-                for position, code in touched:
-                    new = known[code] if code in known else rank_of(code)
-                    if new < 0:
-                        continue
-                    if new in index:
-                        index[new].append(position)
-                    else:
-                        index[new] = [position]
-                        heappush(queue, new)
-                    sooner |= new <= rank
+                    new = now[before] = led(ids[before], -1)
+                    if new >= 0:
+                        sooner |= new <= rank
+                        if new in index:
+                            index[new].append(before)
+                        else:
+                            index[new] = [before]
+                            heappush(queue, new)
                 if sooner and done < len(positions):  # its turn comes before the rest of this rank
                     if rank not in index:
                         index[rank] = []

@@ -102,6 +102,21 @@ def test_a_full_cache_is_emptied(library, monkeypatch, prose):
     assert len(coder.words) <= 20 + 61
 
 
+def test_words_in_use_outlast_a_full_cache(library, monkeypatch):
+    """Rare words push out each other, not the words that every text has."""
+    encoding, ranks = library
+    monkeypatch.setattr(bpe, "CACHED_WORDS", 40)
+    coder = bpe.ByteBPE(ranks, PATTERN)
+    replayed = []
+    replay = coder._replay
+    monkeypatch.setattr(coder, "_replay", lambda words: (replayed.extend(words), replay(words))[1])
+    for i in range(30):
+        text = f"qxzqxz {' '.join(f'zq{i}vj{x}' for x in 'abcdef')}"
+        assert ids_of(coder.encode(text)) == encoding.encode_ordinary(text)
+    assert replayed.count(b"qxzqxz") == 1
+    assert len(coder.words) + len(coder.older) <= 40 + 2 * 20
+
+
 def test_unknown_bytes_are_refused():
     with pytest.raises(ValueError):
         bpe.ByteBPE({b"a": 0}, r"\w+")
