@@ -142,3 +142,38 @@ def test_merge_by_binary_search(sides):
         for k, v in s.items():
             want[k.rstrip(b"\0")] = min(v, want.get(k.rstrip(b"\0"), v))
     assert dict(zip(names.tolist(), least.tolist())) == want
+
+
+def sent_anchors(prose, buckets):
+    import time
+
+    import pyarrow as pa
+
+    text = prose(1, words=200_000)
+    row = {"block": 1, "ids": np.arange(1).tobytes(), "sizes": np.array([len(text)]).tobytes(), "data": text.encode()}
+    batch = pa.RecordBatch.from_pylist([row])
+    took = []
+    for _ in range(3):
+        began = time.process_time()
+        out = [r for b in repeats._send_anchors(buckets)(iter([batch])) for r in b.to_pylist()]
+        took.append(time.process_time() - began)
+    return out, min(took)
+
+
+def test_a_block_is_not_gone_through_once_per_bucket(prose):
+    (one, alone), (many, among_many) = sent_anchors(prose, 1), sent_anchors(prose, 3000)
+    assert len(one) == 1 and len(many) > 2500
+    assert sum(len(r["codes"]) for r in many) >= len(one[0]["codes"])  # in one bucket more codes are the same
+    assert among_many < 3 * alone + 0.05
+
+
+def test_only_pieces_with_a_common_anchor_are_sorted(monkeypatch):
+    sorted_bytes = []
+    groups = suffix.suffix_groups
+    monkeypatch.setattr(suffix, "suffix_groups", lambda text, *a: sorted_bytes.append(len(text)) or groups(text, *a))
+    a, b, c = (bytes(range(k, k + 60)) for k in (0, 5, 100))  # a and b have 55 bytes in common, c stands in two documents
+    text = np.frombuffer(a + b + c, np.uint8)
+    bucket = repeats.Bucket(np.array([60, 60, 60]), text, np.array([7, 7, 8], "<u4"))
+    place, start, size = bucket.ranges(np.array([2, 1, 4, 3]), np.array([0, 100, 200, 300]), np.array([1, 1, 2]))
+    assert sorted_bytes == [120]
+    assert sorted(zip(place.tolist(), start.tolist(), size.tolist())) == [(0, 5, 55), (2, 200, 60)]
